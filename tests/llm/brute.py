@@ -46,3 +46,20 @@ def near_duplicates(docs):
             one, two = sorted((top(a), top(b)))
             parent[two] = one
     return {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+
+
+def contamination(text, items, window=10):
+    """(n_words, n_hit, sorted item ids as strings)."""
+    words = alnum_words(text)
+    hit, found = set(), set()
+    for item, item_text in items:
+        its = alnum_words(item_text)
+        if not its:
+            continue
+        size = min(window, len(its))
+        wanted = {tuple(its[k : k + size]) for k in range(len(its) - size + 1)}
+        for k in range(len(words) - size + 1):
+            if tuple(words[k : k + size]) in wanted:
+                hit.update(range(k, k + size))
+                found.add(str(item))
+    return len(words), len(hit), sorted(found)
