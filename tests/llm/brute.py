@@ -63,3 +63,18 @@ def contamination(text, items, window=10):
                 hit.update(range(k, k + size))
                 found.add(str(item))
     return len(words), len(hit), sorted(found)
+
+
+def quality_numbers(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    words = space_words(text)
+    seen, dups = set(), 0
+    for line in (text or "").split("\n"):
+        if space_words(line):
+            dups += line in seen
+            seen.add(line)
+    where = {}
+    for k in range(len(words) - 4):
+        where.setdefault(tuple(words[k : k + 5]), []).append(k)
+    hit = {k + d for ks in where.values() if len(ks) > 1 for k in ks for d in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dups, len(hit)
