@@ -17,6 +17,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callspark.llm.packing import pack_token_matrix
+
+    return pack_token_matrix(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callspark.llm.minhash_dedup import near_duplicates
 
@@ -30,6 +36,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op8_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callspark.llm.packing import pack_online
+
+    return pack_online(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callspark.llm.decontaminate import contamination_report
 
