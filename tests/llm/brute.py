@@ -78,3 +78,13 @@ def quality_numbers(text):
         where.setdefault(tuple(words[k : k + 5]), []).append(k)
     hit = {k + d for ks in where.values() if len(ks) > 1 for k in ks for d in range(5)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dups, len(hit)
+
+
+def base_secrets(text):
+    """Spans (start, order, end, kind) of the base kinds, straight from the contract's expressions."""
+    rules = [
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, rule, good) in enumerate(rules) for m in rule.finditer(text or "") if good(m))
