@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callspark.llm.staging import Stage
 from callspark.llm.textbytes import ALNUM_WORDS, TextSlice, Words, ragged_positions, slices, window_hash
 
 _U = np.uint64
@@ -196,9 +197,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark; all columns stay."""
     gone = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    from callspark.llm.staging import Stage
-
-    gone = Stage(docs.sparkSession, "decontaminate").write(gone, "gone")
-    hint = "broadcast" if gone.count() <= 200_000 else "merge"
+    stage = Stage(docs.sparkSession, "decontaminate")
+    gone = stage.write(gone, "gone")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    return docs.join(gone.hint(hint), same, "left_anti")
+    return docs.join(stage.side(gone), same, "left_anti")

@@ -36,8 +36,6 @@ _U = np.uint64
 SHINGLE_WORDS = 5
 BINS = 128
 BAND_ROWS = 4
-#: Classes whose texts are looked up by broadcast; above it both sides are shuffled.
-BROADCAST_ROWS = 200_000
 _ROUND_SEEDS = np.random.default_rng(77).integers(1, 2**63, 2 * BINS, dtype=np.uint64)
 
 
@@ -141,6 +139,32 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hashes, component) to a row per shingle."""
+    for batch in batches:
+        hashes = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+        row = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64)
+        for k in range(0, len(flat), 200_000):
+            at = pa.array(row[k : k + 200_000])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(flat[k : k + 200_000])], names=["id", "component", "shingle"])
+
+
+def _against_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, id, n, own, led): sizes, and a bit mark of what ``own`` lacks of ``led``."""
+    for batch in batches:
+        rows = []
+        for own, led in zip(batch.column(3), batch.column(4)):
+            own = own.values.to_numpy()
+            led = led.values.to_numpy() if led.is_valid else own[:0]
+            lacks = np.setdiff1d(led, own, assume_unique=True).view(np.uint64)
+            mark = np.zeros(256, dtype=bool)
+            mark[(lacks >> _U(56)).astype(np.int64)] = True
+            rows.append((len(own), len(led), len(own) - (len(led) - len(lacks)), *np.packbits(mark).view(np.int64).tolist()))
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 7
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["lead", "id", "n", "s", "l", "x", "g0", "g1", "g2", "g3"])
+
+
 def _sketch_filter(floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,48 +189,68 @@ def _exact_filter(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, stage: Stage | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash, component), a row per row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * |A & B| >= percent * |A | B|; ``kept`` marks the smallest doc_id of
     each connected group. ``text_hash`` is xxhash64 of the text; ``component`` names the group.
     """
     spark = docs.sparkSession
-    stage = stage or Stage(spark, "minhash")
+    stage = Stage(spark, "minhash")
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketched = stage.write(text.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sketch_batches, _SKETCHED), "sketches")
-    classes = stage.write(
-        sketched.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("small").alias("small"), F.first("bands").alias("bands"), F.count_if(F.isnull("doc_id")).alias("nulls")),
-        "classes",
+    banded = stage.write(
+        sketched.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("small").alias("small"), F.first("bands").alias("bands")), "banded"
     )
-    members = classes.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
+    classes = stage.write(banded.select("node", "doc_id", "n", "small"), "classes")
+    members = banded.select(F.explode("bands").alias("key"), F.col("node").alias("id"))
     facts = classes.select("node", "n", "small")
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, hashes) of the classes in ``nodes``, from the whole text of the document that carries each."""
+        needed = stage.write(nodes.join(stage.side(classes, classes.select("node", "doc_id")), "node"), "needed", nameless=F.count_if(F.isnull("doc_id")))
+        named = needed.where("doc_id is not null").select("doc_id").distinct()
+        found = text.join(stage.side(needed, named), "doc_id").select("doc_id", "text")
+        if stage.counted(needed)["nameless"]:
+            found = found.union(text.where("doc_id is null"))
+        found = found.mapInArrow(_set_batches, "node long, hashes binary").join(stage.side(needed, needed.select("node")), "node", "left_semi")
+        return stage.write(found, "sets")  # rows that repeat a doc_id may come twice, which changes nothing below
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        one, two = (facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("small").alias(f"small_{k}")).hint("merge") for k in "ab")
+        one, two = (stage.side(classes, facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("small").alias(f"small_{k}"))) for k in "ab")
         likely = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         likely = likely.select("a", "b", "small_a", "small_b").mapInArrow(_sketch_filter(percent / 100 - 0.2), "a long, b long")
         likely = stage.write(likely, "likely")
-        needed = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = stage.write(needed.join(classes.select("node", "doc_id").hint("merge"), "node"), "needed")
-        known = needed.where("doc_id is not null")
-        small = known.count() <= BROADCAST_ROWS
-        found = text.join(known.select(F.col("doc_id"), F.col("node").alias("of")).hint("broadcast" if small else "merge"), "doc_id")
-        nameless = text.where("doc_id is null") if needed.where("doc_id is null").limit(1).count() else None
-        found = found.select("doc_id", "text")
-        if nameless is not None:
-            found = found.union(nameless)
-        sets = stage.write(found.mapInArrow(_set_batches, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-        one, two = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"hashes_{k}")).hint("merge") for k in "ab")
+        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        one, two = (stage.side(sets, sets.select(F.col("node").alias(k), F.col("hashes").alias(f"hashes_{k}"))) for k in "ab")
         checked = likely.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b")
         return checked.mapInArrow(_exact_filter(percent), "a long, b long")
 
-    parts = link_groups(stage, members, confirm)
+    def bound(unsettled: DataFrame) -> tuple[DataFrame, str]:
+        """What two sets of different components can share at most, exactly, from facts of each.
+
+        Only shingles of two unsettled components or more can be shared: s of n are. Against the lead's such
+        shingles (l), a set lacks some, told apart by 256 bits, and has x others: two sets share at most
+        l - bits that either lacks + the smaller x.
+        """
+        parts_of = stage.write(unsettled.select("id", "component").distinct(), "parts")
+        sets = sets_of(parts_of.select(F.col("id").alias("node")))
+        each = sets.join(stage.side(parts_of, parts_of.select(F.col("id").alias("node"), "component")), "node").mapInArrow(_one_by_one, "id long, component long, shingle long")
+        across = each.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        shared = each.join(across.hint("merge"), "shingle").groupBy("id").agg(F.array_sort(F.collect_set("shingle")).alias("own"))  # no longer than one set
+        shared = stage.write(shared.join(stage.side(classes, classes.select(F.col("node").alias("id"), "n")), "id"), "shared")
+        can = unsettled.select("lead", "id").join(stage.side(shared, shared.where(f"100 * size(own) >= {percent} * n")), "id")
+        both = can.join(stage.side(shared, shared.select(F.col("id").alias("lead"), F.col("own").alias("led"))), "lead", "left")
+        facts_of = both.select("lead", "id", "n", "own", "led").mapInArrow(_against_lead, "lead long, id long, n long, s long, l long, x long, g0 long, g1 long, g2 long, g3 long")
+        most = "least(s_x, s_y, l_x + least(x_x, x_y)" + "".join(f" - bit_count(g{k}_x | g{k}_y)" for k in range(4)) + ")"
+        return facts_of, f"100 * {most} >= {percent} * (n_x + n_y - {most})"
+
+    parts = link_groups(stage, members, confirm, bound)
     named = classes.select("node", "doc_id")
     if parts is None:
         named = named.withColumn("component", F.col("node"))
     else:
-        named = named.join(parts.withColumnRenamed("id", "node").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(stage.side(parts, parts.select(F.col("id").alias("node"), "component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage.write(named.select("node", "component").join(lowest.hint("merge"), "component").select("node", "component", "component_id"), "named")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "node").join(named.hint("merge"), "node", "left")
@@ -220,16 +264,16 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Rows that repeat the doc_id of a kept document with the same words stay once; documents without words
     all stay. All columns stay.
     """
-    groups = near_duplicates(docs, percent).where("n_shingles > 0")
+    stage = Stage(docs.sparkSession, "minhash-drop")
+    groups = stage.write(near_duplicates(docs, percent).where("n_shingles > 0"), "groups")
     order = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")
-    best = groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    crowd = Stage(docs.sparkSession, "minhash-drop").write(groups.join(best.hint("merge"), "component").select(order.alias("it"), "best"), "crowd")
-    losers = crowd.where("it <> best").select("it.doc_id", "it.text_hash").distinct().toDF("_id", "_hash")
-    twice = crowd.where("it = best").groupBy("it").count().where("count > 1").select("it.doc_id", "it.text_hash").toDF("_id", "_hash")
-    hint = "broadcast" if crowd.count() <= BROADCAST_ROWS else "merge"
+    best = stage.write(groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
+    crowd = groups.join(stage.side(best), "component").select(order.alias("it"), "best")
+    losers = stage.write(crowd.where("it <> best").select("it.doc_id", "it.text_hash").distinct().toDF("_id", "_hash"), "losers")
+    twice = stage.write(crowd.where("it = best").groupBy("it").count().where("count > 1").select("it.doc_id", "it.text_hash").toDF("_id", "_hash"), "twice")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    left = docs.join(losers.hint(hint), same, "left_anti")
-    if twice.limit(1).count() == 0:
+    left = docs.join(stage.side(losers), same, "left_anti")
+    if not stage.rows(twice):
         return left
-    repeated = left.join(twice.hint(hint), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice.hint(hint), same, "left_anti").unionByName(repeated)
+    repeated = left.join(stage.side(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(stage.side(twice), same, "left_anti").unionByName(repeated)

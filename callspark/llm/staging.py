@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a written table up to which a join may broadcast it.
+BROADCAST_BYTES = 12_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,23 +24,46 @@ def shared_folder(spark: SparkSession) -> str:
 class Stage:
     """Writes tables under one folder of a run and reads them back; a step that is superseded can go.
 
-    Reading back cuts the lineage, survives the loss of executors, and gives the planner true sizes.
+    Reading back cuts the lineage, survives the loss of executors, and gives sizes that are known: ``rows`` of
+    what was written, and ``side`` for the way a join should take it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, tuple[DataFrame, str, int, int]] = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **counts) -> DataFrame:
+        """``df``, written and read again; ``counts`` are more aggregates to have of its rows."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(v.alias(k) for k, v in counts.items())).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._callspark_path = path
+        self.paths[id(out)] = (out, path, self._bytes(path), seen.get)
         return out
 
+    def _bytes(self, path: str) -> int:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).getContentSummary(at).getLength()
+
+    def rows(self, table: DataFrame) -> int:
+        return self.counted(table)["rows"]
+
+    def counted(self, table: DataFrame) -> dict:
+        return self.paths[id(table)][3]
+
+    def small(self, table: DataFrame) -> bool:
+        # a file of each task has about 1 kB of its own; the rows are what counts
+        return self.paths[id(table)][2] <= BROADCAST_BYTES and self.rows(table) <= BROADCAST_BYTES // 16
+
+    def side(self, table: DataFrame, made: DataFrame | None = None) -> DataFrame:
+        """``made`` (rows of ``table`` at most) with the hint to broadcast it if it was written small, else to merge."""
+        return (table if made is None else made).hint("broadcast" if self.small(table) else "merge")
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
-            if path := getattr(table, "_callspark_path", None):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _, path, _, _ = self.paths.pop(id(table))
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -33,6 +33,22 @@ def test_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want and len(rows) == len(docs)
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Copies with zero to eight edits: many are linked only to the least edited ones."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for k in range(250):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(9)):
+            words[at] = f"e{k}_{at}"
+        docs.append((k, " ".join(words)))
+    want = brute.near_duplicates(docs)
+    assert 1 < len({c for _, c, _ in want.values()}) < 200
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == want
+
+
 def test_edge_rows(spark):
     rows = [(None, "a b c"), (None, None), (7, "a b c"), (7, "a b c"), (7, "other words here now and then"), (None, "alone in here")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_shingles int, component string")
