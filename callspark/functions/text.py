@@ -40,7 +40,7 @@ def dense_length(text: Column) -> Column:
 
 def valid_date(text: Column) -> Column:
     """'YYYY-MM-DD' as a date; anything else, impossible days included, is null."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 # ---- masking ----------------------------------------------------------------------------------------------

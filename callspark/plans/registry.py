@@ -613,3 +613,81 @@ def o1_run_status(spark, sf):
     runs = events.select(F.col("user_id").alias("call_id"), stage.alias("stage"), F.lit(True).alias("present"), F.when((F.col("event_type") == "error") | (F.col("value") > 190), "timeout").alias("error"))
     routes = events.select(F.col("user_id").alias("call_id")).distinct().where("call_id % 2 = 0").select("call_id", F.lit("team").alias("team_name"), F.lit("P1").alias("priority"), F.lit("today").alias("sla"))
     return handoff.run_status(runs, routes).select("call_id", "state", "done", "failed", "status")
+
+
+# ---- more of each family ----------------------------------------------------------------------------------
+
+
+@query(f"""with {_CHURN_SQL}, r as (select *, call_id % 4 = 0 as escalate from churn) select call_id, score as churn_score, escalate or score >= 40 as needs_handoff, case when escalate or score >= 40 then 'T' end as team from r""")
+def c14_triage_batch(spark, sf):
+    speech = _speech(spark, sf)
+    routes = speech.select("call_id", F.lit("T").alias("team"), F.lit("P1").alias("priority"))
+    return rules.triage_batch(speech.select("call_id", (F.col("call_id") % 4 == 0).alias("escalate")), rules.score_churn(speech, fx.CHURN), routes).select("call_id", "churn_score", "needs_handoff", "team")
+
+
+@query(f"""with {_CHURN_SQL}, g as (select call_id, case when call_id % 2 = 0 then 50 end as given, score from churn) select call_id, coalesce(given, score) as churn_score from g""")
+def p9_enrich_calls(spark, sf):
+    speech = _speech(spark, sf)
+    given = speech.select("call_id", F.col("speech").alias("transcript"), F.when(F.col("call_id") % 2 == 0, 50).alias("churn_score"), F.lit(None).cast("string").alias("route_team"))
+    return rules.enrich_calls(given, rules.score_churn(speech, fx.CHURN), speech.select("call_id", F.lit("general").alias("team"))).select("call_id", "churn_score")
+
+
+@query("""with r as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events), c as (select user_id, n, trim(event_type || ' ' || props) as body from r where n <= 5)
+  select cast(user_id as varchar) || '-' || n as doc_id, case when length(body) > 20 then substr(body, 1, 20) || '…' else body end as title from c""")
+def p10_clean_custom_docs(spark, sf):
+    docs = fx.table(spark, sf, "events").select(F.col("user_id").alias("owner"), F.struct("ts", "event_id").alias("ord"), F.concat_ws(" ", "event_type", "props").alias("body"))
+    return search.clean_custom_docs(docs).select("doc_id", "title")
+
+
+@query("""select customer.c_custkey as key, case when c_custkey % 3 = 0 then 's' when c_custkey % 5 = 0 then 'arr' end as bad_key from customer""")
+def p13_contract_check(spark, sf):
+    rows = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 != 0, "x").otherwise(" ").alias("s"), F.when(F.col("c_custkey") % 5 != 0, F.array(F.lit("a"))).alias("arr"))
+    judged = rows.withColumn("arr", F.when(F.col("key") % 3 == 0, F.array(F.lit("a"))).otherwise(F.col("arr")))
+    good, bad = X.contract_check(judged, strings=["s"], string_arrays=["arr"])
+    return good.select("key", F.lit(None).cast("string").alias("bad_key")).union(bad.select("key", "bad_key"))
+
+
+@query(f"""with {fx.TURNS_SQL}, c as (select call_id, turn_no as chunk_no, turn_no * 10.0 as start, turn_no * 10.0 + 10 as "end", text, speaker from turns),
+  s as (select call_id, chunk_no, least(start + 1, "end") as start, least(start + 1 + length(text) / 16.0, "end") as "end" from c where speaker = 'agent')
+  select call_id, 'segment' as kind, start, "end" from s union all select call_id, 'blind', start, "end" from c where speaker <> 'agent'""")
+def w2_stitch_chunks(spark, sf):
+    t = fx.turns(spark, sf)
+    said = F.array(F.struct(F.lit(1.0).alias("start"), (1.0 + F.length("text") / 16.0).alias("end"), F.col("text").alias("text"), F.col("speaker").alias("speaker")))
+    chunks = t.select("call_id", F.col("turn_no").alias("chunk_no"), (F.col("turn_no") * 10.0).alias("start"), (F.col("turn_no") * 10.0 + 10).alias("end"), F.when(F.col("speaker") == "agent", said).alias("segments"))
+    segs, blind = timeline.stitch_chunks(chunks)
+    return segs.select("call_id", F.lit("segment").alias("kind"), "start", "end").unionByName(blind.select("call_id", F.lit("blind").alias("kind"), "start", "end"))
+
+
+@query(f"""with {fx.TURNS_SQL}, n as (select call_id, turn_no as seg_no, row_number() over (partition by call_id order by turn_no) as i from turns), l as (select call_id, speaker, row_number() over (partition by call_id order by turn_no) as i from turns where turn_no % 3 <> 0)
+  select n.call_id, seg_no, speaker from n left join l on n.call_id = l.call_id and n.i = l.i""")
+def w7_assign_speakers(spark, sf):
+    t = fx.turns(spark, sf)
+    lines = t.select("call_id", F.col("turn_no").alias("line_no"), F.when(F.col("turn_no") % 3 != 0, F.concat("speaker", F.lit(": "), "text")).otherwise(F.concat(F.lit("-"), "text")).alias("text"))
+    return timeline.assign_speakers(t.select("call_id", F.col("turn_no").alias("seg_no")), lines).select("call_id", "seg_no", "speaker")
+
+
+@query(f"""with {fx.TURNS_SQL} select call_id, turn_no as seg_no, case when turn_no = 1 then 'agent' else speaker end as speaker, turn_no = 1 as corrected from turns""")
+def w8_apply_speaker_corrections(spark, sf):
+    t = fx.turns(spark, sf).select("call_id", F.col("turn_no").alias("seg_no"), "speaker")
+    return timeline.apply_speaker_corrections(t, t.where("seg_no = 1").select("call_id", "seg_no", F.lit("agent").alias("speaker")))
+
+
+@query(f"""with {_BM25_SQL}, top as (select * from ranked where rank = 1) select item_id as query_id, case when top.score is null or top.score < 0.35 then 'none' when top.score < 1.2 then 'weak' else 'strong' end as confidence from benchmark left join top on query_id = item_id""")
+def r10_retrieval_confidence(spark, sf):
+    asked = fx.questions(spark, sf)
+    lexical = search.bm25_rank(asked, _index(spark, sf), 1, (), fx.latin_tokens).withColumn("weak", F.lit(False))
+    return search.retrieval_confidence(asked, lexical)
+
+
+@query(f"""with terms as (select distinct item_id as query_id, unnest({fx.latin_terms_sql('text')}) as term from benchmark), syn(word, canon) as (values ('tion', 'canon'), ('canon', 'canon'), ('thin', 'thing'), ('thing', 'thing'))
+  select query_id, term from terms union select query_id, canon from terms, syn where term = word or contains(term, word) or starts_with(word, term)""")
+def r3_expand_queries(spark, sf):
+    return search.expand_queries(fx.questions(spark, sf), (("canon", ("tion",)), ("thing", ("thin",))), fx.latin_tokens)
+
+
+@query(f"with {fx.CALLS_SQL}, a as (select max(day) as a from calls) select cast(a - 6 as varchar) as start, cast(a as varchar) as \"end\", 7 as days, cast(a - 13 as varchar) as previous_start, cast(a - 7 as varchar) as previous_end from a")
+def t1_t2_t3_periods(spark, sf):
+    now = voc.resolve_period(voc.anchor_date(fx.calls(spark, sf)), "week")
+    before = voc.previous_range(now).select(F.col("start").alias("previous_start"), F.col("end").alias("previous_end"))
+    both = now.crossJoin(F.broadcast(before))  # one row each
+    return both.select("days", *(F.col(c).cast("string").alias(c) for c in ("start", "end", "previous_start", "previous_end")))
