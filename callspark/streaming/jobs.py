@@ -90,7 +90,8 @@ class _Guide(StatefulProcessor):
         seen = {t[0] for t in self.seen.get()} if self.seen.exists() else set()
         for frame in rows:
             seen |= set(frame["tag"].dropna())
-        self.seen.put([(t,) for t in sorted(seen)])
+        if seen:
+            self.seen.put([(t,) for t in sorted(seen)])
         done = {t[2:] for t in seen if t.startswith("m:")}
         stage = next((name for name, ids in self.stages if not set(ids) <= done), self.stages[-1][0])
         missing = [i for name, ids in self.stages for i in ids if i not in done]
