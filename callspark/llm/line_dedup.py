@@ -1,16 +1,14 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Method. A line's words are its lower-cased runs of letters and digits (ASCII punctuation and blanks are breaks).
-Equal word sequences are one line. Each line's SimHash has 64 bits: each word of four characters and more (a
-long word) votes with its hash. Lines of ``fuzzy_words`` long words and more meet where they share all but two
-of the bit blocks (the pigeonhole: so many of them are untouched if at most 2 bits differ). Pairs within 2 bits
-are verified by edit similarity (1 - edit distance / longer length, of the words joined by blanks, at least
-``similarity``), groups are closed by ``link_groups``, and the occurrence with the smallest (doc_id, text hash,
-line number) of each group stays. The number of blocks follows from the count of distinct lines, so that keys
-stay selective; the guarantee is the same.
-
-Votes are counted natively: each word's hash is cut into eight longs of eight one-bit lanes, so that eight plain
-sums count all 64 bits of up to 127 words; longer lines are counted in parts that are then summed lane by lane.
+Equal word sequences are one line. A line of ``fuzzy_words`` words and more has a sketch of 13 values: for each of 13
+fixed numbers, the hash of a pair of neighbouring words that is nearest to it (smallest exclusive or), so that two
+lines agree in each value with a probability of the Jaccard similarity of their word pairs. Lines meet where they
+agree in the three values of one of 26 triples (a Steiner system: no two triples share two values). Every pair that
+meets is verified by edit similarity (1 - edit distance / longer length, of the words joined by blanks, at least
+``similarity``), with no other gate; groups are closed by ``link_groups``, and the occurrence with the smallest
+(doc_id, text hash, line number) of each group stays. Any 8 equal values of the 13 hold a triple. What may be missed
+are similar lines few of whose word pairs agree, such as lines with a typing error in every third word.
 
 Edit distances of lines over 4,096 characters are summed over blocks of that length at the same offsets, which is
 an upper bound, so such lines are only ever judged less similar than they are.
@@ -22,7 +20,7 @@ may lose all its lines; its text is then empty.
 
 from __future__ import annotations
 
-import itertools
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +30,11 @@ from callspark.llm.staging import Stage
 
 MIN_WORDS = 3
 FUZZY_WORDS = 8
-SIMILARITY = 0.9
-MAX_BITS = 2
-LONG_WORD = 4
-_PART = 127
-_LANES = 0x0101010101010101
+SIMILARITY = 0.85
+_VALUES = 13
+_TRIPLES = [tuple((x + k) % _VALUES for x in base) for base in ((0, 1, 4), (0, 2, 7)) for k in range(_VALUES)]
+_RNG = random.Random(20240229)
+_NEAR = [_RNG.getrandbits(64) - (1 << 63) for _ in range(_VALUES)]
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _CUT = 4096
 
@@ -55,72 +53,43 @@ def edit_similar(one: str, two: str, similarity: float) -> Column:
     return F.expr(f"case when abs(length({one}) - length({two})) > {limit} then false when greatest(length({one}), length({two})) <= {_CUT} then {plain} else {blocks} end")
 
 
-def _bits(counts: list[Column], total: Column) -> Column:
-    """64 votes as a long: a bit is set where more than half of ``total`` voted for it."""
-    bits = F.lit(0).cast("long")
-    for j, count in enumerate(counts):
-        bits = bits.bitwiseOR(F.when(2 * count > total, F.lit(1 << j if j < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
-    return bits
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row per line: where it is, its words, two hashes of them, and their number."""
+    # each step is its own projection: what stands beside a generator is computed for each row that it makes
+    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", "text_hash", "line_no", line_words(F.col("line")).alias("words"))
+    return lines.select("doc_id", "text_hash", "line_no", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("n"))
 
 
-_WHERE = ["doc_id", "text_hash", "line_no", "h1", "h2", "n", "n_long"]
+def _sketches(lines: DataFrame, fuzzy_words: int) -> DataFrame:
+    """(h1, chars, m0 ...): the length and the sketch of each distinct line of enough words."""
+    rows = lines.select("h1", "words", F.length(F.array_join("words", " ")).alias("chars"), F.when(F.col("n") >= fuzzy_words, F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))).alias("at"))
+    rows = rows.select("h1", "words", "chars", F.explode("at").alias("i"))
+    rows = rows.select("h1", "chars", F.xxhash64(F.get("words", F.col("i")), F.get("words", F.col("i") + 1)).alias("v"))
+    nearest = [F.min(F.col("v").bitwiseXOR(F.lit(x).cast("long"))).alias(f"m{j}") for j, x in enumerate(_NEAR)]
+    return rows.groupBy("h1").agg(F.max("chars").alias("chars"), *nearest)
 
 
-def _occurrences(docs: DataFrame, stage: Stage) -> DataFrame:
-    """A row per line of enough words: where it is, two hashes of its words, and its SimHash."""
-    # each step is its own projection: what stands beside a generator is computed for each row that it makes, and a
-    # filter on a computed column is computed with it once more
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "text_hash", "line_no", line_words(F.col("line")).alias("words"))
-    lines = lines.select("doc_id", "text_hash", "line_no", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("n"), F.filter("words", lambda w: F.length(w) >= LONG_WORD).alias("long"))
-    lines = lines.select("doc_id", "text_hash", "line_no", "h1", "h2", "n", F.size("long").alias("n_long"), "long")
-    lines = lines.select("doc_id", "text_hash", "line_no", "h1", "h2", "n", "n_long", F.posexplode_outer("long").alias("at", "word"))
-    lines = lines.withColumns({"v": F.xxhash64("word"), "part": F.coalesce(F.floor(F.col("at") / _PART), F.lit(0)).cast("int")})
-    lanes = [F.sum(F.when(F.col("word").isNotNull(), F.shiftrightunsigned("v", j).bitwiseAND(F.lit(_LANES))).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(8)]
-    summed = lines.groupBy(*_WHERE, "part").agg(*lanes)
-    lane = lambda j, k: F.shiftrightunsigned(f"s{j}", 8 * k).bitwiseAND(F.lit(255))
-    whole = F.col("n_long") <= _PART
-    bits = _bits([lane(b % 8, b // 8) for b in range(64)], F.col("n_long"))
-    summed = summed.select(*_WHERE, F.when(whole, bits).alias("bits"), *(F.when(~whole, F.col(f"s{j}")).alias(f"s{j}") for j in range(8)))
-    summed = stage.write(summed, "votes", parted=F.count_if(F.isnull("bits")))
-    parts = stage.counted(summed)["parted"]
-    summed = summed.where(f"n >= {MIN_WORDS}")
-    if not parts:
-        return summed.select(*_WHERE, "bits")
-    parted = summed.where("bits is null").groupBy(*_WHERE).agg(*(F.sum(lane(b % 8, b // 8)).alias(f"c{b}") for b in range(64)))
-    parted = stage.write(parted.select(*_WHERE, _bits([F.col(f"c{b}") for b in range(64)], F.col("n_long")).alias("bits")), "long-lines")
-    return summed.where("bits is not null").select(*_WHERE, "bits").unionByName(parted)
-
-
-def block_keys(bits: Column, blocks: int) -> Column:
-    """Array of keys: the bits outside each choice of MAX_BITS of the blocks."""
-    cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(cuts)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = []
-    for k, kept in enumerate(itertools.combinations(masks, blocks - MAX_BITS)):
-        keys.append(F.xxhash64(F.lit(k), bits.bitwiseAND(F.lit(signed(sum(kept))).cast("long"))))
-    return F.array(*keys)
-
-
-def _blocks_for(lines: int) -> int:
-    """Fewest blocks whose kept bits tell so many lines apart, with four bits to spare."""
-    return next((b for b in range(4, 12) if 64 * (b - MAX_BITS) / b >= max(lines, 1).bit_length() + 4), 12)
+def triple_keys() -> Column:
+    """Array of keys: one for each triple of sketch values."""
+    return F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in triple)) for k, triple in enumerate(_TRIPLES)))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS, stage: Stage | None = None) -> DataFrame:
     """(doc_id, text_hash, line_no) of the lines to remove from ``docs``, each once."""
     stage = stage or Stage(docs.sparkSession, "lines")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    found = _occurrences(text, stage)
+    each = _lines(text)
+    found = stage.write(each.select("doc_id", "text_hash", "line_no", "h1", "h2", "n"), "occurrences").where(f"n >= {MIN_WORDS}")
     place = F.struct("doc_id", "text_hash", "line_no")
-    lines = stage.write(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("bits").alias("bits"), F.first("n_long").alias("n_long")), "lines")
-    fuzzy = lines.where(f"n_long >= {fuzzy_words}")
-    members = fuzzy.select(F.explode(block_keys(F.col("bits"), _blocks_for(stage.rows(lines)))).alias("key"), F.col("h1").alias("id"))
+    lines = stage.write(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "lines")
+    fuzzy = stage.write(_sketches(each, max(fuzzy_words, MIN_WORDS)), "sketches")
+    members = fuzzy.select(F.explode(triple_keys()).alias("key"), F.col("h1").alias("id"))
+    possible = f"abs(chars_{{0}} - chars_{{1}}) <= floor({1 - similarity} * greatest(chars_{{0}}, chars_{{1}}) + 1e-9)"
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        one, two = (stage.side(lines, lines.select(F.col("h1").alias(k), F.col("bits").alias(f"bits_{k}"))) for k in "ab")
-        near = stage.write(pairs.join(one, "a").join(two, "b").where(f"bit_count(bits_a ^ bits_b) <= {MAX_BITS}").select("a", "b").distinct(), "near")
+        one, two = (stage.side(fuzzy, fuzzy.select(F.col("h1").alias(k), F.col("chars").alias(f"chars_{k}"))) for k in "ab")
+        near = stage.write(pairs.join(one, "a").join(two, "b").where(possible.format("a", "b")).select("a", "b").distinct(), "near")
         needed = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
         needed = stage.write(needed.join(stage.side(lines, lines.select("h1", "first")), "h1").select("h1", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.line_no").alias("line_no")), "needed")
         holder = stage.side(needed, needed.select("_id", "_hash", "line_no", "h1"))
@@ -131,8 +100,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words:
         return near.join(one, "a").join(two, "b").where(edit_similar("line_a", "line_b", similarity)).select("a", "b").distinct()
 
     def bound(unsettled: DataFrame) -> tuple[DataFrame, str]:
-        facts = unsettled.select("lead", "id").join(stage.side(lines, lines.select(F.col("h1").alias("id"), "bits")), "id")
-        return facts.dropDuplicates(["lead", "id"]), f"bit_count(bits_x ^ bits_y) <= {MAX_BITS}"
+        facts = unsettled.select("lead", "id").join(stage.side(fuzzy, fuzzy.select(F.col("h1").alias("id"), "chars")), "id")
+        return facts.dropDuplicates(["lead", "id"]), possible.format("x", "y")
 
     parts = link_groups(stage, members, confirm, bound)
     if parts is None:
