@@ -10,8 +10,8 @@ meets is verified by edit similarity (1 - edit distance / longer length, of the
 (doc_id, text hash, line number) of each group stays. Any 8 equal values of the 13 hold a triple. What may be missed
 are similar lines few of whose word pairs agree, such as lines with a typing error in every third word.
 
-Edit distances of lines over 4,096 characters are summed over blocks of that length at the same offsets, which is
-an upper bound, so such lines are only ever judged less similar than they are.
+Edit distances are exact for lines of any length: a band of the allowed distance is computed, so that the time of a
+pair grows with length times allowed distance, and its memory with the length.
 
 Cases: lines of fewer than ``min_words`` words are never removed; blank lines stay. A null text stays null. Rows
 that repeat doc_id and text are one document: what is removed is removed in each. Extra columns stay. A document
@@ -36,7 +36,6 @@ _TRIPLES = [tuple((x + k) % _VALUES for x in base) for base in ((0, 1, 4), (0, 2
 _RNG = random.Random(20240229)
 _NEAR = [_RNG.getrandbits(64) - (1 << 63) for _ in range(_VALUES)]
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_CUT = 4096
 
 
 def line_words(line: Column) -> Column:
@@ -45,12 +44,9 @@ def line_words(line: Column) -> Column:
 
 
 def edit_similar(one: str, two: str, similarity: float) -> Column:
-    """Whether 1 - edit distance / longer length >= ``similarity``; long texts in blocks."""
+    """Whether 1 - edit distance / longer length >= ``similarity``."""
     limit = f"cast(floor({1 - similarity} * greatest(length({one}), length({two})) + 1e-9) as int)"
-    plain = f"levenshtein({one}, {two}, {limit}) >= 0"
-    part = lambda x: f"substring({x}, i * {_CUT} + 1, {_CUT})"
-    blocks = f"aggregate(sequence(0, cast(greatest(length({one}), length({two})) / {_CUT} as int)), 0, (n, i) -> n + levenshtein({part(one)}, {part(two)})) <= {limit}"
-    return F.expr(f"case when abs(length({one}) - length({two})) > {limit} then false when greatest(length({one}), length({two})) <= {_CUT} then {plain} else {blocks} end")
+    return F.expr(f"case when abs(length({one}) - length({two})) > {limit} then false else levenshtein({one}, {two}, {limit}) >= 0 end")
 
 
 def _lines(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from callspark.llm.line_dedup import SIMILARITY, drop_repeated_lines
+from callspark.llm.line_dedup import SIMILARITY, drop_repeated_lines, edit_similar
 from tests.llm.test_line_dedup import _levenshtein
 
 
@@ -28,3 +28,11 @@ def test_lines_of_eight_short_words_take_part(spark):
     rows = [(1, "we go on up to it as is the day is at an end"), (2, "we go on up to it as is the day is at an eve")]
     out = {r.doc_id: r.removed for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: [], 2: [0]}
+
+
+def test_long_lines_with_an_insertion_near_the_start(spark):
+    rng = random.Random(6)
+    one = "".join(rng.choice("abcdefghij ") for _ in range(20_000))
+    two = one[:50] + "".join(rng.choice("klmnopqrst") for _ in range(600)) + one[50:]
+    row = spark.createDataFrame([(one, two)], "a string, b string").select(edit_similar("a", "b", 0.9).alias("near"), edit_similar("a", "b", 0.99).alias("same")).first()
+    assert row.near and not row.same
