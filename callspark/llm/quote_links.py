@@ -4,7 +4,12 @@ Method. A line's quote level is the number of ``>`` marks before its text (blank
 The unquoted lines of a message, normalised (case folded, blanks joined), are its passage of level 0; each run of
 lines of one level is a quoted passage. Hashes of normalised lines of quoted passages are joined to the unquoted
 lines of earlier messages of the same conversation: each quoted line is linked to the latest message before it
-that says it. The message that most lines of level 1 (or of the lowest level quoted) come from is what the
+that says it. Quoted lines that no message has as a line (re-wrapped, joined, or parts of a line) are linked by their
+passage: blanks and line breaks folded, its grams of five words (a passage of three or four words is one gram) are
+joined to those of the unquoted texts, each to the latest earlier message that says it; the passage comes from the
+message that most of its grams come from (ties to the latest), and so does each such line that one of these grams
+touches. Passages of one or two words are linked as lines only.
+The message that most lines of level 1 (or of the lowest level quoted) come from is what the
 message replies to; ties go to the latest. A message without such a link replies to nothing by quotation.
 
 A conversation is then put in reply order: a message that quotes stands after the message that its chain of
@@ -28,6 +33,7 @@ from pyspark.sql.window import Window
 
 from callspark.llm.staging import Stage
 
+_GRAM, _LEAST = 5, 3
 _QUOTED = r"^(?:[ \t]*>)+"
 
 
@@ -56,9 +62,63 @@ def link_quotes(messages: DataFrame, stage: Stage) -> DataFrame:
     said = said.join(stage.side(quoted, wanted), same(said, wanted), "left_semi")
     both = said.select("conv", "h1", "h2", "turn", F.lit(None).cast("long").alias("who"), F.lit(-1).alias("line_no"), F.lit(0).alias("level"), F.col("turn").alias("at"))
     both = both.unionByName(quoted.withColumn("at", F.lit(None).cast("long")))
+    links = stage.write(_latest_before(both).select("conv", "turn", "who", "line_no", "level", "origin"), "by-line")
+    lost = stage.write(links.where("origin is null").select("conv", "turn", "who").distinct(), "lost")
+    if not stage.rows(lost):
+        return links
+    found = _link_passages(messages, lost, stage).select(*(F.col(c).alias(f"_{c}") for c in ("conv", "turn", "who", "line_no")), F.col("origin").alias("_origin"))
+    found = stage.write(found, "by-passage")
+    here = links.conv.eqNullSafe(F.col("_conv")) & links.turn.eqNullSafe(F.col("_turn")) & (links.who == F.col("_who")) & (links.line_no == F.col("_line_no"))
+    return links.join(stage.side(found), here, "left").select("conv", "turn", "who", "line_no", "level", F.coalesce("origin", "_origin").alias("origin"))
+
+
+def _latest_before(both: DataFrame) -> DataFrame:
+    """Quoted rows (level > 0) with ``origin``: the latest earlier turn of the rows of level 0 with their hashes."""
     # earlier turns only: of one turn, what is quoted comes before what is said
     past = Window.partitionBy("conv", "h1", "h2").orderBy(F.col("turn").asc_nulls_first(), F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("origin", F.last("at", ignorenulls=True).over(past)).where("level > 0").select("conv", "turn", "who", "line_no", "level", "origin")
+    return both.withColumn("origin", F.last("at", ignorenulls=True).over(past)).where("level > 0")
+
+
+def _link_passages(messages: DataFrame, lost: DataFrame, stage: Stage) -> DataFrame:
+    """(conv, turn, who, line_no, origin) of the lines of the messages ``lost`` that grams of their passage link."""
+    conv = F.col("conv").eqNullSafe(F.col("_conv"))
+    one = [F.col(c).alias(f"_{c}") for c in lost.columns]
+    of = stage.side(lost, lost.select(*one))
+    lines = messages.select("conv", "turn", "who", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("conv", "turn", "who", "line_no", quote_level(F.col("line")).alias("level"), normal_line(F.col("line")).alias("said"))
+    # lines of one level with nothing between them have one difference of line number and rank
+    quoted = lines.where("level > 0").join(of, conv & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("who") == F.col("_who")), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("conv", "turn", "who", "level").orderBy("line_no"))
+    quoted = _grams(quoted.withColumn("run", F.col("line_no") - rank))
+    quoted = quoted.where(f"size = least(n, {_GRAM})").select("conv", "turn", "who", "level", "run", "first", "last", "h1", "h2")
+    quoted = stage.write(quoted, "quoted-grams")
+    own = stage.side(lost, lost.select(F.col("conv").alias("_conv")).distinct())
+    said = _grams(lines.where("level = 0").join(own, conv, "left_semi").withColumn("run", F.lit(0))).select("conv", "turn", "h1", "h2")
+    wanted = quoted.select(F.col("conv").alias("_conv"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    said = said.join(stage.side(quoted, wanted), conv & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left_semi").distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    both = said.select("conv", "turn", none("long").alias("who"), F.lit(0).alias("level"), none("int").alias("run"), none("int").alias("first"), none("int").alias("last"), "h1", "h2", F.col("turn").alias("at"))
+    both = both.unionByName(quoted.withColumn("at", none("long")))
+    grams = stage.write(_latest_before(both).where("origin is not null").select("conv", "turn", "who", "level", "run", "first", "last", "origin"), "grams")
+    passage = Window.partitionBy("conv", "turn", "who", "level", "run")
+    votes = grams.groupBy("conv", "turn", "who", "level", "run", "origin").agg(F.count("*").alias("votes"), F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("lines"))
+    votes = votes.withColumn("place", F.row_number().over(passage.orderBy(F.desc("votes"), F.desc("origin")))).where("place = 1")
+    return votes.select("conv", "turn", "who", F.explode("lines").alias("line_no"), "origin")
+
+
+def _grams(lines: DataFrame) -> DataFrame:
+    """(conv, turn, who, level, run, size, n, first, last, h1, h2): grams of 3 to 5 words of each run, and the lines they reach over."""
+    words = lines.select("conv", "turn", "who", "level", "run", "line_no", F.posexplode(F.split("said", " ")).alias("at", "word")).where("word <> ''")
+    run = Window.partitionBy("conv", "turn", "who", "level", "run")
+    ahead = run.orderBy("line_no", "at")
+    rows = words.select("*", F.count("*").over(run).alias("n"), *(F.lead("word", k).over(ahead).alias(f"w{k}") for k in range(1, _GRAM)), *(F.lead("line_no", k - 1).over(ahead).alias(f"e{k}") for k in range(_LEAST, _GRAM + 1)))
+    each = []
+    for size in range(_LEAST, _GRAM + 1):
+        gram = ["word", *(f"w{k}" for k in range(1, size))]
+        hashes = [F.xxhash64(F.lit(seed), *gram).alias(name) for seed, name in ((size, "h1"), (size + _GRAM, "h2"))]
+        each.append(F.when(F.col(f"e{size}").isNotNull(), F.struct(F.lit(size).alias("size"), F.col(f"e{size}").alias("last"), *hashes)))
+    rows = rows.select("conv", "turn", "who", "level", "run", "n", F.col("line_no").alias("first"), F.explode(F.array(*each)).alias("gram")).where("gram is not null")
+    return rows.select("conv", "turn", "who", "level", "run", "n", "first", "gram.*")
 
 
 def _chain_starts(stage: Stage, replies: DataFrame) -> DataFrame:
