@@ -599,6 +599,21 @@ def e2_cer_within(spark, sf):
     return verify.cer_within(_cer_pairs(spark, sf), 0.05).where("unverifiable is not null").select("doc_id", "unverifiable", "within")
 
 
+def _cer_whole(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("reference"), F.replace("text", F.lit("tion"), F.lit("shun")).alias("hypothesis"))
+
+
+@query()
+def e1_corpus_cer_whole(spark, sf):
+    """Whole texts with all their letters. No SQL: it counts bytes, and its edit distance is quadratic in the longest texts."""
+    return verify.corpus_cer(verify.cer(_cer_whole(spark, sf)), "lang").select("lang", "pairs", F.col("distance").cast("long").alias("distance"), F.col("ref_length").cast("long").alias("ref_length"))
+
+
+@query()
+def e2_cer_within_whole(spark, sf):
+    return verify.cer_within(_cer_whole(spark, sf), 0.05).where("unverifiable is not null").select("doc_id", "unverifiable", "within")
+
+
 # ---- hand-off ---------------------------------------------------------------------------------------------
 
 _STAGE_OF = {"click": "stt", "purchase": "analyze", "signup": "qa", "view": "voc", "error": "dia"}
