@@ -526,6 +526,16 @@ def r5_bm25_rank(spark, sf):
     return search.bm25_rank(fx.questions(spark, sf), _index(spark, sf), 10, (), fx.latin_tokens).where("rank = 1").select("query_id", "doc_id", "score")
 
 
+def _first_holding(docs, queries_, block=10_000):
+    """(query_id, expected): the first document that holds each question; questions go to the documents in blocks of about ``block``."""
+    n_blocks, held = max(1, -(-queries_.count() // block)), None
+    for i in range(n_blocks):
+        part = queries_.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        found = docs.join(F.broadcast(part), F.expr("contains(text, q)")).groupBy("query_id").agg(F.min("doc_id").alias("expected"))
+        held = found if held is None else held.union(found)
+    return held
+
+
 @query(f"""with {_BM25_SQL}, qrels as (select b.item_id as query_id, min(d.doc_id) as expected from benchmark b left join documents d on contains(d.text, b.text) group by 1),
   met as (select q.*, case when top.query_id is null then 'none' when top.score < 0.35 then 'none' else 'some' end as conf, r.rank from qrels q left join ranked top on top.query_id = q.query_id and top.rank = 1 left join (select * from ranked where rank <= 10) r on r.query_id = q.query_id and r.doc_id = q.expected)
   select 'all' as "set", count(*) as total, count(expected) as answerable, coalesce({_r("sum(case when rank = 1 then 1 else 0 end) filter (expected is not null) / count(expected)", 3)}, 0.0) as recall1, coalesce({_r("sum(case when rank <= 3 then 1 else 0 end) filter (expected is not null) / count(expected)", 3)}, 0.0) as recall3,
@@ -533,8 +543,7 @@ def r5_bm25_rank(spark, sf):
 def r17_evaluate_ranker(spark, sf):
     """Each benchmark item asks for the first document that holds it; items that no document holds should go unanswered."""
     queries_ = fx.questions(spark, sf)
-    # a stated query set against all documents
-    held = fx.table(spark, sf, "documents").join(F.broadcast(queries_), F.expr("contains(text, q)")).groupBy("query_id").agg(F.min("doc_id").alias("expected")) if queries_.count() <= 10_000 else None
+    held = _first_holding(fx.table(spark, sf, "documents"), queries_)
     qrels = queries_.select("query_id", F.lit("all").alias("set")).join(held, "query_id", "left")
     ranked = search.bm25_rank(queries_, _index(spark, sf), 10, (), fx.latin_tokens)
     return search.evaluate_ranker(ranked, qrels, search.retrieval_confidence(queries_, ranked))[0]
