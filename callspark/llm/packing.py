@@ -164,7 +164,9 @@ class SumOfSquares:
     squared counts ends smallest. ``emit`` gets (sequence number, pieces) of each window that closes.
 
     A piece is (document, start, ids). At ``close`` what is left in open windows is poured together, cutting where
-    a window ends, and the last rest is laid out in sequences of powers of two; nothing is padded then.
+    a window ends, and the last rest is laid out in sequences of powers of two; nothing is padded then. More than
+    ``max_open`` open windows are closed in the same way in mid-partition: what they hold is poured together in plain
+    order instead of by sums of squares, no ids are lost, and packing starts anew with no window open.
     """
 
     def __init__(self, size: int, emit: Callable[[list], None], max_open: int = MAX_OPEN):
