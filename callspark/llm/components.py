@@ -52,12 +52,14 @@ def link_groups(stage: Stage, members: DataFrame, confirm: Callable[[DataFrame],
     if not stage.rows(shared):
         return None
     held = stage.write(members.join(stage.side(shared), "key"), "members")
+    stage.drop(shared)
     # the least changed copy of a group meets most others
     central = stage.write(held.groupBy("id").agg(F.sum("n").alias("met")), "central")
     lead = held.join(stage.side(central), "id").groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("one"))
     lead = stage.write(lead, "leaders")
-    pairs = held.join(stage.side(lead), "key").where("id <> one").select(*low_high).distinct()
-    edges = stage.write(confirm(stage.write(pairs, "pairs")), "links")
+    pairs = stage.write(held.join(stage.side(lead), "key").where("id <> one").select(*low_high).distinct(), "pairs")
+    edges = stage.write(confirm(pairs), "links")
+    stage.drop(central, pairs)
     parts = connected_components(stage, edges) if stage.rows(edges) else None
 
     members_of = held.select("key", "id")
@@ -72,6 +74,7 @@ def link_groups(stage: Stage, members: DataFrame, confirm: Callable[[DataFrame],
         return parts
     left = of.join(stage.side(opened), "key").join(stage.side(lead, lead.withColumnRenamed("one", "lead")), "key")
     left = stage.write(left, "unsettled")
+    stage.drop(held, lead, opened)
     facts, possible = bound(stage.write(left.select("lead", "id", "component").distinct(), "ids"))
     facts = stage.write(facts, "facts")
     names = [c for c in facts.columns if c not in ("lead", "id")]

@@ -1,21 +1,25 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Method. A line's words are its lower-cased runs of letters and digits (ASCII punctuation and blanks are breaks).
-Equal word sequences are one line. A line of ``fuzzy_words`` words and more has a sketch of 13 values: for each of 13
-fixed numbers, the hash of a pair of neighbouring words that is nearest to it (smallest exclusive or), so that two
-lines agree in each value with a probability of the Jaccard similarity of their word pairs. Lines meet where they
-agree in the three values of one of 26 triples (a Steiner system: no two triples share two values). Every pair that
-meets is verified by edit similarity (1 - edit distance / longer length, of the words joined by blanks, at least
+Equal word sequences are one line. A distinct line of ``fuzzy_words`` words and more has a sketch of nine values: for
+each of nine fixed numbers, the hash of a pair of neighbouring words that is nearest to it (smallest exclusive or), so
+that two lines agree in each value with a probability of about the Jaccard similarity of their word pairs. Lines meet
+where they agree in all three values of one of 12 blocks (the lines of an affine plane: any two values are in one
+block, so by the pigeonhole principle any seven equal values of the nine hold a block). Lines of fewer than 16 words,
+whose few pairs change with any word, also meet where they are equal but for one word in either. Every pair that meets is
+verified by edit similarity (1 - edit distance / longer length, of the words joined by blanks, at least
 ``similarity``), with no other gate; groups are closed by ``link_groups``, and the occurrence with the smallest
-(doc_id, text hash, line number) of each group stays. Any 8 equal values of the 13 hold a triple. What may be missed
-are similar lines few of whose word pairs agree, such as lines with a typing error in every third word.
+(doc_id, text hash, line number) of each group stays. Bits of a SimHash differ too often for this similarity: README
+has the figures of both. Missed may be similar lines few of whose word pairs agree, such as lines with a typing error
+in every fourth word.
 
 Edit distances are exact for lines of any length: a band of the allowed distance is computed, so that the time of a
 pair grows with length times allowed distance, and its memory with the length.
 
 Cases: lines of fewer than ``min_words`` words are never removed; blank lines stay. A null text stays null. Rows
-that repeat doc_id and text are one document: what is removed is removed in each. Extra columns stay. A document
-may lose all its lines; its text is then empty.
+that repeat doc_id and text are one document: what is removed is removed in each. Null ids come before others.
+Extra columns stay, whatever their names, but for ``n_lines`` and ``removed``, which are replaced. A document may
+lose all its lines; its text is then empty. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,11 +35,17 @@ from callspark.llm.staging import Stage
 MIN_WORDS = 3
 FUZZY_WORDS = 8
 SIMILARITY = 0.85
-_VALUES = 13
-_TRIPLES = [tuple((x + k) % _VALUES for x in base) for base in ((0, 1, 4), (0, 2, 7)) for k in range(_VALUES)]
+#: Lines of fewer words have keys without each of their words.
+SHORT_WORDS = 16
+_VALUES = 9
+_BLOCKS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+# spread over the range, so that a pair is seldom nearest to two of them
 _RNG = random.Random(20240229)
-_NEAR = [_RNG.getrandbits(64) - (1 << 63) for _ in range(_VALUES)]
+_NEAR = [((2 * k + 1) << 59) + _RNG.getrandbits(59) - (1 << 63) for k in range(_VALUES)]
+_SEQUENCES = [f"s{k}" for k in range((_VALUES + 1) // 2)]
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Pairs of lines that one task verifies, about.
+_PAIRS_A_TASK = 2_000
 
 
 def line_words(line: Column) -> Column:
@@ -49,57 +59,65 @@ def edit_similar(one: str, two: str, similarity: float) -> Column:
     return F.expr(f"case when abs(length({one}) - length({two})) > {limit} then false else levenshtein({one}, {two}, {limit}) >= 0 end")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line: where it is, its words, two hashes of them, and their number."""
+def _occurrences(text: DataFrame, fuzzy_words: int) -> DataFrame:
+    """A row per line: where it is, two hashes of its words, their number and length, its sketch, two values of 32 bits to a long, and hashes without each word."""
     # each step is its own projection: what stands beside a generator is computed for each row that it makes
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = text.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "text_hash", "line_no", line_words(F.col("line")).alias("words"))
-    return lines.select("doc_id", "text_hash", "line_no", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("n"))
-
-
-def _sketches(lines: DataFrame, fuzzy_words: int) -> DataFrame:
-    """(h1, chars, m0 ...): the length and the sketch of each distinct line of enough words."""
-    rows = lines.select("h1", "words", F.length(F.array_join("words", " ")).alias("chars"), F.when(F.col("n") >= fuzzy_words, F.sequence(F.lit(0), F.greatest(F.col("n") - 2, F.lit(0)))).alias("at"))
-    rows = rows.select("h1", "words", "chars", F.explode("at").alias("i"))
-    rows = rows.select("h1", "chars", F.xxhash64(F.get("words", F.col("i")), F.get("words", F.col("i") + 1)).alias("v"))
-    nearest = [F.min(F.col("v").bitwiseXOR(F.lit(x).cast("long"))).alias(f"m{j}") for j, x in enumerate(_NEAR)]
-    return rows.groupBy("h1").agg(F.max("chars").alias("chars"), *nearest)
-
-
-def triple_keys() -> Column:
-    """Array of keys: one for each triple of sketch values."""
-    return F.array(*(F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in triple)) for k, triple in enumerate(_TRIPLES)))
+    where = ["doc_id", "text_hash", "line_no"]
+    lines = lines.select(*where, "words", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.length(F.array_join("words", " ")).alias("chars"))
+    pairs = F.zip_with(F.slice("words", 1, F.col("n") - 1), F.slice("words", 2, F.col("n") - 1), lambda a, b: F.xxhash64(a, b))
+    but_one = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.xxhash64(F.concat(F.slice("words", 1, k), F.slice("words", k + 2, F.col("n")))))
+    fuzzy, short = F.col("n") >= fuzzy_words, F.col("n") < SHORT_WORDS
+    lines = lines.select(*where, "n", "h1", "h2", "chars", F.when(fuzzy, pairs).alias("pairs"), F.when(fuzzy & short, but_one).alias("but_one"))
+    nearest = [F.expr(f"array_min(transform(pairs, v -> v ^ {x}L))").alias(f"m{j}") for j, x in enumerate(_NEAR)]
+    lines = lines.select(*where, "n", "h1", "h2", "chars", "but_one", *nearest)
+    low = lambda j: F.col(f"m{j}").bitwiseAND(F.lit(0xFFFFFFFF))
+    packed = [(low(2 * k).bitwiseOR(F.shiftleft(f"m{2 * k + 1}", 32)) if 2 * k + 1 < _VALUES else low(2 * k)).alias(s) for k, s in enumerate(_SEQUENCES)]
+    return lines.select(*where, "n", "h1", "h2", "chars", *packed, "but_one")
+
+
+def line_keys() -> Column:
+    """Array of keys of a line: one for each block of sketch values, and those without one word."""
+    value = lambda j: F.shiftrightunsigned(_SEQUENCES[j // 2], 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    blocks = F.array(*(F.xxhash64(F.lit(k), *map(value, block)) for k, block in enumerate(_BLOCKS)))
+    return F.concat(blocks, F.coalesce(F.array_distinct("but_one"), F.array().cast("array<long>")))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS, stage: Stage | None = None) -> DataFrame:
-    """(doc_id, text_hash, line_no) of the lines to remove from ``docs``, each once."""
+    """(doc_id, text_hash, line_no) of the lines to remove from ``docs``, each once or more."""
     stage = stage or Stage(docs.sparkSession, "lines")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    each = _lines(text)
-    found = stage.write(each.select("doc_id", "text_hash", "line_no", "h1", "h2", "n"), "occurrences").where(f"n >= {MIN_WORDS}")
+    found = stage.write(_occurrences(text, max(fuzzy_words, MIN_WORDS)), "occurrences")
     place = F.struct("doc_id", "text_hash", "line_no")
-    lines = stage.write(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")), "lines")
-    fuzzy = stage.write(_sketches(each, max(fuzzy_words, MIN_WORDS)), "sketches")
-    members = fuzzy.select(F.explode(triple_keys()).alias("key"), F.col("h1").alias("id"))
+    lines = found.where(f"n >= {MIN_WORDS}").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.max("chars").alias("chars"), *(F.max(s).alias(s) for s in _SEQUENCES), F.first("but_one").alias("but_one"))
+    lines = stage.write(lines.select("h1", "h2", "first.*", "times", "chars", *_SEQUENCES, "but_one"), "lines")
+    fuzzy = lines.where(F.col(_SEQUENCES[0]).isNotNull())
+    members = fuzzy.select(F.explode(line_keys()).alias("key"), F.col("h1").alias("id"))
     possible = f"abs(chars_{{0}} - chars_{{1}}) <= floor({1 - similarity} * greatest(chars_{{0}}, chars_{{1}}) + 1e-9)"
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        one, two = (stage.side(fuzzy, fuzzy.select(F.col("h1").alias(k), F.col("chars").alias(f"chars_{k}"))) for k in "ab")
-        near = stage.write(pairs.join(one, "a").join(two, "b").where(possible.format("a", "b")).select("a", "b").distinct(), "near")
+        one, two = (stage.side(lines, fuzzy.select(F.col("h1").alias(k), F.col("chars").alias(f"chars_{k}"))) for k in "ab")
+        near = stage.write(pairs.join(one, "a").join(two, "b").where(possible.format("a", "b")).select("a", "b"), "near")
         needed = near.select(F.col("a").alias("h1")).union(near.select("b")).distinct()
-        needed = stage.write(needed.join(stage.side(lines, lines.select("h1", "first")), "h1").select("h1", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.line_no").alias("line_no")), "needed")
-        holder = stage.side(needed, needed.select("_id", "_hash", "line_no", "h1"))
-        of = text.join(holder, text.doc_id.eqNullSafe(F.col("_id")) & (text.text_hash == F.col("_hash")))
-        lines_of = of.select("h1", F.array_join(line_words(F.split("text", "\n")[F.col("line_no")]), " ").alias("line"))
-        lines_of = stage.write(lines_of.dropDuplicates(["h1", "line"]), "texts")
-        one, two = (stage.side(lines_of, lines_of.select(F.col("h1").alias(k), F.col("line").alias(f"line_{k}"))) for k in "ab")
-        return near.join(one, "a").join(two, "b").where(edit_similar("line_a", "line_b", similarity)).select("a", "b").distinct()
+        needed = needed.join(stage.side(lines, fuzzy.select("h1", "doc_id", "text_hash", "line_no")), "h1")
+        needed = stage.write(needed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("h1", "line_no")).alias("at")), "needed")
+        asked = needed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
+        of = text.join(stage.side(needed, asked), text.doc_id.eqNullSafe(F.col("_id")) & (text.text_hash == F.col("_hash")))
+        # split once for each document
+        said = F.transform(F.array(F.split("text", "\n")), lambda s: F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), s[x["line_no"]].alias("line"))))[0]
+        of = of.select(F.explode(said).alias("it")).select("it.h1", F.array_join(line_words(F.col("it.line")), " ").alias("line"))
+        of = stage.write(of.groupBy("h1").agg(F.min("line").alias("line")), "texts")
+        one, two = (stage.side(of, of.select(F.col("h1").alias(k), F.col("line").alias(f"line_{k}"))) for k in "ab")
+        both = near.repartition(1 + stage.rows(near) // _PAIRS_A_TASK, "a", "b").join(one, "a").join(two, "b")
+        return both.where(edit_similar("line_a", "line_b", similarity)).select("a", "b")
 
     def bound(unsettled: DataFrame) -> tuple[DataFrame, str]:
-        facts = unsettled.select("lead", "id").join(stage.side(fuzzy, fuzzy.select(F.col("h1").alias("id"), "chars")), "id")
-        return facts.dropDuplicates(["lead", "id"]), possible.format("x", "y")
+        facts = unsettled.select("lead", "id").distinct().join(stage.side(lines, fuzzy.select(F.col("h1").alias("id"), "chars")), "id")
+        return facts, possible.format("x", "y")
 
     parts = link_groups(stage, members, confirm, bound)
+    where = ["doc_id", "text_hash", "line_no"]
     if parts is None:
         again = lines.where("times > 1").withColumn("component", F.xxhash64("h1", "h2"))
     else:
@@ -107,21 +125,26 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words:
         again = lines.join(stage.side(parts, part), "h1", "left").where("times > 1 or component is not null")
         # a line in no group is a group of its own, told apart by both hashes
         again = again.withColumn("component", F.coalesce("component", F.xxhash64("h1", "h2")))
-    again = stage.write(again.select("h1", "h2", "first", "component"), "again")
-    kept = again.groupBy("component").agg(F.min("first").alias("kept"))
-    again = stage.write(again.join(kept.hint("merge"), "component").select("h1", "h2", "kept"), "kept")
-    return found.join(stage.side(again), ["h1", "h2"]).where(place != F.col("kept")).select("doc_id", "text_hash", "line_no")
+    again = stage.write(again.select("h1", "h2", F.struct(*where).alias("first"), "component"), "again")
+    kept = stage.write(again.groupBy("component").agg(F.min("first").alias("kept")), "kept")
+    again = stage.write(again.join(stage.side(kept), "component").select("h1", "h2", "kept"), "kept-of")
+    return found.select(*where, "h1", "h2").join(stage.side(again), ["h1", "h2"]).where(place != F.col("kept")).select(*where)
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with new texts, and the columns ``n_lines``, ``removed`` (line numbers from 0, ascending)."""
     stage = Stage(docs.sparkSession, "lines")
-    gone = repeated_lines(docs, similarity, fuzzy_words, stage).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("line_no")).alias("_removed"))
+    gone = repeated_lines(docs, similarity, fuzzy_words, stage).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
     gone = stage.write(gone, "gone")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    out = docs.join(stage.side(gone), same, "left")
-    split = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: split[i]), "\n"))
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    return out.select(*others, text.alias("text"), F.size(split).cast("long").alias("n_lines"), F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
+    stage.drop(*(table for table, *_ in list(stage.paths.values()) if table is not gone))
+    # the given columns are packed up, so that none has a name that is used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("at_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("at_hash", F.xxhash64("text"))
+    out = rows.join(stage.side(gone), F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_hash") == F.col("text_hash")), "left")
+    kept = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "gone"), lambda i: s[i])
+    # an array of one, so that a text is split once and not once a line
+    left = F.transform(F.array(F.split("text", "\n")), lambda s: F.array_join(kept(s), "\n"))[0]
+    n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    out = out.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    others = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "removed")]
+    return out.select(*others, "text", "n_lines", "removed")

@@ -4,23 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bytes of a written table up to which a join may broadcast it.
-BROADCAST_BYTES = 12_000_000
+#: Bytes of a written table, as rows in memory, up to which a join may broadcast it.
+BROADCAST_BYTES = 16_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, local runs), a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset on a local master (tests), a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_callspark_folder", None) or tempfile.mkdtemp(prefix="spark-callspark-")
         spark._callspark_folder = folder
     return folder.rstrip("/")
 
 
+def _row_bytes(schema: T.StructType) -> Column:
+    """About what a row takes in memory."""
+    total = F.lit(16 + 8 * len(schema)).cast("long")
+    for field in schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total += F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            total += F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 8
+        elif isinstance(field.dataType, T.StructType):
+            total += 8 * len(field.dataType)
+    return total
+
+
+_watched: list[list[Stage]] = []
+
+
 class Stage:
     """Writes tables under one folder of a run and reads them back; a step that is superseded can go.
 
@@ -30,40 +51,56 @@ class Stage:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, tuple[DataFrame, str, int, int]] = {}
+        self.paths: dict[int, tuple[DataFrame, str, dict]] = {}
+        if _watched:
+            _watched[-1].append(self)
 
     def write(self, df: DataFrame, name: str, **counts) -> DataFrame:
         """``df``, written and read again; ``counts`` are more aggregates to have of its rows."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(v.alias(k) for k, v in counts.items())).write.parquet(path)
+        more = {"rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))} | counts
+        df.observe(seen, *(v.alias(k) for k, v in more.items())).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (out, path, self._bytes(path), seen.get)
+        self.paths[id(out)] = (out, path, seen.get)
         return out
 
-    def _bytes(self, path: str) -> int:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(conf).getContentSummary(at).getLength()
-
     def rows(self, table: DataFrame) -> int:
         return self.counted(table)["rows"]
 
     def counted(self, table: DataFrame) -> dict:
-        return self.paths[id(table)][3]
+        return self.paths[id(table)][2]
 
     def small(self, table: DataFrame) -> bool:
-        # a file of each task has about 1 kB of its own; the rows are what counts
-        return self.paths[id(table)][2] <= BROADCAST_BYTES and self.rows(table) <= BROADCAST_BYTES // 16
+        return self.counted(table)["bytes"] <= BROADCAST_BYTES
 
     def side(self, table: DataFrame, made: DataFrame | None = None) -> DataFrame:
-        """``made`` (rows of ``table`` at most) with the hint to broadcast it if it was written small, else to merge."""
+        """``made`` (rows of ``table`` at most) with the hint to broadcast it if ``table`` is small, else to merge."""
         return (table if made is None else made).hint("broadcast" if self.small(table) else "merge")
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
+        """Removes tables that no later step reads, and lets Spark's cleaner find the shuffle files of ended steps."""
         for table in tables:
-            _, path, _, _ = self.paths.pop(id(table))
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.paths.pop(id(table))[1])
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        """Removes the run's folder, when its result has been written."""
+        self.paths.clear()
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes, at its end, the folders of all stages that began inside; their results must have been written by then."""
+    _watched.append([])
+    try:
+        yield
+    finally:
+        for stage in _watched.pop():
+            stage.clear()
