@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callspark.llm.staging import Stage
+from callspark.llm.staging import Stage, packed, unpacked
 from callspark.llm.textbytes import ALNUM_WORDS, TextSlice, Words, ragged_positions, slices, window_hash
 
 _U = np.uint64
@@ -199,5 +199,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     gone = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     stage = Stage(docs.sparkSession, "decontaminate")
     gone = stage.write(gone, "gone")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    return docs.join(stage.side(gone), same, "left_anti")
+    same = F.col("at_id").eqNullSafe(F.col("_id")) & (F.col("at_hash") == F.col("_hash"))
+    return unpacked(packed(docs).join(stage.side(gone), same, "left_anti"), docs)

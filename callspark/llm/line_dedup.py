@@ -1,20 +1,21 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Method. A line's words are its lower-cased runs of letters and digits (ASCII punctuation and blanks are breaks).
-Equal word sequences are one line. A distinct line of ``fuzzy_words`` words and more has a sketch of nine values: for
-each of nine fixed numbers, the hash of a pair of neighbouring words that is nearest to it (smallest exclusive or), so
-that two lines agree in each value with a probability of about the Jaccard similarity of their word pairs. Lines meet
-where they agree in all three values of one of 12 blocks (the lines of an affine plane: any two values are in one
-block, so by the pigeonhole principle any seven equal values of the nine hold a block). Lines of fewer than 16 words,
-whose few pairs change with any word, also meet where they are equal but for one word in either. Every pair that meets is
-verified by edit similarity (1 - edit distance / longer length, of the words joined by blanks, at least
-``similarity``), with no other gate; groups are closed by ``link_groups``, and the occurrence with the smallest
-(doc_id, text hash, line number) of each group stays. Bits of a SimHash differ too often for this similarity: README
-has the figures of both. Missed may be similar lines few of whose word pairs agree, such as lines with a typing error
-in every fourth word.
-
-Edit distances are exact for lines of any length: a band of the allowed distance is computed, so that the time of a
-pair grows with length times allowed distance, and its memory with the length.
+Equal word sequences are one line. A distinct line of ``fuzzy_words`` words and more has a sketch of 12 values: for each
+third of its pairs of neighbouring words, and for each of four fixed numbers, the hash of a pair that is nearest to the
+number (smallest exclusive or; of triples of words in long lines), so that two lines agree in a value with a probability of about the Jaccard similarity
+of that third's pairs. Lines meet where they agree in one of 16 blocks of three values, one of each third (an orthogonal
+array: any values of two thirds are in one block). A passage that many lines share seldom reaches over all thirds, and
+doesn't bring them together by itself. Lines of fewer than 16 words, whose few pairs change with any word, also meet where
+they are equal but for one word in either. Every pair that meets is verified by edit similarity (1 - edit distance /
+longer length, of the words joined by blanks, at least ``similarity``), with no other gate; groups are closed by
+``link_groups``, and the occurrence with the smallest (doc_id, text hash, line number) of each group stays. Bits of a
+SimHash differ too often for this similarity: README has the figures of both. Missed may be similar lines that differ
+in many words of one third.
+
+Edit distances are exact for lines of any length. Where a walk over the words shows that the distance is small enough,
+nothing more is computed; for others a band of the allowed distance is, so that the time of a pair grows with
+length times allowed distance, and its memory with the length.
 
 Cases: lines of fewer than ``min_words`` words are never removed; blank lines stay. A null text stays null. Rows
 that repeat doc_id and text are one document: what is removed is removed in each. Null ids come before others.
@@ -30,22 +31,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callspark.llm.components import link_groups
-from callspark.llm.staging import Stage
+from callspark.llm.staging import Stage, packed
 
 MIN_WORDS = 3
 FUZZY_WORDS = 8
 SIMILARITY = 0.85
 #: Lines of fewer words have keys without each of their words.
 SHORT_WORDS = 16
-_VALUES = 9
-_BLOCKS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
+#: Long lines have many pairs of words in common with any other: lines of so many words have keys of triples, fewer than that of pairs, between the two of both.
+LONG_WORDS = (108, 128)
+_THIRDS, _EACH = 3, 4
+_BLOCKS = [(a, _EACH + b, 2 * _EACH + (a ^ b)) for a in range(_EACH) for b in range(_EACH)]
 # spread over the range, so that a pair is seldom nearest to two of them
 _RNG = random.Random(20240229)
-_NEAR = [((2 * k + 1) << 59) + _RNG.getrandbits(59) - (1 << 63) for k in range(_VALUES)]
-_SEQUENCES = [f"s{k}" for k in range((_VALUES + 1) // 2)]
+_NEAR = [(2 * k + 1) * (1 << 63) // _EACH + _RNG.getrandbits(56) - (1 << 63) for k in range(_EACH)]
+_SKETCHES = [[f"{of}{k}" for k in range(_THIRDS * _EACH // 2)] for of in "st"]
+_SEQUENCES = [s for sketch in _SKETCHES for s in sketch]
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Pairs of lines that one task verifies, about.
-_PAIRS_A_TASK = 2_000
+#: Pairs of lines that one task verifies by a table of distances, about.
+_PAIRS_A_TASK = 250
 
 
 def line_words(line: Column) -> Column:
@@ -53,10 +57,39 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _BREAKS), "")
 
 
+def _limit(one: str, two: str, similarity: float) -> str:
+    return f"cast(floor({1 - similarity} * greatest(length({one}), length({two})) + 1e-9) as int)"
+
+
+def _walk(one: str, two: str, similarity: float) -> str:
+    """Whether a walk over both lines' words shows that they are similar.
+
+    Where words differ it replaces one, or inserts or drops up to eight to where the lines agree again: one way of
+    editing, which never costs less than the distance.
+    """
+    limit, here, there = _limit(one, two, similarity), "get(x.one, k)", "get(x.two, s.at)"
+    ahead, back = f"array_position(slice(x.two, s.at + 2, 8), {here})", f"array_position(slice(x.one, k + 2, 8), {there})"
+    to = lambda at, cost: f"named_struct('at', {at}, 'cost', s.cost + {cost})"
+    cost = f"""aggregate(sequence(0, size(x.one) - 1), named_struct('at', 0, 'cost', 0), (s, k) -> case
+        when {here} = {there} then {to("s.at + 1", "0")}
+        when s.cost > x.far then s
+        when s.at >= size(x.two) then {to("s.at", f"length({here}) + 1")}
+        when coalesce(get(x.one, k + 1) = get(x.two, s.at + 1), false) then {to("s.at + 1", f"greatest(length({here}), length({there}))")}
+        when {ahead} > 0 and ({back} = 0 or {ahead} <= {back}) then {to(f"s.at + 1 + cast({ahead} as int)", f"aggregate(slice(x.two, s.at + 1, cast({ahead} as int)), 0, (n, w) -> n + length(w) + 1)")}
+        when {back} > 0 then {to("s.at", f"length({here}) + 1")}
+        else {to("s.at + 1", f"greatest(length({here}), length({there}))")} end,
+        s -> s.cost + aggregate(slice(x.two, s.at + 1, size(x.two)), 0, (n, w) -> n + length(w) + 1))"""
+    return f"transform(array(named_struct('one', split({one}, ' '), 'two', split({two}, ' '), 'far', {limit})), x -> {cost})[0] <= {limit}"
+
+
+def _near(one: str, two: str, similarity: float) -> str:
+    limit = _limit(one, two, similarity)
+    return f"case when abs(length({one}) - length({two})) > {limit} then false else levenshtein({one}, {two}, {limit}) >= 0 end"
+
+
 def edit_similar(one: str, two: str, similarity: float) -> Column:
-    """Whether 1 - edit distance / longer length >= ``similarity``."""
-    limit = f"cast(floor({1 - similarity} * greatest(length({one}), length({two})) + 1e-9) as int)"
-    return F.expr(f"case when abs(length({one}) - length({two})) > {limit} then false else levenshtein({one}, {two}, {limit}) >= 0 end")
+    """Whether 1 - edit distance / longer length >= ``similarity``, of words joined by blanks."""
+    return F.expr(f"case when {_walk(one, two, similarity)} then true else {_near(one, two, similarity)} end")
 
 
 def _occurrences(text: DataFrame, fuzzy_words: int) -> DataFrame:
@@ -66,22 +99,30 @@ def _occurrences(text: DataFrame, fuzzy_words: int) -> DataFrame:
     lines = lines.select("doc_id", "text_hash", "line_no", line_words(F.col("line")).alias("words"))
     where = ["doc_id", "text_hash", "line_no"]
     lines = lines.select(*where, "words", F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.length(F.array_join("words", " ")).alias("chars"))
-    pairs = F.zip_with(F.slice("words", 1, F.col("n") - 1), F.slice("words", 2, F.col("n") - 1), lambda a, b: F.xxhash64(a, b))
-    but_one = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.xxhash64(F.concat(F.slice("words", 1, k), F.slice("words", k + 2, F.col("n")))))
-    fuzzy, short = F.col("n") >= fuzzy_words, F.col("n") < SHORT_WORDS
-    lines = lines.select(*where, "n", "h1", "h2", "chars", F.when(fuzzy, pairs).alias("pairs"), F.when(fuzzy & short, but_one).alias("but_one"))
-    nearest = [F.expr(f"array_min(transform(pairs, v -> v ^ {x}L))").alias(f"m{j}") for j, x in enumerate(_NEAR)]
+    run = lambda k, size: f"slice(words, {k + 1}, n - {size - 1})"
+    pairs = f"zip_with({run(0, 2)}, {run(1, 2)}, (a, b) -> xxhash64(a, b))"
+    triples = f"zip_with(zip_with({run(0, 3)}, {run(1, 3)}, (a, b) -> xxhash64(a, b)), {run(2, 3)}, (a, b) -> xxhash64(a, b))"
+    but_one = "transform(sequence(0, n), k -> xxhash64(concat(slice(words, 1, k), slice(words, k + 2, n))))"
+    least, most = LONG_WORDS
+    parts = {"s": (f"n >= {fuzzy_words} and n < {most}", pairs), "t": (f"n >= {max(least, fuzzy_words)}", triples), "but_one": (f"n >= {fuzzy_words} and n < {SHORT_WORDS}", but_one)}
+    lines = lines.select(*where, "n", "h1", "h2", "chars", *(F.expr(f"case when {of} then {made} end").alias(name) for name, (of, made) in parts.items()))
+    cut = lambda of, k: f"cast({k} * size({of}) / {_THIRDS} as int)"
+    thirds = [F.expr(f"slice({of}, 1 + {cut(of, k)}, {cut(of, k + 1)} - {cut(of, k)})").alias(f"{of}_{k}") for of in "st" for k in range(_THIRDS)]
+    lines = lines.select(*where, "n", "h1", "h2", "chars", "but_one", *thirds)
+    nearest = [F.expr(f"array_min(transform({of}_{k}, v -> v ^ {x}L))").alias(f"{of}_{k * _EACH + j}") for of in "st" for k in range(_THIRDS) for j, x in enumerate(_NEAR)]
     lines = lines.select(*where, "n", "h1", "h2", "chars", "but_one", *nearest)
-    low = lambda j: F.col(f"m{j}").bitwiseAND(F.lit(0xFFFFFFFF))
-    packed = [(low(2 * k).bitwiseOR(F.shiftleft(f"m{2 * k + 1}", 32)) if 2 * k + 1 < _VALUES else low(2 * k)).alias(s) for k, s in enumerate(_SEQUENCES)]
+    packed = [F.col(f"{of}_{2 * k}").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftleft(f"{of}_{2 * k + 1}", 32)).alias(s) for of, sketch in zip("st", _SKETCHES) for k, s in enumerate(sketch)]
     return lines.select(*where, "n", "h1", "h2", "chars", *packed, "but_one")
 
 
-def line_keys() -> Column:
-    """Array of keys of a line: one for each block of sketch values, and those without one word."""
-    value = lambda j: F.shiftrightunsigned(_SEQUENCES[j // 2], 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    blocks = F.array(*(F.xxhash64(F.lit(k), *map(value, block)) for k, block in enumerate(_BLOCKS)))
-    return F.concat(blocks, F.coalesce(F.array_distinct("but_one"), F.array().cast("array<long>")))
+def line_keys(lines: DataFrame) -> DataFrame:
+    """(key, id): the keys of each line, one for each block of sketch values, and those without one word."""
+    of = [lines.where("but_one is not null").select(F.explode(F.array_distinct("but_one")).alias("key"), F.col("h1").alias("id"))]
+    for k, sketch in enumerate(_SKETCHES):
+        value = lambda j, sketch=sketch: F.shiftrightunsigned(sketch[j // 2], 32 * (j % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+        blocks = F.array(*(F.xxhash64(F.lit(len(_BLOCKS) * k + i), *map(value, block)) for i, block in enumerate(_BLOCKS)))
+        of.append(lines.where(F.col(sketch[0]).isNotNull()).select(F.explode(blocks).alias("key"), F.col("h1").alias("id")))
+    return of[0].union(of[1]).union(of[2])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS, stage: Stage | None = None) -> DataFrame:
@@ -92,8 +133,8 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words:
     place = F.struct("doc_id", "text_hash", "line_no")
     lines = found.where(f"n >= {MIN_WORDS}").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.max("chars").alias("chars"), *(F.max(s).alias(s) for s in _SEQUENCES), F.first("but_one").alias("but_one"))
     lines = stage.write(lines.select("h1", "h2", "first.*", "times", "chars", *_SEQUENCES, "but_one"), "lines")
-    fuzzy = lines.where(F.col(_SEQUENCES[0]).isNotNull())
-    members = fuzzy.select(F.explode(line_keys()).alias("key"), F.col("h1").alias("id"))
+    fuzzy = lines.where(F.coalesce(*(sketch[0] for sketch in _SKETCHES)).isNotNull())
+    members = line_keys(fuzzy)
     possible = f"abs(chars_{{0}} - chars_{{1}}) <= floor({1 - similarity} * greatest(chars_{{0}}, chars_{{1}}) + 1e-9)"
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -108,9 +149,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words:
         said = F.transform(F.array(F.split("text", "\n")), lambda s: F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), s[x["line_no"]].alias("line"))))[0]
         of = of.select(F.explode(said).alias("it")).select("it.h1", F.array_join(line_words(F.col("it.line")), " ").alias("line"))
         of = stage.write(of.groupBy("h1").agg(F.min("line").alias("line")), "texts")
-        one, two = (stage.side(of, of.select(F.col("h1").alias(k), F.col("line").alias(f"line_{k}"))) for k in "ab")
-        both = near.repartition(1 + stage.rows(near) // _PAIRS_A_TASK, "a", "b").join(one, "a").join(two, "b")
-        return both.where(edit_similar("line_a", "line_b", similarity)).select("a", "b")
+        one, two = (of.select(F.col("h1").alias(k), F.col("line").alias(f"line_{k}")).hint("merge") for k in "ab")
+        both = near.join(one, "a").join(two, "b").withColumn("sure", F.expr(_walk("line_a", "line_b", similarity)))
+        rest = lambda k: F.when(~F.col("sure"), F.col(f"line_{k}")).alias(f"line_{k}")
+        walked = stage.write(both.select("a", "b", "sure", rest("a"), rest("b")), "walked", unsure=F.count_if(~F.col("sure")))
+        # few rows, each of which may take long
+        unsure = walked.where("not sure").repartition(1 + stage.counted(walked)["unsure"] // _PAIRS_A_TASK, "a", "b")
+        return walked.where("sure").select("a", "b").union(unsure.where(F.expr(_near("line_a", "line_b", similarity))).select("a", "b"))
 
     def bound(unsettled: DataFrame) -> tuple[DataFrame, str]:
         facts = unsettled.select("lead", "id").distinct().join(stage.side(lines, fuzzy.select(F.col("h1").alias("id"), "chars")), "id")
@@ -131,20 +176,30 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words:
     return found.select(*where, "h1", "h2").join(stage.side(again), ["h1", "h2"]).where(place != F.col("kept")).select(*where)
 
 
-def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """``docs`` with new texts, and the columns ``n_lines``, ``removed`` (line numbers from 0, ascending)."""
+def _cleaned(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
+    """(row, text, n_lines, removed): packed rows, their new texts, and what was removed."""
     stage = Stage(docs.sparkSession, "lines")
     gone = repeated_lines(docs, similarity, fuzzy_words, stage).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
     gone = stage.write(gone, "gone")
     stage.drop(*(table for table, *_ in list(stage.paths.values()) if table is not gone))
-    # the given columns are packed up, so that none has a name that is used here
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("at_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("at_hash", F.xxhash64("text"))
-    out = rows.join(stage.side(gone), F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_hash") == F.col("text_hash")), "left")
+    rows = packed(docs).join(stage.side(gone), F.col("at_id").eqNullSafe(F.col("doc_id")) & (F.col("at_hash") == F.col("text_hash")), "left")
     kept = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "gone"), lambda i: s[i])
     # an array of one, so that a text is split once and not once a line
     left = F.transform(F.array(F.split("text", "\n")), lambda s: F.array_join(kept(s), "\n"))[0]
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long")
-    out = out.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    return rows.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"), n_lines.alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+
+
+def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    """``docs`` with new texts, and the columns ``n_lines``, ``removed`` (line numbers from 0, ascending)."""
     others = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "removed")]
-    return out.select(*others, "text", "n_lines", "removed")
+    return _cleaned(docs, similarity, fuzzy_words).select(*others, "text", "n_lines", "removed")
+
+
+def clean_lines(docs: DataFrame, length: str = "n_chars", similarity: float = SIMILARITY, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    """``docs`` with new texts; the column ``length``, if there is one, follows the texts that changed. No other column changes."""
+    rows, kinds = _cleaned(docs, similarity, fuzzy_words), dict(docs.dtypes)
+    new = {"text": F.col("text").cast(kinds["text"])}
+    if length in kinds:
+        new[length] = F.when(F.size("removed") > 0, F.length("text").cast(kinds[length])).otherwise(F.col(f"row.`{length}`"))
+    return rows.select(F.struct(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns)).alias("row")).select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callspark.llm.components import link_groups
-from callspark.llm.staging import Stage
+from callspark.llm.staging import Stage, packed, passing, unpacked
 from callspark.llm.textbytes import SPACE_WORDS, TextSlice, mix, ragged_positions, slices, window_hash
 
 _U = np.uint64
@@ -265,15 +265,16 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     all stay. All columns stay.
     """
     stage = Stage(docs.sparkSession, "minhash-drop")
-    groups = stage.write(near_duplicates(docs, percent).where("n_shingles > 0"), "groups")
+    with passing():
+        groups = stage.write(near_duplicates(docs, percent).where("n_shingles > 0"), "groups")
     order = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_hash")
     best = stage.write(groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"), "best")
     crowd = groups.join(stage.side(best), "component").select(order.alias("it"), "best")
     losers = stage.write(crowd.where("it <> best").select("it.doc_id", "it.text_hash").distinct().toDF("_id", "_hash"), "losers")
     twice = stage.write(crowd.where("it = best").groupBy("it").count().where("count > 1").select("it.doc_id", "it.text_hash").toDF("_id", "_hash"), "twice")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    left = docs.join(stage.side(losers), same, "left_anti")
+    same = F.col("at_id").eqNullSafe(F.col("_id")) & (F.col("at_hash") == F.col("_hash"))
+    left = packed(docs).join(stage.side(losers), same, "left_anti")
     if not stage.rows(twice):
-        return left
-    repeated = left.join(stage.side(twice), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(stage.side(twice), same, "left_anti").unionByName(repeated)
+        return unpacked(left, docs)
+    repeated = left.join(stage.side(twice), same, "left_semi").dropDuplicates(["at_id", "text"])
+    return unpacked(left.join(stage.side(twice), same, "left_anti").unionByName(repeated), docs)

@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 6
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") > 0).alias("good")).where("_id is not null and good is not null")
     order = [F.xxhash64("_id", F.lit(11)), "_id"]
     picked = known.where("good").orderBy(*order).limit(sample).union(known.where("not good").orderBy(*order).limit(sample))  # two bounded sets of ids
-    text = docs.join(F.broadcast(picked), docs["doc_id"].cast("long") == F.col("_id")).select(F.pmod(F.xxhash64("_id", F.lit(12)), F.lit(5)).alias("fold"), "good", docs["text"].cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.pmod(F.xxhash64("_id", F.lit(12)), F.lit(5)).alias("fold"), "good", "text")
     table = text.mapInArrow(_sparse_batches, "fold long, good boolean, at array<int>, share array<float>").toArrow()
     good = np.array(table["good"].to_pylist(), dtype=bool)
     if not good.any() or good.all():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a written table, as rows in memory, up to which a join may broadcast it.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +39,17 @@ def _row_bytes(schema: T.StructType) -> Column:
     return total
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, at_id, at_hash, text): the given columns as one, so that none of them has a name that an operator uses."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("at_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("at_hash", F.xxhash64("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from its packed rows."""
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 _watched: list[list[Stage]] = []
 
 

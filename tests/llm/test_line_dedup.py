@@ -104,3 +104,21 @@ def test_edit_similarity_of_long_lines(spark):
     one, two = "ab" * 5000, "ab" * 4990 + "xyzw" * 5
     row = spark.createDataFrame([(one, two)], "a string, b string").select(edit_similar("a", "b", 0.9).alias("near"), edit_similar("a", "b", 0.9999).alias("same")).first()
     assert row.near and not row.same
+
+
+def test_edit_similarity_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(800):
+        vocab = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(rng.choice([3, 8, 30]))]
+        one = [rng.choice(vocab) for _ in range(rng.randrange(1, 25))]
+        two = list(one)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(two) + 1)
+            two[i : i + rng.randrange(3)] = [rng.choice(vocab) for _ in range(rng.randrange(4))]
+        rows.append((" ".join(one), " ".join(two)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for similarity in (0.6, 0.85):
+        got = [(r.a, r.b) for r in df.where(edit_similar("a", "b", similarity)).collect()]
+        want = [(a, b) for a, b in rows if _levenshtein(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9]
+        assert sorted(got) == sorted(want) and 100 < len(want) < 800
