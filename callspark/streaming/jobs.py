@@ -77,19 +77,28 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Guide(StatefulProcessor):
-    """State of an open call: mentions said and signals seen; emits the stage after each batch of turns."""
+    """State of an open call: mentions said and signals seen; emits the stage after each batch of turns.
+
+    A timer in event time, set anew by each batch, clears the state of a call that has been silent.
+    """
 
     def __init__(self, stages, idle_ms: int):
         self.stages, self.idle_ms = stages, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "tag string", ttlDurationMs=self.idle_ms)
+        self.seen = handle.getListState("seen", "tag string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen = {t[0] for t in self.seen.get()} if self.seen.exists() else set()
+        ends = [timerValues.getCurrentWatermarkInMs() + 1]
         for frame in rows:
             seen |= set(frame["tag"].dropna())
+            ends.extend(int(at) + self.idle_ms for at in frame["at_ms"].dropna())
+        timers = list(self.handle.listTimers())
+        for at in timers:
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max([*ends, *timers]))
         if seen:
             self.seen.put([(t,) for t in sorted(seen)])
         done = {t[2:] for t in seen if t.startswith("m:")}
@@ -97,19 +106,25 @@ class _Guide(StatefulProcessor):
         missing = [i for name, ids in self.stages for i in ids if i not in done]
         yield pd.DataFrame([(key[0], stage, ",".join(missing[:2]), ",".join(sorted(t[2:] for t in seen if t.startswith("a:"))))], columns=["call_id", "stage", "next_mentions", "alerts"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield pd.DataFrame(columns=["call_id", "stage", "next_mentions", "alerts"])
+
     def close(self) -> None:
         pass
 
 
-def live_guide(turns: DataFrame, mentions=D.MENTIONS, signals=D.CHURN_SIGNALS, stages=D.CALL_STAGES, playbook=D.PLAYBOOK, idle: str = "30 minutes") -> DataFrame:
-    """(call_id, stage, next_mentions, alerts), again whenever turns (call_id, speaker, text) arrive; a silent call's state expires."""
-    agent = match_rules(turns.where("speaker = 'agent'"), mentions, "text").select("call_id", F.concat(F.lit("m:"), "rule").alias("tag"))
+def live_guide(turns: DataFrame, mentions=D.MENTIONS, signals=D.CHURN_SIGNALS, stages=D.CALL_STAGES, playbook=D.PLAYBOOK, idle: str = "30 minutes", ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """(call_id, stage, next_mentions, alerts), again whenever turns (call_id, speaker, text, ts) arrive; the state of a call expires when the
+    watermark has passed its last turn by ``idle``."""
+    turns = turns.withWatermark(ts, delay).withColumn("at_ms", F.floor(micros(ts) / 1000).cast("long"))
+    agent = match_rules(turns.where("speaker = 'agent'"), mentions, "text").select("call_id", F.concat(F.lit("m:"), "rule").alias("tag"), "at_ms", ts)
     risks = tuple(s for s in signals if s[0] in playbook)
-    customer = match_rules(turns.where("speaker = 'customer'"), risks, "text").select("call_id", F.concat(F.lit("a:"), "rule").alias("tag"))
-    tags = agent.union(customer).union(turns.select("call_id", F.lit(None).cast("string").alias("tag")))
+    customer = match_rules(turns.where("speaker = 'customer'"), risks, "text").select("call_id", F.concat(F.lit("a:"), "rule").alias("tag"), "at_ms", ts)
+    tags = agent.union(customer).union(turns.select("call_id", F.lit(None).cast("string").alias("tag"), "at_ms", ts))
     kind = turns.schema["call_id"].dataType.simpleString()
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return tags.groupBy("call_id").transformWithStateInPandas(statefulProcessor=_Guide(stages, idle_ms), outputStructType=f"call_id {kind}, stage string, next_mentions string, alerts string", outputMode="Update", timeMode="ProcessingTime")
+    return tags.groupBy("call_id").transformWithStateInPandas(statefulProcessor=_Guide(stages, idle_ms), outputStructType=f"call_id {kind}, stage string, next_mentions string, alerts string", outputMode="Update", timeMode="EventTime")
 
 
 class _Admission(StatefulProcessor):
@@ -156,8 +171,10 @@ def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts
     return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Admission(max_hits, seconds), outputStructType="bucket string, request_id string, at bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> Callable[[], DataFrame]:
-    """Runs a stream over what is there, into an in-memory table (for tests and backfills)."""
+def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float = 300) -> Callable[[], DataFrame]:
+    """Runs a stream over what is there, into an in-memory table (for tests and backfills); TimeoutError after ``seconds``."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"{name} had not ended after {seconds} s")
     return lambda: df.sparkSession.table(name)

@@ -3,21 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each stage's result to the shared folder and reads it back for the next.
 
-SQL can't express the classifier, the SimHash groups, the shingle groups or the packing; each stage is tested
+SQL can't express the classifier, the groups of similar lines, the shingle groups or the packing; each stage is tested
 against a brute-force version of its operator, and ``run`` against the stages' composition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callspark.llm.decontaminate import drop_contaminated
-from callspark.llm.line_dedup import drop_repeated_lines
+from callspark.llm.line_dedup import clean_lines
 from callspark.llm.minhash_dedup import drop_near_duplicates
 from callspark.llm.packing import pack_online
 from callspark.llm.quality import keep_good
-from callspark.llm.staging import Stage
+from callspark.llm.staging import Stage, passing
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines said before, in this or another document, go; ``n_chars`` follows the new text."""
-    out = drop_repeated_lines(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return clean_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage, docs = Stage(spark, "corpus"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage, docs, last = Stage(spark, "corpus"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage.write(step(spark, docs, sf_dir), name)
+        with passing():
+            docs = stage.write(step(spark, docs, sf_dir), name)
+        if last is not None:
+            stage.drop(last)
+        last = docs
     return docs

@@ -59,8 +59,22 @@ def test_stateful_jobs(spark, tmp_path):
         got = {int(r.request_id): r.accepted for r in table().collect()}
         twin = {r.request_id: r.accepted for r in telemetry.admit_requests(requests.withColumn("request_id", F.col("request_id").cast("string")), 2, 10).collect()}
         assert got == {int(k): v for k, v in twin.items() if k != "999"}
-        turns = spark.createDataFrame([("a", "agent", "안녕하세요 녹음됩니다"), ("a", "customer", "해지할게요"), ("b", "customer", "네")], "call_id string, speaker string, text string")
-        guided = jobs.run_available(jobs.live_guide(_stream(spark, turns, tmp_path / "t")), "guided", str(tmp_path / "cp2"), "update")
-        assert {r.call_id: (r.stage, r.alerts) for r in guided().collect()} == {"a": ("verify", "cancel-intent"), "b": ("open", "")}
+        said = [("a", "agent", "안녕하세요 녹음됩니다", 0), ("a", "customer", "해지할게요", 1), ("b", "customer", "네", 2)]
+        turns = spark.createDataFrame([(c, who, text, T0 + datetime.timedelta(minutes=k)) for c, who, text, k in said], "call_id string, speaker string, text string, ts timestamp")
+        later = spark.createDataFrame([("c", "customer", "네", T0 + datetime.timedelta(hours=3)), ("d", "customer", "네", T0 + datetime.timedelta(hours=6))], turns.schema)
+        again = spark.createDataFrame([("a", "customer", "네", T0 + datetime.timedelta(hours=7))], turns.schema)
+        query = jobs.live_guide(_stream(spark, turns, tmp_path / "t")).writeStream.format("memory").queryName("guided").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).start()
+        try:
+            said = []
+            for more in (None, later, again):
+                if more is not None:
+                    more.write.mode("append").parquet(str(tmp_path / "t"))
+                query.processAllAvailable()
+                said.append({(r.call_id, r.stage, r.alerts) for r in spark.table("guided").collect()})
+            assert said[0] == {("a", "verify", "cancel-intent"), ("b", "open", "")}
+            assert said[1] - said[0] == {("c", "open", ""), ("d", "open", "")}
+            assert said[2] - said[1] == {("a", "open", "")}  # the call's state had expired
+        finally:
+            query.stop()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
