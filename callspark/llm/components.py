@@ -5,7 +5,8 @@ of a key to one leader, the member that meets most others over all its keys (pai
 with their square), and merges what is confirmed.
 Members of a key that already are in one component need no further pairs. What remains - members outside the
 most frequent component of their key - is then compared with all members of the key in other components, but
-for pairs that an exact bound rules out, so no link between two components is lost.
+for pairs that an exact bound rules out, so no link between two components is lost. Each such pair is made once, however
+many keys both have; their number can still grow with the square of the members of a key that are not linked.
 """
 
 from __future__ import annotations
@@ -79,9 +80,14 @@ def link_groups(stage: Stage, members: DataFrame, confirm: Callable[[DataFrame],
     facts = stage.write(facts, "facts")
     names = [c for c in facts.columns if c not in ("lead", "id")]
     known = stage.write(left.join(stage.side(facts), ["lead", "id"]), "known")
+    # a pair is made under the smallest key that both have, and so once
+    keys_of = stage.write(known.groupBy("id").agg(F.collect_list("key").alias("keys")), "keys-of")
+    known = stage.write(known.join(stage.side(keys_of), "id"), "known")
+    names.append("keys")
     one = known.where("component <> most").select("key", F.col("id").alias("one"), F.col("component").alias("its"), *(F.col(c).alias(f"{c}_x") for c in names))
-    two = known.select("key", "id", "component", *(F.col(c).alias(f"{c}_y") for c in names))
-    pairs = two.join(stage.side(known, one), "key").where(f"component <> its and ({possible})").select(*low_high).distinct()
+    two = known.select("key", "id", "component", "most", *(F.col(c).alias(f"{c}_y") for c in names))
+    once = "(component = most or id < one) and array_min(array_intersect(keys_x, keys_y)) = key"
+    pairs = two.join(stage.side(known, one), "key").where(f"component <> its and ({possible}) and {once}").select(*low_high)
     pairs = stage.write(pairs, "pairs")
     if stage.rows(pairs):
         more = stage.write(confirm(pairs), "links")
