@@ -179,11 +179,17 @@ def outbound_text(calls: DataFrame, column: str = "transcript", out: str = "outb
 # ---- tokens -----------------------------------------------------------------------------------------------
 
 # Particles and endings that are cut from a word, longest first when applied.
-PARTICLES = ("으로서 으로써 이라도 에게서 한테서 에서 에게 한테 까지 부터 으로 보다 처럼 만큼 이나 라도 이라 은 는 이 가 을 를 의 에 와 과 도 만 로 랑").split()
+# fmt: off
+PARTICLES = (
+    "으로서", "으로써", "이라도", "에게서", "한테서", "에서", "에게", "한테", "까지", "부터", "으로", "보다", "처럼", "만큼", "이나", "라도", "이라", "은", "는", "이", "가", "을", "를", "의",
+    "에", "와", "과", "도", "만", "로", "랑",
+)
 ENDINGS = (
-    "인데요 한데요 거든요 나요 까요 가요 데요 어요 아요 해요 예요 이에요 네요 지요 군요 려면 하려고 되나요 됩니까 습니까 입니까 합니다 습니다 입니다 했어요 "
-    "해주세요 주세요 싶어요 있어요 없어요 하려면 하면 되면 한다면 하고 해서 하려고요 려고요 하고요 드려요 드릴까요 될까요 인가요 한가요"
-).split()
+    "인데요", "한데요", "거든요", "나요", "까요", "가요", "데요", "어요", "아요", "해요", "예요", "이에요", "네요", "지요", "군요", "려면", "하려고", "되나요", "됩니까", "습니까", "입니까", "합니다",
+    "습니다", "입니다", "했어요", "해주세요", "주세요", "싶어요", "있어요", "없어요", "하려면", "하면", "되면", "한다면", "하고", "해서", "하려고요", "려고요", "하고요", "드려요", "드릴까요", "될까요", "인가요",
+    "한가요",
+)
+# fmt: on
 
 
 def _suffix(words: Sequence[str]) -> str:
