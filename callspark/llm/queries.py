@@ -78,5 +78,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP3_SQL = rf"""
+WITH RECURSIVE said AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, array_to_string(words[k : k + 4], ' ') AS shingle
+  FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k FROM said WHERE len(words) > 0)
+), sizes AS (
+  SELECT said.rid, said.doc_id, count(shingle) AS n FROM said LEFT JOIN shingles USING (rid) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS same FROM shingles x JOIN shingles y USING (shingle) WHERE x.rid <> y.rid GROUP BY ALL)
+  JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b WHERE 100 * same >= 75 * (p.n + q.n - same)
+), reached AS (
+  SELECT rid AS a, rid AS b FROM sizes UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+), named AS (
+  SELECT a AS rid, min(doc_id) AS component_id FROM reached JOIN sizes ON sizes.rid = b GROUP BY a
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN named USING (rid)
+"""
+
+_OP10_SQL = rf"""
+WITH said AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, words, least(10, len(words)) AS size
+  FROM (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark) WHERE len(words) > 0
+), wanted AS (
+  SELECT DISTINCT item, size, array_to_string(words[k : k + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS k FROM items)
+), seen AS (
+  SELECT rid, size, k, array_to_string(words[k : k + size - 1], ' ') AS gram
+  FROM (SELECT rid, words, size, unnest(range(1, greatest(len(words) - size + 2, 1))) AS k FROM said, (SELECT DISTINCT size FROM items))
+), hits AS (
+  SELECT rid, k, size, item FROM seen JOIN wanted USING (size, gram)
+), places AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS place FROM hits) GROUP BY rid
+), found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM said LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can say in full; a label, a model, a packing or spans of a method can't be."""
+    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL}
