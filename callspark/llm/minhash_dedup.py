@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         likely = likely.select("a", "b", "small_a", "small_b").mapInArrow(_sketch_filter(percent / 100 - 0.2), "a long, b long")
         likely = stage.write(likely, "likely")
         sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
-        one, two = (stage.side(sets, sets.select(F.col("node").alias(k), F.col("hashes").alias(f"hashes_{k}"))) for k in "ab")
+        # whole sets are wide rows, and are never broadcast
+        one, two = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"hashes_{k}")).hint("merge") for k in "ab")
         checked = likely.join(one, "a").join(two, "b").select("a", "b", "hashes_a", "hashes_b")
         return checked.mapInArrow(_exact_filter(percent), "a long, b long")
 
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         shared = each.join(across.hint("merge"), "shingle").groupBy("id").agg(F.array_sort(F.collect_set("shingle")).alias("own"))  # no longer than one set
         shared = stage.write(shared.join(stage.side(classes, classes.select(F.col("node").alias("id"), "n")), "id"), "shared")
         can = unsettled.select("lead", "id").join(stage.side(shared, shared.where(f"100 * size(own) >= {percent} * n")), "id")
-        both = can.join(stage.side(shared, shared.select(F.col("id").alias("lead"), F.col("own").alias("led"))), "lead", "left")
+        both = can.join(shared.select(F.col("id").alias("lead"), F.col("own").alias("led")).hint("merge"), "lead", "left")
         facts_of = both.select("lead", "id", "n", "own", "led").mapInArrow(_against_lead, "lead long, id long, n long, s long, l long, x long, g0 long, g1 long, g2 long, g3 long")
         most = "least(s_x, s_y, l_x + least(x_x, x_y)" + "".join(f" - bit_count(g{k}_x | g{k}_y)" for k in range(4)) + ")"
         return facts_of, f"100 * {most} >= {percent} * (n_x + n_y - {most})"
