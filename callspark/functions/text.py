@@ -217,7 +217,12 @@ def tokenise(df: DataFrame, key: str, column: str) -> DataFrame:
 def bigrams(text: Column) -> Column:
     """Array of distinct two-character pieces of a text without blanks and punctuation, case folded."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^가-힣a-z0-9]", "")
-    return F.array_distinct(F.when(F.length(flat) >= 2, F.transform(F.sequence(F.lit(1), F.length(flat) - 1), lambda i: F.substring(flat, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(pairs_of(flat))
+
+
+def pairs_of(flat: Column) -> Column:
+    """Array of all two-character pieces of a text, in order, in one pass over it (a look-ahead steps by one character, never into half of one)."""
+    return F.regexp_extract_all(flat, F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].))"), F.lit(1))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callspark.functions.text import js_round, nfc
+from callspark.functions.text import js_round, nfc, pairs_of
 
 # Grounding thresholds, refusal words, numeric units.
 WARN, FLOOR, MIN_LENGTH = 0.35, 0.15, 40
@@ -23,7 +23,7 @@ _CER_DROP = r"[\s  .,!?;:'\"“”‘’()\[\]{}~\-·…—/\\]"
 
 def char_pairs(flat: Column) -> Column:
     """Distinct two-character pieces of a text."""
-    return F.array_distinct(F.when(F.length(flat) >= 2, F.transform(F.sequence(F.lit(1), F.length(flat) - 1), lambda i: F.substring(flat, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(pairs_of(flat))
 
 
 def groundedness(answers: DataFrame, answer: str = "answer", evidence: str = "evidence") -> DataFrame:

@@ -64,10 +64,20 @@ CALLS_SQL = """calls as (select o_orderkey as call_id, cast(o_orderdate as date)
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files; the pattern takes a file as well as a folder. Times become instants, as event times are."""
+    rows = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
     """Events as requests: tokens from the properties, latency from the value, engine by user."""
     k = F.get_json_object("props", "$.k").cast("long")
     mode = F.when(F.col("event_type") == "error", F.when(F.col("user_id") % 2 == 0, "fallback-timeout").otherwise("fallback")).when(F.col("user_id") % 3 == 0, "live-oss").when(F.col("user_id") % 7 == 0, "guarded").otherwise("live")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"), F.col("event_type").alias("endpoint"), mode.alias("mode"), F.when(F.col("event_type") != "signup", F.floor("value").cast("long")).alias("latency_ms"), (k * 1000).alias("input_tokens"), (k * 200).alias("output_tokens"),
         F.when(F.col("event_type") == "view", k * 100).alias("cache_read_tokens"), F.lit(None).cast("long").alias("cache_write_tokens"), F.col("ts").alias("created_at"), F.col("user_id").alias("account"),
     )

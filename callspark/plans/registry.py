@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from callspark.plans import workflows  # noqa: F401 - registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from callspark.plans import workflows  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -489,7 +493,9 @@ def w3_timeline_metrics(spark, sf):
     return timeline.timeline_metrics(fx.segments(spark, sf)).select("call_id", "segments", "call_sec", "speech_sec", "speech_ratio", "silence_count", "silence_sec", "longest_silence_sec", "leading_silence_sec", "median_chars_per_min", "rated_segments", "fast_segments")
 
 
-@query()
+@query(f"""select call_id, a[1] as alert_id, a[2] as level from (select call_id, unnest(list_filter([case when longest_silence_sec >= 10 then ['long-silence', 'warn'] end, case when longest_silence_sec < 10 and silence_count > 0 then ['silence', 'info'] end,
+  case when longest_silence_sec < 10 and silence_count = 0 then ['no-silence', 'ok'] end, case when speech_ratio < 55 then ['low-density', 'warn'] end, case when fast_segments > 0 and median_chars_per_min > 0 then ['rate-spike', 'warn'] end,
+  case when leading_silence_sec >= 5 then ['late-open', 'info'] end], lambda x: x is not null)) as a from ({_SQL["w3_timeline_metrics"]}))""")
 def w4_diagnose_timeline(spark, sf):
     return timeline.diagnose_timeline(timeline.timeline_metrics(fx.segments(spark, sf))).select("call_id", "alert_id", "level")
 

@@ -6,6 +6,7 @@ checkpoint location. Stateful handlers use the RocksDB state store (``use_rocksd
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -171,6 +172,38 @@ def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts
     return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Admission(max_hits, seconds), outputStructType="bucket string, request_id string, at bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that driver and executors share; on a local master without it, the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def finish(writer, seconds: float = 600) -> None:
+    """Starts a stream writer on what is there and waits for its end; TimeoutError after ``seconds``."""
+    query = writer.trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream had not ended after {seconds} s")
+
+
+def drain(df: DataFrame, mode: str = "append", seconds: float = 600) -> DataFrame:
+    """All rows that a stream gives over what is there, written to a new folder of the shared one and read back.
+
+    In update mode a key that changes has a row for each batch.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    finish(df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state"), seconds)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float = 300) -> Callable[[], DataFrame]:
     """Runs a stream over what is there, into an in-memory table (for tests and backfills); TimeoutError after ``seconds``."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
