@@ -25,7 +25,7 @@ def run_status(runs: DataFrame, routes: DataFrame) -> DataFrame:
     wide = runs.withColumn("state", state).groupBy("call_id").pivot("stage", list(STAGES)).agg(F.max("state")).fillna("pending", list(STAGES))
     count = lambda what: sum((F.col(s) == what).cast("int") for s in STAGES)
     wide = wide.withColumns({"done": count("done"), "failed": count("failed"), "pending": count("pending")})
-    out = wide.join(routes.select("call_id", "team_name", "priority", "sla"), "call_id", "left")
+    out = wide.join(routes.select("call_id", "team_name", "priority", "sla").hint("merge"), "call_id", "left")
     known = F.col("analyze") == "done"
     own = lambda c: F.when(known, F.col(c))
     return out.select(
@@ -42,7 +42,7 @@ def handoff_checks(calls: DataFrame, runs: DataFrame) -> DataFrame:
     number = F.create_map(*(x for k, s in enumerate(STAGES) for x in (F.lit(s), F.lit(k))))
     failed = runs.where("error is not null").select("call_id", F.concat(F.lit("stage-"), "stage").alias("alert_id"), F.when(F.col("stage").isin("analyze", "stt"), "high").otherwise("warn").alias("level"), (number[F.col("stage")] - 100).alias("ord"))
     lost = runs.where("error is not null and stage = 'dia'").select("call_id").distinct().withColumn("dia_failed", F.lit(True))
-    rows = calls.join(lost, "call_id", "left")
+    rows = calls.join(lost.hint("merge"), "call_id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     analyzed = yes(F.col("analyzed"))
     found = alerts(rows, "call_id", [
@@ -51,15 +51,15 @@ def handoff_checks(calls: DataFrame, runs: DataFrame) -> DataFrame:
         ("truncated", "warn", yes(F.col("truncated"))), ("estimated", "info", (analyzed & yes(F.col("demo"))) | yes(F.col("churn_estimated")) | yes(F.col("qa_estimated"))),
     ])
     some = failed.unionByName(found)
-    calm = calls.select("call_id").join(some.select("call_id"), "call_id", "left_anti").select("call_id", F.lit("none").alias("alert_id"), F.lit("info").alias("level"), F.lit(0).alias("ord"))
+    calm = calls.select("call_id").join(some.select("call_id").hint("merge"), "call_id", "left_anti").select("call_id", F.lit("none").alias("alert_id"), F.lit("info").alias("level"), F.lit(0).alias("ord"))
     return some.unionByName(calm).withColumn("rank", F.create_map(*(x for kv in LEVELS.items() for x in map(F.lit, kv)))[F.col("level")])
 
 
 def handoff_report(status: DataFrame, checks: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
     """(call_id, report): one text a call: state, owner, what to check, the ticket."""
     listed = checks.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord", "alert_id", "level"))), lambda c: F.concat(F.lit("- ["), c["level"], F.lit("] "), c["alert_id"])), "\n").alias("checks"))
-    rows = status.join(listed, "call_id", "left")
-    rows = rows.withColumn("body", F.lit(None).cast("string")) if tickets is None else rows.join(tickets.select("call_id", "body"), "call_id", "left")
+    rows = status.join(listed.hint("merge"), "call_id", "left")
+    rows = rows.withColumn("body", F.lit(None).cast("string")) if tickets is None else rows.join(tickets.select("call_id", "body").hint("merge"), "call_id", "left")
     head = F.format_string("통화 %s · %s (%d/%d)", F.col("call_id").cast("string"), "state", "done", F.lit(len(STAGES)))
     owner = F.when(F.col("owner").isNotNull(), F.concat(F.lit("담당: "), "owner", F.lit(" · "), "priority", F.lit(" · "), "sla")).when(F.col("status") == "close", "추가 이관 없음").otherwise("미배정")
     return rows.select("call_id", F.concat_ws("\n", head, F.concat(F.lit("상태: "), "status"), owner, F.concat(F.lit("확인 사항\n"), "checks"), F.concat(F.lit("\n"), "body")).alias("report"))
@@ -79,7 +79,7 @@ def ledger(calls: DataFrame, themes: DataFrame, repeats: DataFrame) -> DataFrame
     """
     texts = themes.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label", "team_name"))).alias("t"))
     causes = texts.select("call_id", F.array_join(F.transform("t", lambda x: x["label"]), " / ").alias("causes"), F.array_join(F.array_distinct(F.transform("t", lambda x: x["team_name"])), " / ").alias("depts"))
-    rows = calls.join(causes, "call_id", "left").join(repeats.select("call_id", F.lit("Y").alias("again")), "call_id", "left")
+    rows = calls.join(causes.hint("merge"), "call_id", "left").join(repeats.select("call_id", F.lit("Y").alias("again")).hint("merge"), "call_id", "left")
     rows = mask_pii(rows, "title")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     values = [blank("call_date"), blank("agent"), F.col("masked.text"), blank("category"), blank("sentiment"), F.when(F.coalesce("escalate", F.lit(False)), "Y").otherwise("N"), blank("causes"), blank("depts"), blank("again"), blank("churn_score"), blank("churn_level"), blank("team_name"), F.when(F.coalesce("mine", F.lit(False)), "직접 분석").otherwise("내장 샘플")]

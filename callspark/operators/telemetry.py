@@ -113,7 +113,7 @@ def spend_now(events: DataFrame, now: Column, key: str = "account", calls: int =
 
 def bucket_usage(hits: DataFrame, windows: DataFrame, now: Column) -> DataFrame:
     """(bucket, live): hits of each bucket within its own window (bucket, seconds)."""
-    joined = hits.join(windows.select("bucket", "seconds"), "bucket")
+    joined = hits.join(windows.select("bucket", "seconds").hint("merge"), "bucket")
     return joined.where((micros("ts") > micros(now) - F.col("seconds").cast("long") * 1_000_000) & (F.col("ts") <= now)).groupBy("bucket").agg(F.count("*").alias("live"))
 
 

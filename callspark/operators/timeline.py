@@ -60,7 +60,7 @@ def timeline_metrics(segments: DataFrame, durations: DataFrame | None = None, bl
     spark = segments.sparkSession
     durations = spark.createDataFrame([], "call_id string, duration double").select(F.col("call_id").cast(segments.schema["call_id"].dataType), "duration") if durations is None else durations
     blind = segments.select("call_id", "start", "end").limit(0) if blind is None else blind
-    rows = segments.join(durations, "call_id", "left")
+    rows = segments.join(durations.hint("merge"), "call_id", "left")
     hold = lambda x: F.when(F.col("duration").isNull(), F.greatest(F.lit(0.0), x)).otherwise(F.least(F.greatest(F.lit(0.0), x), "duration"))
     rows = rows.where("start is not null and end is not null").withColumns({"start": hold(F.col("start")), "end": hold(F.col("end"))}).where("end >= start").withColumn("chars", speech_chars(F.col("text")))
     order = Window.partitionBy("call_id").orderBy("start", "end")
@@ -69,21 +69,21 @@ def timeline_metrics(segments: DataFrame, durations: DataFrame | None = None, bl
     merged = rows.withColumn("island", F.sum("fresh").over(order)).groupBy("call_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     gaps = merged.withColumn("next", F.lead("start").over(Window.partitionBy("call_id").orderBy("island"))).where(f"next - end >= {silence}")
     seen = blind.where("start is not null and end is not null").select(F.col("call_id").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    gaps = gaps.join(seen, (gaps.call_id == seen._c) & (gaps.end < seen._e) & (gaps.next > seen._s), "left_anti")
+    gaps = gaps.join(seen.hint("merge"), (gaps.call_id == seen._c) & (gaps.end < seen._e) & (gaps.next > seen._s), "left_anti")
     quiet = gaps.groupBy("call_id").agg(F.count("*").alias("silence_count"), _r1(F.sum(_r1(F.col("next") - F.col("end")))).alias("silence_sec"), F.max(F.struct(_r1(F.col("next") - F.col("end")).alias("sec"), (-_r1(F.col("end"))).alias("back"))).alias("top"))
     spoken = merged.groupBy("call_id").agg(F.sum(F.col("end") - F.col("start")).alias("speech"), F.min("start").alias("first"), F.max("end").alias("last"))
     timed = F.col("end") > F.col("start")
     rate = F.when((F.col("end") - F.col("start") >= 0.8) & (F.col("chars") >= 2), js_round(F.col("chars") / (F.col("end") - F.col("start")) * 60))
     rated = rows.withColumn("rate", rate)
     counted = rated.groupBy("call_id").agg(F.count("*").alias("segments"), F.sum(F.when(timed, F.col("chars")).otherwise(0)).alias("chars"), F.median("rate").alias("middle"), F.count("rate").alias("rated_segments"))
-    fast = rated.select("call_id", "rate").join(counted.select("call_id", "middle"), "call_id").where("middle > 0 and rate >= 1.3 * middle").groupBy("call_id").agg(F.count("*").alias("fast_segments"), F.max("rate").alias("top_rate"))
+    fast = rated.select("call_id", "rate").join(counted.select("call_id", "middle").hint("merge"), "call_id").where("middle > 0 and rate >= 1.3 * middle").groupBy("call_id").agg(F.count("*").alias("fast_segments"), F.max("rate").alias("top_rate"))
     dark = blind.groupBy("call_id").agg(F.sum(F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start")).otherwise(0.0)).alias("blind"))
-    out = spoken.join(counted, "call_id").join(quiet, "call_id", "left").join(fast, "call_id", "left").join(dark, "call_id", "left").join(durations, "call_id", "left")
+    out = spoken.join(counted.hint("merge"), "call_id").join(quiet.hint("merge"), "call_id", "left").join(fast.hint("merge"), "call_id", "left").join(dark.hint("merge"), "call_id", "left").join(durations.hint("merge"), "call_id", "left")
     call, dim = F.greatest(F.coalesce("duration", F.lit(0.0)), "last"), F.coalesce("blind", F.lit(0.0))
     out = out.withColumns({"call": call, "dim": dim}).withColumn("covered", F.greatest(F.col("call") - F.col("dim"), F.lit(0.0)))
-    touching = lambda low, high: out.join(seen, (out.call_id == seen._c) & (low < seen._e) & (high > seen._s), "left_semi").select(F.col("call_id").alias("_t"))
+    touching = lambda low, high: out.join(seen.hint("merge"), (out.call_id == seen._c) & (low < seen._e) & (high > seen._s), "left_semi").select(F.col("call_id").alias("_t"))
     lead, trail = touching(F.lit(0.0), out["first"]).withColumn("_lead", F.lit(True)), touching(out["last"], out["call"]).withColumn("_trail", F.lit(True))
-    out = out.join(lead, out.call_id == lead._t, "left").drop("_t").join(trail, out.call_id == F.col("_t"), "left").drop("_t")
+    out = out.join(lead.hint("merge"), out.call_id == lead._t, "left").drop("_t").join(trail.hint("merge"), out.call_id == F.col("_t"), "left").drop("_t")
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
         "call_id", "segments", _r1(F.col("call")).alias("call_sec"), _r1(F.col("speech")).alias("speech_sec"), F.when(F.col("covered") > 0, _r1(F.col("speech") / F.col("covered") * 100)).alias("speech_ratio"),
@@ -132,13 +132,13 @@ def assign_speakers(segments: DataFrame, lines: DataFrame) -> DataFrame:
     number = lambda df, by: df.withColumn("_i", F.row_number().over(Window.partitionBy("call_id").orderBy(by)))
     who = F.when(F.col("text").rlike(r"(?i)^\s*(상담사|상담원|agent)"), "agent").otherwise("customer")
     named = number(labelled, "line_no").select("call_id", "_i", who.alias("speaker"))
-    return number(segments.drop("speaker"), "seg_no").join(named, ["call_id", "_i"], "left").drop("_i")
+    return number(segments.drop("speaker"), "seg_no").join(named.hint("merge"), ["call_id", "_i"], "left").drop("_i")
 
 
 def apply_speaker_corrections(segments: DataFrame, fixes: DataFrame) -> DataFrame:
     """Human fixes (call_id, seg_no, speaker) over the given speakers; ``corrected`` marks them."""
     new = fixes.select("call_id", "seg_no", F.col("speaker").alias("_new"), F.lit(True).alias("_fixed"))
-    out = segments.join(new, ["call_id", "seg_no"], "left")
+    out = segments.join(new.hint("merge"), ["call_id", "seg_no"], "left")
     return out.withColumns({"speaker": F.when(F.col("_fixed"), F.col("_new")).otherwise(F.col("speaker")), "corrected": F.coalesce("_fixed", F.lit(False))}).drop("_new", "_fixed")
 
 
@@ -148,10 +148,10 @@ def locate_quotes(quotes: DataFrame, segments: DataFrame, least: int = 3) -> Dat
     q = quotes.withColumn("q", flat(F.col("quote")))
     pieces = q.select("call_id", "quote_no", F.explode(F.when(F.length("q") >= 2, F.transform(F.sequence(F.lit(1), F.length("q") - 1), lambda i: F.substring("q", i, F.lit(2))))).alias("piece"))
     pieces = pieces.groupBy("call_id", "quote_no", "piece").agg(F.count("*").alias("times"))
-    hits = pieces.join(segments.select("call_id", "seg_no", flat(F.col("text")).alias("t")), "call_id").where("contains(t, piece)")
+    hits = pieces.join(segments.select("call_id", "seg_no", flat(F.col("text")).alias("t")).hint("merge"), "call_id").where("contains(t, piece)")
     score = hits.groupBy("call_id", "quote_no", "seg_no").agg(F.sum("times").alias("score")).where(f"score >= {least}")
     best = score.groupBy("call_id", "quote_no").agg(F.min_by("seg_no", F.struct((-F.col("score")).alias("s"), "seg_no")).alias("seg_no"))
-    return quotes.select("call_id", "quote_no").join(best, ["call_id", "quote_no"], "left")
+    return quotes.select("call_id", "quote_no").join(best.hint("merge"), ["call_id", "quote_no"], "left")
 
 
 def clock(seconds: Column) -> Column:

@@ -35,7 +35,7 @@ def customer_speech(turns: DataFrame, calls: DataFrame, transcript: str = "trans
     """(call_id, speech, labeled): customer turns joined by line breaks; without any, the whole transcript."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "text"))), lambda x: x["text"]), "\n")
     spoken = turns.where("speaker = 'customer'").groupBy("call_id").agg(joined.alias("_said"))
-    return calls.select("call_id", F.col(transcript).alias("_raw")).join(spoken, "call_id", "left").select("call_id", F.coalesce("_said", "_raw", F.lit("")).alias("speech"), F.col("_said").isNotNull().alias("labeled"))
+    return calls.select("call_id", F.col(transcript).alias("_raw")).join(spoken.hint("merge"), "call_id", "left").select("call_id", F.coalesce("_said", "_raw", F.lit("")).alias("speech"), F.col("_said").isNotNull().alias("labeled"))
 
 
 def agent_script(calls: DataFrame, transcript: str = "transcript") -> DataFrame:

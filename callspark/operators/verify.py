@@ -73,10 +73,10 @@ def numeric_support(answers: DataFrame, key: str = "answer_id", answer: str = "a
     known = numeric_claims(answers, key, evidence).union(numeric_claims(answers, key, question)).select(key, "unit", "value").distinct()
     source = F.concat_ws(" ", F.coalesce(evidence, F.lit("")), F.coalesce(question, F.lit("")))
     bare = answers.select(key, F.explode(F.regexp_extract_all(source, F.lit(_BARE), F.lit(1))).alias("x")).select(key, korean_number(F.col("x")).alias("value")).where("value is not null").distinct()
-    lost = claims.join(known, [key, "unit", "value"], "left_anti").join(bare, [key, "value"], "left_anti")
+    lost = claims.join(known.hint("merge"), [key, "unit", "value"], "left_anti").join(bare.hint("merge"), [key, "value"], "left_anti")
     bad = lost.groupBy(key).agg(F.array_sort(F.collect_list("text")).alias("unsupported"), F.max("critical").alias("_critical"))
     n = claims.groupBy(key).agg(F.count("*").alias("checked"))
-    out = answers.select(key).join(n, key, "left").join(bad, key, "left")
+    out = answers.select(key).join(n.hint("merge"), key, "left").join(bad.hint("merge"), key, "left")
     none = F.array().cast("array<string>")
     return out.select(key, (~F.coalesce("_critical", F.lit(False))).alias("ok"), F.coalesce("checked", F.lit(0)).alias("checked"), (F.coalesce("checked", F.lit(0)) - F.size(F.coalesce("unsupported", none))).alias("supported"), F.coalesce("unsupported", none).alias("unsupported"))
 
@@ -86,8 +86,8 @@ def gate_answers(answers: DataFrame, fallback: DataFrame, results: DataFrame, ke
 
     ``answers`` has answer, evidence, question, cited; ``fallback`` (key, extract); ``results`` (key, doc_ids).
     """
-    judged = grounding_verdict(groundedness(answers)).join(numeric_support(answers, key).select(key, F.col("ok").alias("numbers_ok")), key)
-    rows = judged.join(fallback.select(key, "extract"), key, "left").join(results.select(key, "doc_ids"), key, "left")
+    judged = grounding_verdict(groundedness(answers)).join(numeric_support(answers, key).select(key, F.col("ok").alias("numbers_ok")).hint("merge"), key)
+    rows = judged.join(fallback.select(key, "extract").hint("merge"), key, "left").join(results.select(key, "doc_ids").hint("merge"), key, "left")
     replace = (F.col("verdict") == "reject") | ~F.col("numbers_ok")
     return rows.select(key, F.when(replace, F.col("extract")).otherwise(F.col("answer")).alias("final"), replace.alias("replaced"), "verdict", F.array_intersect("cited", F.coalesce("doc_ids", F.array().cast("array<string>"))).alias("cited"))
 

@@ -72,7 +72,7 @@ def voc_summary(calls: DataFrame, categories=CATEGORIES, sentiments=SENTIMENTS,
                count(minutes) as timed, avg(minutes) as avg_minutes
         from (select *, sentiment as sentiment_0 from _voc_rows) group by grouping sets ((category), (sentiment), (date), ())""")
     domain = calls.sparkSession.createDataFrame([("category", c) for c in categories] + [("sentiment", s) for s in sentiments], "axis string, value string")
-    fixed = domain.join(sets.where("axis in ('category', 'sentiment')"), ["axis", "value"], "left").fillna(0, ["calls", "escalated", "hot", "timed"])
+    fixed = domain.join(sets.where("axis in ('category', 'sentiment')").hint("merge"), ["axis", "value"], "left").fillna(0, ["calls", "escalated", "hot", "timed"])
     return fixed.unionByName(sets.where("axis = 'total' or axis = 'date' and value <> ''"))
 
 
@@ -82,12 +82,12 @@ def aggregate_themes(themes: DataFrame) -> DataFrame:
     lines = themes.select("theme", "call_id", F.posexplode("evidence").alias("n", "line")).groupBy("theme", "line").agg(F.min(F.struct("call_id", "n")).alias("at"))
     first = lines.withColumn("_n", F.row_number().over(Window.partitionBy("theme").orderBy("at"))).where("_n <= 3")
     quotes = first.groupBy("theme").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]).alias("evidence"))
-    return counts.join(quotes, "theme", "left").select("team_name", "theme", F.when(F.col("g") == 0, F.col("label")).alias("label"), "calls", "evidence")
+    return counts.join(quotes.hint("merge"), "theme", "left").select("team_name", "theme", F.when(F.col("g") == 0, F.col("label")).alias("label"), "calls", "evidence")
 
 
 def tagging_rates(calls: DataFrame, themes: DataFrame, repeats: DataFrame) -> DataFrame:
     """(total, untagged, repeats, tagged_rate); the rate of no calls is null."""
-    marked = calls.select("call_id").join(themes.select("call_id").distinct().withColumn("t", F.lit(1)), "call_id", "left").join(repeats.select("call_id").distinct().withColumn("r", F.lit(1)), "call_id", "left")
+    marked = calls.select("call_id").join(themes.select("call_id").distinct().withColumn("t", F.lit(1)).hint("merge"), "call_id", "left").join(repeats.select("call_id").distinct().withColumn("r", F.lit(1)).hint("merge"), "call_id", "left")
     return marked.agg(F.count("*").alias("total"), F.count_if(F.isnull("t")).alias("untagged"), F.count("r").alias("repeats")).withColumn("tagged_rate", F.when(F.col("total") > 0, (F.col("total") - F.col("untagged")) / F.col("total")))
 
 
@@ -95,7 +95,7 @@ def compare_themes(themes: DataFrame) -> DataFrame:
     """(theme, team_name, calls, previous, delta, is_new, is_gone) from causes with ``period``; causes of either period."""
     counts = themes.groupBy("period", "theme").agg(F.count("*").alias("n"), F.max("team_name").alias("team_name"))
     side = lambda period, n: counts.where(F.col("period") == period).select("theme", F.col("n").alias(n), F.col("team_name").alias(f"team_{n}"))
-    both = side("current", "calls").join(side("previous", "previous"), "theme", "full")
+    both = side("current", "calls").join(side("previous", "previous").hint("merge"), "theme", "full")
     now, before = F.coalesce("calls", F.lit(0)), F.coalesce("previous", F.lit(0))
     return both.select("theme", F.coalesce("team_calls", "team_previous").alias("team_name"), now.alias("calls"), before.alias("previous"), (now - before).alias("delta"), F.isnull("previous").alias("is_new"), F.isnull("calls").alias("is_gone"))
 
@@ -103,7 +103,7 @@ def compare_themes(themes: DataFrame) -> DataFrame:
 def aggregate_by_agent(calls: DataFrame, repeats: DataFrame | None = None, min_sample: int = 3, negative=NEGATIVE, unassigned: str = UNASSIGNED) -> DataFrame:
     """(agent, calls, negative, escalated, repeats, rates, avg_minutes, timed, small_sample); rates are null under ``min_sample`` calls."""
     rows = calls.withColumn("agent", F.coalesce(F.nullif(F.trim("agent"), F.lit("")), F.lit(unassigned)))
-    rows = rows.withColumn("again", F.lit(False)) if repeats is None else rows.join(repeats.select("call_id", F.lit(True).alias("again")), "call_id", "left").fillna(False, ["again"])
+    rows = rows.withColumn("again", F.lit(False)) if repeats is None else rows.join(repeats.select("call_id", F.lit(True).alias("again")).hint("merge"), "call_id", "left").fillna(False, ["again"])
     out = rows.groupBy("agent").agg(
         F.count("*").alias("calls"), F.count_if(F.col("sentiment").isin(*negative)).alias("negative"), F.count_if(F.coalesce("escalate", F.lit(False))).alias("escalated"), F.count_if("again").alias("repeats"),
         F.avg("minutes").alias("avg_minutes"), F.count("minutes").alias("timed"),
@@ -143,8 +143,8 @@ def category_spikes(calls: DataFrame, **options) -> DataFrame:
 
 def theme_spikes(calls: DataFrame, themes: DataFrame, **options) -> DataFrame:
     """Spikes of causes, with their department; days are those that have any call."""
-    found = spikes(calls.select("call_id", "day").join(themes.select("call_id", "theme"), "call_id"), "theme", days=calls, **options)
-    return found.join(themes.groupBy("theme").agg(F.max("team_name").alias("team_name")), "theme", "left")
+    found = spikes(calls.select("call_id", "day").join(themes.select("call_id", "theme").hint("merge"), "call_id"), "theme", days=calls, **options)
+    return found.join(themes.groupBy("theme").agg(F.max("team_name").alias("team_name")).hint("merge"), "theme", "left")
 
 
 def ratio_alerts(calls: DataFrame, hot: str = HOT, hot_share: float = 0.25, escalate_share: float = 0.30, least: int = 5) -> DataFrame:
@@ -155,7 +155,7 @@ def ratio_alerts(calls: DataFrame, hot: str = HOT, hot_share: float = 0.25, esca
 
 
 def repeat_alert(calls: DataFrame, repeats: DataFrame, share: float = 0.15, least: int = 5) -> DataFrame:
-    one = calls.select("call_id").join(repeats.select("call_id", F.lit(1).alias("r")), "call_id", "left").agg(F.count("*").alias("calls"), F.count("r").alias("hits"))
+    one = calls.select("call_id").join(repeats.select("call_id", F.lit(1).alias("r")).hint("merge"), "call_id", "left").agg(F.count("*").alias("calls"), F.count("r").alias("hits"))
     return one.where(f"calls >= {least} and hits / calls >= {share}").select(F.lit("repeat-ratio").alias("alert_id"), F.lit("warn").alias("level"), "calls", "hits")
 
 
@@ -187,7 +187,7 @@ def suggest_terms(untagged: DataFrame, known: DataFrame, text: str = "speech", l
     bare = F.regexp_replace("w", "[^가-힣a-zA-Z0-9]", "")
     cut = F.regexp_replace(bare, tail, "")
     words = words.withColumn("term", F.when(F.length(bare) <= 2, bare).otherwise(F.coalesce(F.nullif(cut, F.lit("")), bare))).where(F.length("term") >= 2).where(~F.col("term").isin(*stopwords))
-    each = words.join(known.select("term").distinct(), "term", "left_anti").groupBy("call_id", "term").agg(F.min_by("line", "line_no").alias("line"))
+    each = words.join(known.select("term").distinct().hint("merge"), "term", "left_anti").groupBy("call_id", "term").agg(F.min_by("line", "line_no").alias("line"))
     best = each.groupBy("term").agg(F.count("*").alias("calls")).where(f"calls >= {least}").orderBy(F.desc("calls"), "term").limit(top)
     rows = each.join(F.broadcast(best), "term").withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy("call_id"))).where("_n <= 2")
     shown = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.substring(F.trim("line"), 1, 60).alias("line")))), lambda x: x["line"])
@@ -234,11 +234,11 @@ def qa_history_cards(history: DataFrame, key: str = "label") -> DataFrame:
     """(key, card, level, item): what to coach: repeated misses and violations, and the trend."""
     facts = qa_history_summary(history, key)
     top = lambda c: qa_history_tops(history, c, key, 1).where("times >= 2")
-    missed = top("missed").join(facts, key).select(key, F.lit("missed").alias("card"), F.when(F.col("times") / F.col("evaluations") >= 0.5, "high").otherwise("warn").alias("level"), "item")
+    missed = top("missed").join(facts.hint("merge"), key).select(key, F.lit("missed").alias("card"), F.when(F.col("times") / F.col("evaluations") >= 0.5, "high").otherwise("warn").alias("level"), "item")
     broken = top("violations").select(key, F.lit("violation").alias("card"), F.lit("high").alias("level"), "item")
     trend = facts.where("trend in ('up', 'down')").select(key, F.concat(F.lit("trend-"), "trend").alias("card"), F.when(F.col("trend") == "down", "warn").otherwise("ok").alias("level"), F.lit(None).cast("string").alias("item"))
     some = missed.union(broken).union(trend)
-    calm = facts.join(some.select(key), key, "left_anti").select(key, F.lit("none").alias("card"), F.lit("ok").alias("level"), F.lit(None).cast("string").alias("item"))
+    calm = facts.join(some.select(key).hint("merge"), key, "left_anti").select(key, F.lit("none").alias("card"), F.lit("ok").alias("level"), F.lit(None).cast("string").alias("item"))
     return some.union(calm)
 
 
@@ -276,5 +276,5 @@ def verify_report_numbers(reports: DataFrame, counts: DataFrame) -> DataFrame:
     said = said.select("report_id", F.expr("try_cast(replace(x, ',', '') as double)").alias("n")).where("n is not null").distinct()
     share = F.when(F.col("total") > 0, F.col("n") / F.col("total") * 100)
     allowed = counts.select("report_id", F.explode(F.array(F.col("n").cast("double"), js_round(share).cast("double"), round_to(share, 1))).alias("n")).where("n is not null").distinct()
-    unknown = said.where("not (n between 0 and 10 and n = floor(n))").join(allowed, ["report_id", "n"], "left_anti").groupBy("report_id").agg(F.array_sort(F.collect_list("n")).alias("unknown"))
-    return reports.select("report_id").join(unknown, "report_id", "left").select("report_id", F.isnull("unknown").alias("ok"), F.coalesce("unknown", F.array().cast("array<double>")).alias("unknown"))
+    unknown = said.where("not (n between 0 and 10 and n = floor(n))").join(allowed.hint("merge"), ["report_id", "n"], "left_anti").groupBy("report_id").agg(F.array_sort(F.collect_list("n")).alias("unknown"))
+    return reports.select("report_id").join(unknown.hint("merge"), "report_id", "left").select("report_id", F.isnull("unknown").alias("ok"), F.coalesce("unknown", F.array().cast("array<double>")).alias("unknown"))

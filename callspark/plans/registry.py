@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from callspark.operators import handoff, rules, search, timeline, turns, verify,
 from callspark.operators import telemetry as tele
 from callspark.plans import fixtures as fx
 from callspark.sources import ledger
+from callspark.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -118,7 +120,7 @@ def _speech(spark, sf):
     plain = fx.transcripts(spark, sf)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("speaker") == "customer", F.struct("turn_no", "text")))), lambda x: x["text"]), "\n")
     own = t.groupBy("call_id").agg(joined.alias("own"), F.count_if(F.col("speaker") == "customer").alias("n"))
-    return plain.join(own, "call_id").select("call_id", F.when(F.col("n") > 0, F.col("own")).otherwise(F.col("transcript")).alias("speech"), (F.col("n") > 0).alias("labeled"), "day", "title")
+    return plain.join(own.hint("merge"), "call_id").select("call_id", F.when(F.col("n") > 0, F.col("own")).otherwise(F.col("transcript")).alias("speech"), (F.col("n") > 0).alias("labeled"), "day", "title")
 
 
 def _themed(spark, sf):
@@ -144,7 +146,7 @@ def c0_match_rules_table(spark, sf):
 def c2_flag_repeat_calls(spark, sf):
     speech = _speech(spark, sf)
     found = rules.flag_repeat_calls(speech, speech.select("call_id", "speech", "labeled"), fx.REPEATS)
-    return speech.select("call_id").join(found.select("call_id", F.lit(True).alias("again")), "call_id", "left").fillna(False)
+    return speech.select("call_id").join(found.select("call_id", F.lit(True).alias("again")).hint("merge"), "call_id", "left").fillna(False)
 
 
 @query("select source, count(*) as calls, count(*) filter (regexp_matches(text, 'lawsuit|thing|Licensed')) as escalating from documents group by 1")
@@ -305,7 +307,7 @@ def voc_compare_themes(spark, sf):
     """Which causes rose against the week before, and which department owns them."""
     speech, themes = _themed(spark, sf)
     split = voc.split_period(speech.select("call_id", "day"), "week")
-    return voc.compare_themes(themes.join(split.select("call_id", "period"), "call_id")).select("theme", "calls", "previous", "delta", "is_new", "is_gone")
+    return voc.compare_themes(themes.join(split.select("call_id", "period").hint("merge"), "call_id")).select("theme", "calls", "previous", "delta", "is_new", "is_gone")
 
 
 @query(f"with {fx.CALLS_SQL}, a as (select max(day) as a from calls) select call_id, case when day > a - 7 then 'current' else 'previous' end as period from calls, a where day > a - 14")
@@ -369,7 +371,7 @@ _HISTORY_SQL = "history as (select source as label, d.doc_id as eval_no, 50 + 30
 
 
 def _history(spark, sf):
-    rows = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
+    rows = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels").hint("merge"), "doc_id")
     return rows.select(F.col("source").alias("label"), F.col("doc_id").alias("eval_no"), (50 + 30 * F.col("quality") + 10 * F.col("toxic") + F.col("doc_id") % 9).alias("total"), (F.col("toxic") == 1).alias("estimated"), F.array_compact(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic"))).alias("missed"))
 
 
@@ -524,7 +526,7 @@ _BM25_SQL = f"""words as (select doc_id, unnest(list_concat(list_concat({fx.lati
 
 
 def _index(spark, sf):
-    return search.build_index(fx.knowledge(spark, sf), fx.latin_tokens)
+    return search.save_index(fx.knowledge(spark, sf), f"{jobs.shared_folder(spark)}/index-{uuid.uuid4().hex}", fx.latin_tokens)
 
 
 @query(f"with {_BM25_SQL} select query_id, doc_id, score from ranked where rank = 1")
@@ -556,7 +558,7 @@ def r17_evaluate_ranker(spark, sf):
     """Each benchmark item asks for the first document that holds it; items that no document holds should go unanswered."""
     queries_ = fx.questions(spark, sf)
     held = _first_holding(fx.table(spark, sf, "documents"), queries_)
-    qrels = queries_.select("query_id", F.lit("all").alias("set")).join(held, "query_id", "left")
+    qrels = queries_.select("query_id", F.lit("all").alias("set")).join(held.hint("merge"), "query_id", "left")
     ranked = search.bm25_rank(queries_, _index(spark, sf), 10, (), fx.latin_tokens)
     return search.evaluate_ranker(ranked, qrels, search.retrieval_confidence(queries_, ranked))[0]
 
@@ -586,7 +588,7 @@ _PAIRS_SQL = "flat as (select conv_id, turn, text, regexp_replace(text, '[\\s\\p
 
 def _pairs(spark, sf):
     rows = fx.table(spark, sf, "conversations")
-    return rows.select("conv_id", "turn", F.col("text").alias("answer")).join(rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence")), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.col("text").alias("answer")).join(rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence")).hint("merge"), ["conv_id", "turn"])
 
 
 @query(f"""with {_PAIRS_SQL}, g as (select conv_id, turn, list_distinct(list_transform(range(1, length(fa)), lambda i: substr(fa, i, 2))) as a, list_distinct(list_transform(range(1, length(fb)), lambda i: substr(fb, i, 2))) as b from pairs)
