@@ -104,15 +104,19 @@ def cer(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypot
     """``pairs`` with distance, ref_length, cer, accuracy; null where the reference is empty."""
     rows = pairs.withColumns({"_r": cer_text(F.col(reference)), "_h": cer_text(F.col(hypothesis))})
     some = F.length("_r") > 0
-    # bands that grow: exact, and near texts do not cost the square of their length
-    bands = (F.expr(f"nullif(levenshtein(_r, _h, {k}), -1)") for k in (64, 1024, 8192))
-    rows = rows.withColumns({"distance": F.when(some, F.coalesce(*bands, F.levenshtein("_r", "_h"))), "ref_length": F.length("_r")})
+    # bands that double until the distance lies within: exact, and the time of a pair grows with its length times its distance
+    bands = ", ".join(str(1 << k) for k in range(4, 31))
+    distance = F.expr(f"aggregate(array({bands}), -1, (d, k) -> case when d >= 0 then d when k >= greatest(length(_r), length(_h)) then levenshtein(_r, _h) else levenshtein(_r, _h, k) end)")
+    rows = rows.withColumns({"distance": F.when(some, distance), "ref_length": F.length("_r")})
     return rows.withColumns({"cer": F.col("distance") / F.when(some, F.col("ref_length")), "accuracy": F.greatest(F.lit(0.0), 1 - F.col("distance") / F.when(some, F.col("ref_length")))}).drop("_r", "_h")
 
 
 def corpus_cer(measured: DataFrame, *by: str) -> DataFrame:
     """Distances over lengths, by model: long references weigh as much as they are long."""
-    return measured.where("distance is not null").groupBy(*by).agg(F.count("*").alias("pairs"), F.sum("distance").alias("distance"), F.sum("ref_length").alias("ref_length"), (F.sum("distance") / F.sum("ref_length")).alias("cer"))
+    # no filter on the distance: it would be moved below the projection, and each distance computed twice
+    length = F.sum(F.when(F.col("distance").isNotNull(), F.col("ref_length")))
+    out = measured.groupBy(*by).agg(F.count("distance").alias("pairs"), F.sum("distance").alias("distance"), length.alias("ref_length"), (F.sum("distance") / length).alias("cer"))
+    return out.where("pairs > 0") if by else out
 
 
 def cer_within(pairs: DataFrame, limit: float, reference: str = "reference", hypothesis: str = "hypothesis", cells: int = 400_000) -> DataFrame:

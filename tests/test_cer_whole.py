@@ -1,8 +1,17 @@
+import random
 import re
 
 from callspark.operators import verify
 from callspark.plans import registry
-from tests.llm.test_line_dedup import _levenshtein
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
 
 
 def _docs(spark, folder):
@@ -25,3 +34,21 @@ def test_whole_texts(spark, tmp_path):
     assert got == want
     within = {r.doc_id: (r.unverifiable, r.within) for r in registry.queries()["e2_cer_within_whole"](spark, str(tmp_path)).collect()}
     assert within == {1: (False, False), 2: (False, True), 3: (False, False), 6: (True, False)}
+
+
+def test_distances_of_every_band(spark):
+    rng, rows = random.Random(4), [("abc", ""), ("", "abc"), ("a", "b" * 40), ("b" * 40, "a")]
+    for n in (3, 15, 16, 17, 40, 90):
+        for change in (0, 1, n // 4, n):
+            one = [rng.choice("abcdé") for _ in range(n)]
+            two = list(one)
+            for _ in range(change):
+                two[rng.randrange(n)] = rng.choice(["", "x", "yz"])
+            rows.append(("".join(one), "".join(two)))
+    got = {(r.reference, r.hypothesis): r.distance for r in verify.cer(spark.createDataFrame(rows, "reference string, hypothesis string")).collect()}
+    assert got == {(a, b): _levenshtein(a, b) if a else None for a, b in rows}
+
+
+def test_no_pairs(spark):
+    none = verify.cer(spark.createDataFrame([("", "x", "m")], "reference string, hypothesis string, model string"))
+    assert verify.corpus_cer(none, "model").count() == 0 and verify.corpus_cer(none).first().pairs == 0
