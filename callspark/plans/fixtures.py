@@ -12,7 +12,7 @@ THEMES = (
     ("plan", "Plans", "planAdvice", (r"^The\b", "plan")),
     ("visit", "Visits", "install", ("ngthe", "visit")),
 )
-REPEATS = (r"again", r"ondon", r"there\s+on")
+REPEATS = (r"again", r"onon", r"is\s+of")
 CHURN = (
     ("leave", "Leaves", 30, ("hathe", "cancel")),
     ("other", "Other firm", 25, ("erthe", "rival")),

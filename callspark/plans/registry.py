@@ -321,11 +321,11 @@ def a4_aggregate_by_agent(spark, sf):
     return voc.aggregate_by_agent(fx.calls(spark, sf), negative=("F",)).select("agent", "calls", "negative", "escalated", "negative_rate", "escalated_rate", "avg_minutes", "timed")
 
 
-def _spike_sql(key: str, source: str, days: str) -> str:
+def _spike_sql(key: str, source: str, days: str, ratio: float = 0.9) -> str:
     return f"""days as (select day, dense_rank() over (order by day desc) as rank from (select distinct day from {days} where day is not null)), size as (select count(*) as n_days from days),
   counted as (select {key}, count(*) filter (rank <= 3) as now, count(*) filter (rank > 3) as past from {source} join days using (day) where {key} is not null group by 1),
   based as (select *, past / (n_days - 3) as base from counted, size where n_days >= 5 and now >= 3), rated as (select *, case when base > 0 then now / 3 / base end as r from based)
-  select {key}, now, {_r('base')} as baseline_per_day, {_r('r')} as ratio, case when r is null or r >= 3 then 'high' else 'warn' end as level from rated where r is null or r >= 0.9"""
+  select {key}, now, {_r('base')} as baseline_per_day, {_r('r')} as ratio, case when r is null or r >= 3 then 'high' else 'warn' end as level from rated where r is null or r >= {ratio}"""
 
 
 @query(f"with {fx.CALLS_SQL}, {_spike_sql('category', 'calls', 'calls')}")
@@ -333,10 +333,10 @@ def n1_category_spikes(spark, sf):
     return voc.category_spikes(fx.calls(spark, sf), recent_days=3, ratio=0.9)
 
 
-@query(f"with {_THEMES_SQL}, {_spike_sql('theme', 'themes', 'speech')}")
+@query(f"with {_THEMES_SQL}, {_spike_sql('theme', 'themes', 'speech', 0.5)}")
 def n2_theme_spikes(spark, sf):
     speech, themes = _themed(spark, sf)
-    return voc.theme_spikes(speech, themes, recent_days=3, ratio=0.9).drop("team_name")
+    return voc.theme_spikes(speech, themes, recent_days=3, ratio=0.5).drop("team_name")
 
 
 @query(f"""with {fx.CALLS_SQL}, c as (select count(*) as calls, count(*) filter (sentiment = 'F') as hot, count(*) filter (escalate) as esc from calls)
