@@ -74,6 +74,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callspark.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callspark.llm.merkle import dataset_manifest
 
@@ -191,6 +197,35 @@ FROM leaves JOIN ended USING (rid) LEFT JOIN proofs USING (rid) JOIN subroots ON
 """
 
 
+_OP12_SQL = f"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, {_crc("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM placed)
+), rebuilt AS (
+  SELECT convs.conv_id, pos, role, text FROM convs JOIN placed ON placed.conv_id = base AND pos < h
+  UNION ALL SELECT convs.conv_id, pos, role, text FROM convs JOIN placed USING (conv_id) WHERE pos >= h
+), seqs AS (
+  SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) FILTER (pos IS NOT NULL) AS keys, list(octet_length(encode(text)) ORDER BY pos) AS sizes, count(pos) AS size
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), members AS (
+  SELECT conv_id, d, d = size AS ended, coalesce(array_to_string(keys[1 : d], ''), '') AS node, coalesce(sizes[d], 0) AS bytes FROM (SELECT *, unnest(range(0, size + 1)) AS d FROM seqs)
+), nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) * (count(*) - 1) AS own, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended) AS ends
+  FROM members GROUP BY node, d
+), families AS (
+  SELECT p.node, max(up.conv_id) AS parent_conv_id, count(DISTINCT c.node) AS n_children
+  FROM nodes p LEFT JOIN nodes up ON p.depth > 0 AND up.node = left(p.node, 64 * (p.depth - 1)) LEFT JOIN nodes c ON c.depth = p.depth + 1 AND left(c.node, 64 * p.depth) = p.node GROUP BY p.node
+), subtrees AS (
+  SELECT left(node, 64 * k) AS node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+  FROM (SELECT nodes.node, own, n_children, unnest(range(0, depth + 1)) AS k FROM nodes JOIN families USING (node)) GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN families USING (node) JOIN subtrees USING (node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can say in full; a label, a model, a packing or spans of a method can't be."""
-    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL, "op13_manifest": _OP13_SQL}
+    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL, "op12_prefix_trie": _OP12_SQL, "op13_manifest": _OP13_SQL}

@@ -122,3 +122,48 @@ def manifest(docs: list[tuple]) -> list[tuple]:
             proof = sha(*(x for left, right in way + above for x in left + right))
             out.append((d[0], leaf(d), subroot, root, proof, digest, digest == root))
     return out
+
+
+def turn_key(role, text):
+    role, text = role or "", text or ""
+    return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()[:16]
+
+
+def rebuilt(turns: list[tuple]) -> dict:
+    """conv_id: [(role, text)] after the first h turns of conversation c - c % 5 (truncated) took their place."""
+    own = {}
+    for c, turn, role, text in turns:
+        own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(x)] for c, x in own.items()}
+    out = {}
+    for c, said in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (c % 5 if c >= 0 else -(-c % 5))
+        out[c] = own.get(base, [])[:h] + said[h:]
+    return out
+
+
+def prefix_trie(convs: dict) -> list[tuple]:
+    members = {}
+    for c, said in convs.items():
+        for d in range(len(said) + 1):
+            members.setdefault(tuple(said[:d]), []).append(c)
+    children, out = {}, []
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+
+    def below(node):
+        leaves, saved = (0, 0) if children.get(node) else (1, 0)
+        if node:
+            saved += (len(members[node]) - 1) * len((node[-1][1] or "").encode())
+        for child in children.get(node, []):
+            more = below(child)
+            leaves, saved = leaves + more[0], saved + more[1]
+        return leaves, saved
+
+    for node, own in members.items():
+        leaves, saved = below(node)
+        ends = ",".join(str(c) for c in sorted(c for c in own if len(convs[c]) == len(node)))
+        out.append((min(own), len(node), min(members[node[:-1]]) if node else None, len(own), len(children.get(node, [])), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
