@@ -74,6 +74,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callspark.llm.suffix_trees import repeated_passages
+
+    out = repeated_passages(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callspark.llm.prefix_trie import conversation_trie
 
@@ -197,6 +204,25 @@ FROM leaves JOIN ended USING (rid) LEFT JOIN proofs USING (rid) JOIN subroots ON
 """
 
 
+_OP11_SQL = r"""
+WITH said AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT rid, doc_id, k, array_to_string(words[k : k + 12], ' ') AS window13 FROM (SELECT *, unnest(range(1, greatest(len(words) - 11, 1))) AS k FROM said)
+), least AS (
+  SELECT window13, min(doc_id) AS low FROM windows GROUP BY window13 HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(k, k + 13)) AS place FROM windows JOIN least USING (window13) WHERE low < doc_id
+), left_over AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM said) ANTI JOIN gone USING (rid, place) GROUP BY rid
+), counts AS (
+  SELECT rid, count(*) AS n_removed FROM gone GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM said LEFT JOIN counts USING (rid) LEFT JOIN left_over USING (rid)
+"""
+
 _OP12_SQL = f"""
 WITH placed AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
@@ -228,4 +254,4 @@ FROM nodes JOIN families USING (node) JOIN subtrees USING (node)
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can say in full; a label, a model, a packing or spans of a method can't be."""
-    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL, "op12_prefix_trie": _OP12_SQL, "op13_manifest": _OP13_SQL}
+    return {"op3_minhash_dedup": _OP3_SQL, "op10_decontaminate": _OP10_SQL, "op11_repeated_passages": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_manifest": _OP13_SQL}

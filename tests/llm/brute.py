@@ -167,3 +167,19 @@ def prefix_trie(convs: dict) -> list[tuple]:
         ends = ",".join(str(c) for c in sorted(c for c in own if len(convs[c]) == len(node)))
         out.append((min(own), len(node), min(members[node[:-1]]) if node else None, len(own), len(children.get(node, [])), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
     return out
+
+
+def without_repeats(docs: list[tuple], window: int = 13) -> list[tuple]:
+    """(doc_id, n_words, n_removed, kept) of each (doc_id, text); a null id is larger than any other."""
+    rank = lambda i: float("inf") if i is None else i
+    said = [(i, space_words(t)) for i, t in docs]
+    least = {}
+    for i, words in said:
+        for k in range(len(words) - window + 1):
+            gram = tuple(words[k : k + window])
+            least[gram] = min(least.get(gram, float("inf")), rank(i))
+    out = []
+    for i, words in said:
+        gone = {p for k in range(len(words) - window + 1) if least[tuple(words[k : k + window])] < rank(i) for p in range(k, k + window)}
+        out.append((i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    return out
