@@ -314,11 +314,12 @@ def _repeats(stage: Stage, texts: DataFrame, window: int, gram: int, bin_size: i
     listed = texts.select("h1", "h2", "text").mapInArrow(_list_anchors(window, gram), "anchor long, h1 long, h2 long")
     shared = listed.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select(F.col("anchor").alias("_anchor"))
     shared = stage.write(shared, "shared")
-    marks = listed.join(stage.side(shared), F.col("anchor") == F.col("_anchor"), "left_semi").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors"))
+    stage.drop()
+    marks = listed.join(shared.hint("merge"), F.col("anchor") == F.col("_anchor"), "left_semi").groupBy("h1", "h2").agg(F.collect_set("anchor").alias("anchors"))
     marks = stage.write(marks, "marks")
     stage.drop(shared)
     once = texts.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    marked = once.join(stage.side(marks, marks.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "anchors")), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    marked = once.join(marks.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "anchors").hint("merge"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     passages = marked.select("id", "h1", "h2", "text", "anchors").mapInArrow(_cut_passages(window, gram), "id long, h1 long, h2 long, first long, n long, words string")
     passages = stage.write(passages, "passages", suffixes=F.coalesce(F.sum("n"), F.lit(0)))
     stage.drop(marks)
@@ -327,11 +328,12 @@ def _repeats(stage: Stage, texts: DataFrame, window: int, gram: int, bin_size: i
     bins = max(1, -(-2 * suffixes // bin_size), min(-(-suffixes // 10_000), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     limit = max(8, suffixes // (4 * bins), suffixes // plan_rows)
     plan = _prefix_plan(spark, passages, limit, window)
+    stage.drop()
     dealt = passages.mapInArrow(_deal(plan, bins, limit, window), "bin long, leaves binary").repartition(bins, "bin").sortWithinPartitions("bin")
     repeats = stage.write(dealt.mapInArrow(_grow, "h1 long, h2 long, place long, of_id long, of_place long"), "repeats")
     stage.drop(passages)
     linked = repeats.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "place").mapInArrow(_link(window), _SPANS)
-    spans = stage.write(linked, "spans", n_spans=F.coalesce(F.sum(F.size("spans")), F.lit(0)))
+    spans = stage.write(linked, "spans")
     stage.drop(repeats)
     return spans
 
@@ -369,9 +371,9 @@ def _without_repeats(docs: DataFrame, carried: Column, window: int = WINDOW, gra
     spans = _repeats(stage, texts, window, gram, bin_size, plan_rows)
     copies = texts.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
     facts = copies.unionByName(spans, allowMissingColumns=True).groupBy("h1", "h2").agg(F.min("least").alias("least"), F.first("spans", ignorenulls=True).alias("spans"))
-    facts = stage.write(facts, "facts", n_spans=F.coalesce(F.sum(F.when(F.col("spans").isNotNull(), F.size("spans"))), F.lit(0)))
-    small = stage.small(facts) and stage.counted(facts)["n_spans"] <= 300_000
-    side = facts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "least", "spans").hint("broadcast" if small else "merge")
+    facts = stage.write(facts, "facts")
+    stage.drop(spans)
+    side = facts.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "least", "spans").hint("merge")
     rows = docs.select(carried.alias("carried"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     joined = rows.join(side, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left").select("carried", "id", "text", "least", "spans")
