@@ -112,8 +112,12 @@ def spend_now(events: DataFrame, now: Column, key: str = "account", calls: int =
 
 
 def bucket_usage(hits: DataFrame, windows: DataFrame, now: Column) -> DataFrame:
-    """(bucket, live): hits of each bucket within its own window (bucket, seconds)."""
-    joined = hits.join(windows.select("bucket", "seconds").hint("merge"), "bucket")
+    """(bucket, live): hits of each bucket within its own window (bucket, seconds).
+
+    ``windows``, a row a bucket, goes to the hits if it has 100,000 rows at most, so that a hot bucket isn't shuffled.
+    """
+    few = windows.select("bucket").limit(100_001).count() <= 100_000
+    joined = hits.join(windows.select("bucket", "seconds").hint("broadcast" if few else "merge"), "bucket")
     return joined.where((micros("ts") > micros(now) - F.col("seconds").cast("long") * 1_000_000) & (F.col("ts") <= now)).groupBy("bucket").agg(F.count("*").alias("live"))
 
 

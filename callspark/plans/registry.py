@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callspark.functions import text as X
+from callspark.functions.literals import contained
 from callspark.operators import handoff, rules, search, timeline, turns, verify, voc
 from callspark.operators import telemetry as tele
 from callspark.plans import fixtures as fx
@@ -142,6 +143,23 @@ def c0_match_rules_table(spark, sf):
     return rules.match_rules(lines, patterns_table(spark, fx.THEMES)).select("call_id", "rule", F.col("pattern_no").alias("pattern_no"), (F.col("line_no") + 2).cast("long").alias("line_no"))
 
 
+_PHRASES_SQL = r"""picked as (select doc_id as rule, regexp_extract_all(text, '[A-Za-z]+') as w from documents),
+  phrases as (select rule, w[4] || ' ' || w[5] || ' ' as a, w[6] as b from picked where len(w) >= 6),
+  lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no from documents),
+  folded as (select doc_id, line_no, regexp_replace(line, '[ ,.]+', ' ', 'g') as flat from lines)"""
+
+
+@query(f"with {_PHRASES_SQL} select doc_id, line_no, rule from folded join phrases on contains(flat, a || b) or (contains(flat, a) and regexp_matches(flat, a || '[0-9]+x'))")
+def c0_match_phrases(spark, sf):
+    """A dictionary as large as the corpus: a pattern of three words from every document, asked of every line of all documents."""
+    docs = fx.table(spark, sf, "documents")
+    word = lambda k: F.get(F.col("w"), F.lit(k))
+    picked = docs.select(F.col("doc_id").alias("rule"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) >= 6")
+    phrases = picked.select("rule", F.lit(0).alias("ord"), F.lit(0).alias("pattern_no"), F.concat(word(3), F.lit("[ ,.]+"), word(4), F.lit("[ ,.]+("), word(5), F.lit("|[0-9]+x)")).alias("pattern"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rules.match_rules(lines, phrases).select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), "rule")
+
+
 @query(f"with {_SPEECH_SQL} select call_id, {' or '.join(f'''regexp_matches(speech, '{p}')''' for p in fx.REPEATS)} as again from speech")
 def c2_flag_repeat_calls(spark, sf):
     speech = _speech(spark, sf)
@@ -525,8 +543,20 @@ _BM25_SQL = f"""words as (select doc_id, unnest(list_concat(list_concat({fx.lati
   ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored where score > 0)"""
 
 
+_INDEXES: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def _index(spark, sf):
-    return search.save_index(fx.knowledge(spark, sf), f"{jobs.shared_folder(spark)}/index-{uuid.uuid4().hex}", fx.latin_tokens)
+    """The index of the documents, written once a session for each state of their files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf, status.getModificationTime(), status.getLen())
+    if key not in _INDEXES:
+        docs = fx.knowledge(spark, sf)
+        if 0 < status.getLen() < 1 << 30:  # one small file may be one row group, and that one task
+            docs = docs.repartition(4 * spark.sparkContext.defaultParallelism)
+        _INDEXES[key] = search.save_index(docs, f"{jobs.shared_folder(spark)}/index-{uuid.uuid4().hex}", fx.latin_tokens)
+    return _INDEXES[key]
 
 
 @query(f"with {_BM25_SQL} select query_id, doc_id, score from ranked where rank = 1")
@@ -540,14 +570,11 @@ def r5_bm25_top10(spark, sf):
     return ranked.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _first_holding(docs, queries_, block=10_000):
-    """(query_id, expected): the first document that holds each question; questions go to the documents in blocks of about ``block``."""
-    n_blocks, held = max(1, -(-queries_.count() // block)), None
-    for i in range(n_blocks):
-        part = queries_.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
-        found = docs.join(F.broadcast(part), F.expr("contains(text, q)")).groupBy("query_id").agg(F.min("doc_id").alias("expected"))
-        held = found if held is None else held.union(found)
-    return held
+def _first_holding(docs, queries_, block=100_000):
+    """(query_id, expected): the first document that holds each question; all questions are looked up in one pass over the documents."""
+    hits = contained(docs.select("doc_id", "text"), "text", queries_.select("q").distinct(), "q", ["doc_id"], block)
+    first = hits.groupBy("q").agg(F.min("doc_id").alias("expected"))
+    return queries_.select("query_id", "q").join(first.hint("merge"), "q").select("query_id", "expected")
 
 
 @query(f"""with {_BM25_SQL}, qrels as (select b.item_id as query_id, min(d.doc_id) as expected from benchmark b left join documents d on contains(d.text, b.text) group by 1),
@@ -616,7 +643,10 @@ def e1_corpus_cer(spark, sf):
     return verify.corpus_cer(verify.cer(_cer_pairs(spark, sf)), "lang").select("lang", "pairs", F.col("distance").cast("long").alias("distance"), F.col("ref_length").cast("long").alias("ref_length"))
 
 
-@query(f"""with {_CER_SQL}, k as (select *, cast(floor(0.05 * length(r)) as bigint) as k from c where length(r) > 0), j as (select *, r <> h and abs(length(r) - length(h)) <= k and length(r) * least(length(h), 2 * k + 1) > 400000 as unverifiable from k)
+@query(f"""with {_CER_SQL}, k as (select *, cast(floor(0.05 * length(r)) as bigint) as k, least(length(r), length(h)) as n from c where length(r) > 0),
+  p as (select *, coalesce(list_min(list_filter(range(1, n + 1), lambda i: substr(r, i, 1) <> substr(h, i, 1))) - 1, n) as head from k),
+  t as (select *, coalesce(list_min(list_filter(range(1, n - head + 1), lambda i: substr(r, -i, 1) <> substr(h, -i, 1))) - 1, n - head) as tail from p),
+  j as (select *, r <> h and abs(length(r) - length(h)) <= k and (length(r) - head - tail) * least(length(h) - head - tail, 2 * k + 1) > 400000 as unverifiable from t)
   select doc_id, unverifiable, not unverifiable and levenshtein(r, h) <= k as within from j""")
 def e2_cer_within(spark, sf):
     return verify.cer_within(_cer_pairs(spark, sf), 0.05).where("unverifiable is not null").select("doc_id", "unverifiable", "within")

@@ -428,7 +428,10 @@ def _bare(spark, sf):
 
 
 @query(f"""with c as (select conv_id, turn, {_BARE} as o, case turn % 3 when 0 then {_BARE} when 1 then replace({_BARE}, 'th', 'ht') else replace({_BARE}, 'e', 'ooo') end as n from conversations), f as (select *, {_FLAT.format('o')} as r, {_FLAT.format('n')} as h from c),
-  k as (select *, cast(floor(cast(0.15 as double) * length(r)) as bigint) as k from f), j as (select *, r = h as same, abs(length(r) - length(h)) > k as far, length(r) * least(length(h), 2 * k + 1) > 400000 as big from k),
+  k as (select *, cast(floor(cast(0.15 as double) * length(r)) as bigint) as k, least(length(r), length(h)) as m from f),
+  p as (select *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: substr(r, i, 1) <> substr(h, i, 1))) - 1, m) as head from k),
+  t as (select *, coalesce(list_min(list_filter(range(1, m - head + 1), lambda i: substr(r, -i, 1) <> substr(h, -i, 1))) - 1, m - head) as tail from p),
+  j as (select *, r = h as same, abs(length(r) - length(h)) > k as far, (length(r) - head - tail) * least(length(h) - head - tail, 2 * k + 1) > 400000 as big from t),
   d as (select *, case when length(r) > 0 then not same and not far and big end as unverifiable, case when length(r) > 0 and (same or not far and not big) then same or levenshtein(r, h) <= k else false end as ok from j)
   select conv_id, turn, ok, unverifiable, md5(case when ok then n else o end) as kept from d""")
 def e3_preserve_gate(spark, sf):

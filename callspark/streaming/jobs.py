@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from callspark.functions.text import correct_terms, mask_pii, micros
 from callspark.operators import dictionaries as D
 from callspark.operators.rules import match_rules
+from callspark.sources.shared import shared_folder
 from callspark.operators.telemetry import billed, merge_totals, telemetry_by_mode
 
 WATERMARK = "10 minutes"
@@ -172,16 +173,6 @@ def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts
     return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Admission(max_hits, seconds), outputStructType="bucket string, request_id string, at bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that driver and executors share; on a local master without it, the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
-
-
 def finish(writer, seconds: float = 600) -> None:
     """Starts a stream writer on what is there and waits for its end; TimeoutError after ``seconds``."""
     query = writer.trigger(availableNow=True).start()

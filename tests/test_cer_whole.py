@@ -52,3 +52,37 @@ def test_distances_of_every_band(spark):
 def test_no_pairs(spark):
     none = verify.cer(spark.createDataFrame([("", "x", "m")], "reference string, hypothesis string, model string"))
     assert verify.corpus_cer(none, "model").count() == 0 and verify.corpus_cer(none).first().pairs == 0
+
+
+def test_common_ends_are_cut_before_the_budget(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghij") for _ in range(6_600))
+    ten = long[:3_000] + "z" * 10 + long[3_010:]
+    spread = "".join("z" if k % 60 == 0 else c for k, c in enumerate(long))
+    rows = [("same", long, long), ("one", long, long[:4_000] + "Q" + long[4_001:]), ("ten", long, ten), ("spread", long, spread), ("short", long, long[:3_000]), ("added", long, long + "tail"), ("empty", "", "x"), ("gone", "abc", ""), ("twice", "aaaa", "aaaaa")]
+    got = {r.k: (r.within, r.unverifiable, r.cer) for r in verify.cer_within(spark.createDataFrame(rows, "k string, reference string, hypothesis string"), 0.15).collect()}
+    assert got["same"] == (True, False, 0.0) and got["one"] == (True, False, 1 / 6_600) and got["ten"] == (True, False, 10 / 6_600) and got["added"] == (True, False, 4 / 6_600)
+    assert got["spread"] == (False, True, None) and got["short"] == (False, False, None) and got["empty"] == (None, None, None) and got["gone"] == (False, False, None) and got["twice"] == (False, False, None)
+    kept = verify.preserve_gate(spark.createDataFrame([(long, ten), (long, spread)], "original string, rewritten string")).collect()
+    assert [(r.ok, r.kept == ten) for r in kept] == [(True, True), (False, False)]
+
+
+def test_within_against_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for n in (1, 5, 20, 60):
+        for _ in range(25):
+            one = [rng.choice("abcé😀") for _ in range(n)]
+            two = list(one)
+            for _ in range(rng.randrange(5)):
+                two[rng.randrange(n)] = rng.choice(["", "x", "yz", "a"])
+            rows.append(("".join(one), "".join(two)))
+    for r in verify.cer_within(spark.createDataFrame(rows, "reference string, hypothesis string"), 0.2, cells=300).collect():
+        a, b = r.reference, r.hypothesis
+        k, d = int(0.2 * len(a)), _levenshtein(a, b)
+        s, t = list(a), list(b)
+        while s and t and s[0] == t[0]:
+            s, t = s[1:], t[1:]
+        while s and t and s[-1] == t[-1]:
+            s, t = s[:-1], t[:-1]
+        hard = a != b and abs(len(a) - len(b)) <= k and len(s) * min(len(t), 2 * k + 1) > 300
+        assert r.unverifiable == hard and r.within == (not hard and d <= k) and (r.cer == d / len(a) if r.within else r.cer is None)
