@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callspark.functions.text import js_round, nfc, pairs_of
 
@@ -120,7 +121,7 @@ def corpus_cer(measured: DataFrame, *by: str) -> DataFrame:
     return out.where("pairs > 0") if by else out
 
 
-@F.pandas_udf("struct<head:int,tail:int>")
+@F.pandas_udf(T.StructType().add("head", "integer").add("tail", "integer"))
 def _common_ends(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     """How many characters two texts share at the start, and then at the end; found bit by bit on slices."""
 
