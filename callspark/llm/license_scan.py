@@ -2,13 +2,14 @@
 
 Method. Every rolling three-word gram of every text is joined with the grams of the templates (a broadcast of a
 fixed, small table); a hit votes for the diagonal text position - template position. Votes are counted per
-diagonal, diagonals within ``GAP`` words are merged (insertions and deletions move the diagonal), and a span is
-verified by the words at its grams and by the share of the template's grams that it covers.
+diagonal, and diagonals within ``GAP`` words are merged (insertions and deletions move the diagonal). A span of merged diagonals is
+verified by the words at its grams and, from each of its places on, by the longest row of grams that stand in the text in
+the template's order within ``STRETCH`` times the template's words.
 
-A base phrase counts where all its words stand consecutively. A license is also reported where a span covers
+A base phrase counts where all its words stand consecutively. A license is also reported where such a row has
 ``COVER`` of a template's grams or more; ``score`` is the largest share that any template reaches.
 
-Cases: a null text has no words. Rows that repeat doc_id and text each get the same answer. Any text length works;
+Cases: an empty table gives no rows. Licenses that tie are all reported. A null text has no words. Rows that repeat doc_id and text each get the same answer. Any text length works;
 texts under three words have no gram. Extra columns are ignored.
 """
 
@@ -36,6 +37,7 @@ TEMPLATES = (
 GRAM = 3
 GAP = 3
 COVER = 0.6
+STRETCH = 1.5
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _NO_GRAM = -1
 
@@ -51,6 +53,25 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return grams.withColumn("gram", F.xxhash64("w0", "w1", "w2")).unionByName(mark)
 
 
+def _in_order(votes: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, template, label, share) of each span: its longest row of grams in order, of all windows that begin at a gram."""
+    marks = votes.where("template >= 0").select("doc_id", "text_hash", "template", "label", "size", "span", "diagonal", F.explode("seen").alias("at"))
+    marks = marks.withColumn("place", F.col("at") + F.col("diagonal"))
+    longest = max(len(text.split()) for _, text in (*PHRASES, *TEMPLATES))
+    after = Window.partitionBy("doc_id", "text_hash", "template", "span").orderBy("place").rangeBetween(0, int(STRETCH * longest))
+    seen = marks.withColumn("window", F.collect_list(F.struct("place", (-F.col("at")).alias("back"))).over(after))
+    # grams start so that the last one ends within the stretch; of grams at one place the later in the template comes first, so they can't follow each other
+    ends = F.col("place") + F.floor(STRETCH * (F.col("size") + GRAM - 1)).cast("int") - GRAM
+    window = F.array_sort(F.filter("window", lambda m: m["place"] <= ends))
+    chain = F.aggregate(
+        window,
+        F.array_repeat(F.lit(0), F.col("size")),
+        lambda best, m: F.transform(best, lambda v, i: F.when(i == -m["back"], F.greatest(v, 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), -m["back"])), F.lit(0)))).otherwise(v)),
+        lambda best: F.array_max(best),
+    )
+    return seen.groupBy("doc_id", "text_hash", "template", "label", "span").agg(F.max(chain / F.col("size")).alias("share"))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row per row of ``docs``."""
     # only these two letters beyond ASCII have a lower case with ASCII letters in it
@@ -75,17 +96,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
     line = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= GAP, 0).otherwise(1)
-    spans = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    labelled = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     whole = F.col("base") & (F.size("seen") == F.col("size"))
-    spans = spans.groupBy("doc_id", "text_hash", "template", "span").agg(
+    spans = labelled.groupBy("doc_id", "text_hash", "template", "span").agg(
         F.first("n").alias("n"), F.first("label").alias("label"), F.first("size").alias("size"), F.max("times").alias("times"),
         F.count_if(whole).alias("places"), F.min(F.when(whole, F.col("diagonal"))).alias("first_word"), F.max(F.when(whole, F.col("diagonal"))).alias("last_word"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"),
-    )
-    real = F.col("template") >= 0
-    share = F.when(real, F.col("covered") / F.col("size"))
+    ).withColumn("share", F.lit(None).cast("double"))
+    spans = spans.unionByName(_in_order(labelled), allowMissingColumns=True)
+    real, share = F.col("template") >= 0, F.col("share")
     out = spans.groupBy("doc_id", "text_hash").agg(
-        F.first("n").cast("long").alias("n_words"), F.max(F.when(~real, F.col("times"))).cast("int").alias("copies"), F.sum(F.when(real, F.col("places")).otherwise(0)).alias("n_base"),
+        F.max("n").cast("long").alias("n_words"), F.max(F.when(~real, F.col("times"))).cast("int").alias("copies"), F.sum(F.when(real, F.coalesce("places", F.lit(0))).otherwise(0)).alias("n_base"),
         F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("places") > 0, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when((F.col("places") > 0) | (share >= COVER), F.col("label")))), ",").alias("labels"),

@@ -35,3 +35,26 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     assert identify_language(df).first().lang_pred == "und" and identify_language(df.limit(0)).count() == 0
+
+
+def test_languages_of_unequal_length_and_texts_without_blanks(spark):
+    rng = random.Random(4)
+    free = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 5]
+    hanzi = [chr(0x4E00 + k) for k in range(400)]
+    say = lambda n: "".join(rng.choice(hanzi) for _ in range(n))
+    rows = [(free[0], _text(rng, "aa", 60_000), "aa"), (free[1], _text(rng, "bb", 12), "bb"), (free[2], _text(rng, "bb", 12), "bb"), (free[3], say(20_000), "zh"), (free[4], say(30), "zh")]
+    rows += [(free[10 + k], _text(rng, "cc", 10), "cc") for k in range(20)]
+    asked = [(free[100], _text(rng, "bb", 25), None), (free[101], say(25), None), (free[102], _text(rng, "aa", 25), None), (free[103], _text(rng, "cc", 25), None)]
+    got = {r.doc_id: r.lang_pred for r in identify_language(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string"), max_chunks=400).collect()}
+    assert [got[r[0]] for r in asked] == ["bb", "zh", "aa", "cc"]
+
+
+def test_more_languages_than_dimensions(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02d}": [rng.choice(letters) + rng.choice(letters) + rng.choice(letters) for _ in range(12)] for k in range(300)}
+    say = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(k, say(lang, 40), lang) for k, lang in enumerate(sorted(own) * 4)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.8 * len(held) and len({r.lang_pred for r in got}) > 256
