@@ -40,7 +40,7 @@ CHUNK_WORDS = 32
 CHUNK_BYTES = 512
 #: Chunks of one document, and of one language at least.
 DOC_CHUNKS, LEAST_CHUNKS = 64, 20
-#: Steps of descent at least.
+#: Steps of descent at least (or 20 a language).
 LEAST_STEPS = 300
 UNKNOWN = "und"
 _FOLD = np.zeros(256, dtype=np.uint32)
@@ -147,7 +147,7 @@ def _train(names: list[str], flat: np.ndarray, offsets: np.ndarray, truth: np.nd
     weight = (len(learn) / classes / np.maximum(share, 1))[truth]  # rare languages count as much
     embed = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, classes), dtype=np.float32), np.zeros(classes, dtype=np.float32)
-    epochs = max(epochs, -(-LEAST_STEPS // -(-len(learn) // batch)))  # few examples are seen more often
+    epochs = max(epochs, -(-max(LEAST_STEPS, 20 * classes) // -(-len(learn) // batch)))  # few examples are seen more often
     steps = epochs * -(-len(learn) // batch)
     done = 0
     for _ in range(epochs):
