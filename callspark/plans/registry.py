@@ -598,6 +598,15 @@ def r8_vector_topk(spark, sf):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def r8_vector_index(spark, sf):
+    """The same query set through the inverted index: every vector is in it, results are approximate (recall in the README), so no SQL."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    index = search.save_vector_index(rows, f"{jobs.shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    found = search.vector_topk_index(rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), index, 5)
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""with {_BM25_SQL}, kw as (select query_id, doc_id, sum(length(term)) as score from (select distinct query_id, term from terms) t join documents d on contains(lower(coalesce(string_split(text, chr(10))[1], '') || ' ' || coalesce(text, '')), term) group by 1, 2),
   k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw), u as (select query_id, doc_id, rank from ranked where rank <= 8 union all select query_id, doc_id, rank from k where rank <= 8),
   f as (select query_id, doc_id, floor(sum(1 / (60 + rank)) * 10000 + 0.5) / 10000 as rrf from u group by 1, 2), o as (select *, row_number() over (partition by query_id order by rrf desc, doc_id) as rank from f) select query_id, doc_id, rrf, rank from o where rank <= 3""")
