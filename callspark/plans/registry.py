@@ -598,6 +598,17 @@ def r8_vector_topk(spark, sf):
     return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("""with docs as (select vec_id, embedding, case when vec_id % 3 = 0 then label end as owner from embeddings), q as (select vec_id as query_id, embedding as qe, label as asker from embeddings where vec_id % 100 = 0),
+  s as (select query_id, vec_id as doc_id, owner, row_number() over (partition by query_id order by round(list_cosine_similarity(cast(qe as double[]), cast(embedding as double[])), 9) desc, vec_id) as rank from q join docs on owner is null or owner = asker) select query_id, doc_id, rank, owner is not null as own from s where rank <= 8""")
+def r8_owner_documents(spark, sf):
+    """Every third vector belongs to its label; a query sees what is everyone's and what is its own label's."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    docs = rows.select("doc_id", "vector", F.when(F.col("doc_id") % 3 == 0, F.col("label")).alias("owner"))
+    asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vector", F.col("label").alias("owner"))
+    found = search.vector_topk(asked, docs, 8, owner="owner").select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return found.join(docs.select("doc_id", F.col("owner").isNotNull().alias("own")).hint("merge"), "doc_id")
+
+
 @query()
 def r8_vector_index(spark, sf):
     """The same query set through the inverted index: every vector is in it, results are approximate (recall in the README), so no SQL."""
