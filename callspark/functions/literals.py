@@ -25,8 +25,8 @@ _BITS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mandatory_literals(pattern: str) -> frozenset[str] | None:
-    """Texts of which every match of the pattern contains at least one; None if there are none to rely on.
+def mandatory_literals(pattern: str) -> list[frozenset[str]] | None:
+    """Sets of texts, of each of which every match of the pattern contains at least one; None if there are none to rely on.
 
     Only what Python and Java read alike is relied on: patterns that Python can't parse, that ignore case or white space,
     or use octal escapes have none.
@@ -39,14 +39,19 @@ def mandatory_literals(pattern: str) -> frozenset[str] | None:
         return None
     if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
         return None
-    found = _needed(parsed)
+    found = _options(parsed)
     try:
-        return found if found and all(x.encode() for x in found) else None
+        return found if found and all(x.encode() for option in found for x in option) else None
     except UnicodeEncodeError:  # halves of a surrogate pair
         return None
 
 
 def _needed(sequence) -> frozenset[str] | None:
+    """Of what a sequence needs, the set with the longest texts."""
+    return max(_options(sequence), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _options(sequence) -> list[frozenset[str]]:
     options, run = [], []
 
     def close() -> None:
@@ -74,7 +79,7 @@ def _needed(sequence) -> frozenset[str] | None:
         if inner:
             options.append(inner)
     close()
-    return max(options, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+    return list(dict.fromkeys(options))
 
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +148,8 @@ class FragmentIndex:
         return np.concatenate(rows), np.concatenate(owners)
 
 
-def meet(texts: DataFrame, text: str, asked: DataFrame, needs: Callable[[dict], frozenset[str] | None], sure: str | None = None, block: int = 100_000, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all) columns of ``texts`` with the columns of each row of ``asked`` that a text may hold, found by the literals that ``needs`` says of a row.
+def meet(texts: DataFrame, text: str, asked: DataFrame, needs: Callable[[dict], list[frozenset[str]] | None], sure: str | None = None, block: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: all) columns of ``texts`` with the columns of each row of ``asked`` that a text may hold, found by the literals that ``needs`` says of a row: one of each set has to be there.
 
     A row without literals (None) meets every text that isn't null. ``sure`` names a column of ``asked`` that must be contained
     as it is, which is then checked here. ``asked`` goes to the executors in blocks of at most ``block`` rows on average and about
@@ -162,13 +167,17 @@ def meet(texts: DataFrame, text: str, asked: DataFrame, needs: Callable[[dict],
 
     def scanner(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, table = held.value
+            index, table, of, sets = held.value
             exact = table[sure].to_pylist() if sure else None
             long = np.array([len(x.encode()) > 8 for x in exact], dtype=bool) if exact else None
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(text))
                 own = batch.select(keep)
-                for rows, owners in index.candidates(column):
+                for rows, found in index.candidates(column):
+                    pair, count = np.unique(rows * table.num_rows + of[found], return_counts=True)
+                    rows, owners = np.divmod(pair, table.num_rows)
+                    full = count == sets[owners]
+                    rows, owners = rows[full], owners[full]
                     if exact:
                         good = ~long[owners]  # a fragment is all of a shorter word
                         for k in np.flatnonzero(~good):
@@ -185,11 +194,13 @@ def meet(texts: DataFrame, text: str, asked: DataFrame, needs: Callable[[dict],
     out = None
     for k in range(n_blocks):
         part = asked.where(F.pmod(F.xxhash64(*named), F.lit(n_blocks)) == k).toArrow()
-        words = []
+        words, of = [], []
         for i, row in enumerate(part.to_pylist()):
-            literals = needs(row)
-            words += [("", i)] if literals is None else [(w, i) for w in literals]
-        held = spark.sparkContext.broadcast((FragmentIndex(words), part.combine_chunks()))
+            for option in needs(row) or [frozenset([""])]:
+                words += [(w, len(of)) for w in option]
+                of.append(i)
+        of = np.array(of, dtype=np.int64)
+        held = spark.sparkContext.broadcast((FragmentIndex(words), part.combine_chunks(), of, np.bincount(of, minlength=part.num_rows)))
         found = texts.mapInArrow(scanner(held), schema)
         out = found if out is None else out.unionByName(found)
     return out
@@ -197,4 +208,4 @@ def meet(texts: DataFrame, text: str, asked: DataFrame, needs: Callable[[dict],
 
 def contained(texts: DataFrame, text: str, words: DataFrame, word: str, keep: list[str], block: int = 100_000) -> DataFrame:
     """``keep`` of ``texts`` with each ``word`` (of a table of distinct words) that the text contains; null words are in no text."""
-    return meet(texts, text, words.select(word).where(F.col(word).isNotNull()), lambda row: frozenset([row[word]]), word, block, keep)
+    return meet(texts, text, words.select(word).where(F.col(word).isNotNull()), lambda row: [frozenset([row[word]])], word, block, keep)

@@ -156,7 +156,8 @@ def c0_match_phrases(spark, sf):
     word = lambda k: F.get(F.col("w"), F.lit(k))
     picked = docs.select(F.col("doc_id").alias("rule"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where("size(w) >= 6")
     phrases = picked.select("rule", F.lit(0).alias("ord"), F.lit(0).alias("pattern_no"), F.concat(word(3), F.lit("[ ,.]+"), word(4), F.lit("[ ,.]+("), word(5), F.lit("|[0-9]+x)")).alias("pattern"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    spread = docs.select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file would be one task
+    lines = spread.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rules.match_rules(lines, phrases).select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), "rule")
 
 
