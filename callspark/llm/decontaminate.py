@@ -12,7 +12,9 @@ shuffle. A larger benchmark takes more passes, whose few hits are merged by docu
 
 Cases: null or wordless texts have no words, no hits and ``contaminated`` false. Rows that repeat a doc_id
 are judged each on its own. An item with a null id marks words but isn't counted or listed; repeated item
-ids count once. An empty benchmark hits nothing. One item longer than a block is a block of its own.
+ids count once. An empty benchmark hits nothing. One item longer than a block is a block of its own. Documents of any length are read whole, in
+slices; an empty table gives no row; extra columns are ignored, and stay in ``drop_contaminated``. Windows that
+several items share count for each of them.
 """
 
 from __future__ import annotations
@@ -157,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0").distinct()  # a repeated item is one
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
     out, others = None, []

@@ -6,7 +6,7 @@ count. The same partition read again gives the same sequences.
 
 Cases: a null or empty text is the end id alone. A text of any length is cut without loss. Rows that
 repeat a doc_id, or have none, are documents of their own. Extra columns are ignored; an empty table gives
-no sequence.
+no sequence. Ties of best-fit-decreasing: documents of one length go in the order of the scan.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from callspark.llm.tokens import SLICE_BYTES, default_vocabulary, reader
 
 #: Tokens that best-fit-decreasing sorts and packs at once.
 BLOCK_TOKENS = 1 << 22
-#: Windows that the online packer holds open.
+#: Windows that the online packer holds open at once; beyond, the fullest is closed.
 MAX_OPEN = 1024
 
 
@@ -163,10 +163,12 @@ class SumOfSquares:
     """Online packing: a level array counts open windows by fill, and a document goes where the sum of the
     squared counts ends smallest. ``emit`` gets (sequence number, pieces) of each window that closes.
 
-    A piece is (document, start, ids). At ``close`` what is left in open windows is poured together, cutting where
-    a window ends, and the last rest is laid out in sequences of powers of two; nothing is padded then. More than
-    ``max_open`` open windows are closed in the same way in mid-partition: what they hold is poured together in plain
-    order instead of by sums of squares, no ids are lost, and packing starts anew with no window open.
+    A piece is (document, start, ids). When more than ``max_open`` windows are open, the fullest is closed: what it
+    lacks comes from the emptiest open windows, of which the last is cut and stays open with its rest. So each window
+    that closes is full, packing goes on by sums of squares, and a closing cuts one piece at most. ``close`` ends
+    all windows in this way and lays the last rest out in sequences of powers of two; nothing is padded.
+
+    Ties: of the fills that end with one sum the largest is taken, and of windows of one fill the latest.
     """
 
     def __init__(self, size: int, emit: Callable[[list], None], max_open: int = MAX_OPEN):
@@ -197,35 +199,62 @@ class SumOfSquares:
         if fill:
             count[fill] -= 1
             self.n_open -= 1
-        window.append((doc, full, ids[full:]))
+        window.append((doc, full, ids[full:].copy()))  # a view would keep the whole batch
         if fill + need == size:
             self.emit(window)
             return
-        self.windows[fill + need].append(window)
-        count[fill + need] += 1
-        self.n_open += 1
+        self._put(window, fill + need)
         if self.n_open > self.max_open:
-            self.close()
+            self.emit(self._filled()[0])
 
-    def close(self) -> None:
-        rest = [w for level in reversed(self.windows) for w in level]
-        self.level[:] = 0
-        self.windows = [[] for _ in range(self.size + 1)]
-        self.n_open = 0
-        back = [piece for w in reversed(rest) for piece in reversed(w)]  # the fullest window's first piece is last
-        current, fill, left = [], 0, sum(len(p[2]) for p in back)
-        while back:
-            room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
-            while fill < room:
-                doc, start, ids = back.pop()
-                if len(ids) > room - fill:
-                    cut = room - fill
-                    back.append((doc, start + cut, ids[cut:]))
-                    ids = ids[:cut]
-                current.append((doc, start, ids))
+    def _put(self, window: list, fill: int) -> None:
+        self.windows[fill].append(window)
+        self.level[fill] += 1
+        self.n_open += 1
+
+    def _take(self, which: int) -> tuple[list, int]:
+        """The emptiest (0) or fullest (-1) open window, and its fill."""
+        fill = int(np.flatnonzero(self.level)[which])
+        self.level[fill] -= 1
+        self.n_open -= 1
+        return self.windows[fill].pop(), fill
+
+    def _filled(self) -> tuple[list, int]:
+        """The fullest open window, filled up from the emptiest ones as far as they go, and its fill."""
+        window, fill = self._take(-1)
+        while fill < self.size and self.n_open:
+            other, held = self._take(0)
+            while other and fill < self.size:
+                doc, start, ids = other.pop()
+                room = self.size - fill
+                if len(ids) > room:
+                    other.append((doc, start + room, ids[room:]))
+                    ids = ids[:room]
+                window.append((doc, start, ids))
                 fill += len(ids)
-            self.emit(current)
-            current, fill, left = [], 0, left - room
+                held -= len(ids)
+            if other:
+                self._put(other, held)
+        return window, fill
+
+    def close(self) -> None:
+        while self.n_open:
+            window, fill = self._filled()
+            if fill == self.size:
+                self.emit(window)
+                continue
+            window.reverse()
+            while fill:  # the last rest
+                room, current = 1 << (fill.bit_length() - 1), []
+                fill -= room
+                while room:
+                    doc, start, ids = window.pop()
+                    if len(ids) > room:
+                        window.append((doc, start + room, ids[room:]))
+                        ids = ids[:room]
+                    current.append((doc, start, ids))
+                    room -= len(ids)
+                self.emit(current)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -248,7 +277,7 @@ def _pack_online(path: str, size: int, end_id: int):
         packer = SumOfSquares(size, emit)
         for ids_of, ids, offsets in _documents(batches, path, end_id):
             for name, a, b in zip(ids_of, offsets[:-1].tolist(), offsets[1:].tolist()):
-                packer.add((name, b - a), ids[a:b].copy() if b - a < size else ids[a:b])
+                packer.add((name, b - a), ids[a:b])
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
                 rows.clear()

@@ -10,7 +10,9 @@ Rules (``n_words`` under 10, or over 20 % of words in repeated five-word windows
 
 Cases: null and empty texts have no words and fail the rules. Labels without a quality or an id are not
 used; with no label of one of the two classes there is no model, ``p_good`` is null and only the rules
-judge. Rows that repeat a doc_id are judged each on its own text.
+judge. Rows that repeat a doc_id are judged each on its own text; the model learns from one of them, the
+greatest text, and an id with labels of both kinds counts as not good. Texts of any length are read whole, in
+slices. An empty table gives no row. Extra columns are ignored, and stay in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def _score(weights: np.ndarray, bias: float, parts: list[tuple[np.ndarray, np.nd
 
 
 def _sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, quality, text) to (good, fold, at, share): at most one entry a bucket, however long the text."""
+    """(mark, good, text) to (mark, good, at, share): at most one entry a bucket, however long the text."""
     for batch in batches:
         for piece in slices(batch.column(2), 1):
             parts = _features(piece, piece.words(SPACE_WORDS))
@@ -81,7 +83,7 @@ def _sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     pa.array([np.concatenate(at).astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([np.concatenate(share).astype(np.float32)], pa.list_(pa.float32())),
                 ],
-                names=["fold", "good", "at", "share"],
+                names=["mark", "good", "at", "share"],
             )
 
 
@@ -111,15 +113,18 @@ def _platt(scores: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[fl
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 60) -> QualityModel | None:
     """A model from at most ``sample`` labelled rows of each class; None if a class has none."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("quality") > 0).alias("good")).where("_id is not null and good is not null")
+    known = known.groupBy("_id").agg(F.min("good").alias("good"))
     order = [F.xxhash64("_id", F.lit(11)), "_id"]
     picked = known.where("good").orderBy(*order).limit(sample).union(known.where("not good").orderBy(*order).limit(sample))  # two bounded sets of ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.pmod(F.xxhash64("_id", F.lit(12)), F.lit(5)).alias("fold"), "good", "text")
-    table = text.mapInArrow(_sparse_batches, "fold long, good boolean, at array<int>, share array<float>").toArrow()
+    text = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).groupBy("_id", "good").agg(F.max("text").alias("text"))
+    text = text.select(F.xxhash64("_id", F.lit(12)).alias("mark"), "good", "text")
+    table = text.mapInArrow(_sparse_batches, "mark long, good boolean, at array<int>, share array<float>").toArrow()
+    table = table.take(np.argsort(table["mark"].to_numpy(), kind="stable"))
     good = np.array(table["good"].to_pylist(), dtype=bool)
     if not good.any() or good.all():
         return None
-    held = np.array(table["fold"].to_pylist()) == 0
+    held = np.mod(table["mark"].to_numpy(), 5) == 0
     if not (good[held].any() and (~good[held]).any() and good[~held].any() and (~good[~held]).any()):
         held = np.zeros(len(good), dtype=bool)
     at, share = table["at"].combine_chunks(), table["share"].combine_chunks()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-_watched: list[list[Stage]] = []
+#: Stages begun inside ``passing`` by this thread; runs of other threads have a list of their own.
+_watched: ContextVar[list[Stage] | None] = ContextVar("stages of a run", default=None)
 
 
 class Stage:
@@ -63,8 +65,9 @@ class Stage:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str, dict]] = {}
-        if _watched:
-            _watched[-1].append(self)
+        watched = _watched.get()
+        if watched is not None:
+            watched.append(self)
 
     def write(self, df: DataFrame, name: str, **counts) -> DataFrame:
         """``df``, written and read again; ``counts`` are more aggregates to have of its rows."""
@@ -109,9 +112,11 @@ class Stage:
 @contextmanager
 def passing() -> Iterator[None]:
     """Removes, at its end, the folders of all stages that began inside; their results must have been written by then."""
-    _watched.append([])
+    stages: list[Stage] = []
+    outer = _watched.set(stages)
     try:
         yield
     finally:
-        for stage in _watched.pop():
+        _watched.reset(outer)
+        for stage in stages:
             stage.clear()

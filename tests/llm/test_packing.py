@@ -144,3 +144,26 @@ def test_capacity_tree():
     tree.add(7, 1)
     tree.add(3, 2)
     assert tree.take(4) == (7, 1) and tree.take(4) is None and tree.take(1) == (3, 2) and tree.take(0) is None
+
+
+def test_overflow_closes_full_windows_only(spark):
+    """Documents over half a window: open windows stay bounded, each that closes is full, and few documents are cut."""
+    rng, size, out = random.Random(5), 4096, []
+    packer = SumOfSquares(size, out.append, max_open=64)
+    lengths = [rng.randrange(2100, 4000) for _ in range(1500)]
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype=np.uint32))
+        assert packer.n_open <= 64 and packer.n_open == packer.level.sum() == sum(map(len, packer.windows))
+    assert all(sum(len(p[2]) for p in w) == size for w in out)
+    packer.close()
+    fills = [sum(len(p[2]) for p in w) for w in out]
+    assert all(f == size or f & (f - 1) == 0 for f in fills) and sum(f < size for f in fills) <= 12
+    pieces = defaultdict(list)
+    for w in out:
+        for doc, start, ids in w:
+            assert ids[0] == start
+            pieces[doc].append((start, start + len(ids)))
+    for k, n in enumerate(lengths):
+        ends = sorted(pieces[k])
+        assert ends[0][0] == 0 and ends[-1][1] == n and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert sum(len(x) - 1 for x in pieces.values()) <= len(out) + 12

@@ -1,6 +1,9 @@
 import random
 
-from callspark.llm.quality import judge_quality, keep_good
+import numpy as np
+from pyspark.sql import functions as F
+
+from callspark.llm.quality import fit, judge_quality, keep_good
 from tests.llm import brute
 
 
@@ -41,3 +44,12 @@ def test_no_labels_and_empty(spark):
     row = judge_quality(df, labels).first()
     assert row.p_good is None and row.kept and row.doc_id is None
     assert keep_good(df, labels).first() == df.first() and judge_quality(df.limit(0), labels).count() == 0
+
+
+def test_repeated_ids_count_once(spark):
+    docs = _case()[:300]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(300)], "doc_id long, quality int")
+    copies = spark.range(500).select(F.lit(3).cast("long").alias("doc_id"), F.lit(docs[3][1]).alias("text"))
+    once, often = fit(df, labels), fit(df.union(copies), labels.union(labels))
+    assert np.array_equal(once.weights, often.weights) and (once.slope, once.shift) == (often.slope, often.shift)
