@@ -100,7 +100,11 @@ def spend_24h(events: DataFrame, key: str = "account", calls: int = 1, limit: fl
     rows = billed(events)
     last_day = Window.partitionBy(key).orderBy(micros("created_at")).rangeBetween(-86_400_000_000 + 1, 0)
     spent = F.sum("cost").over(last_day).cast("double")
-    rows = rows.withColumn("spent_24h", spent)
+    return spend_verdict(rows.withColumn("spent_24h", spent), calls, limit)
+
+
+def spend_verdict(rows: DataFrame, calls: int = 1, limit: float = LIMIT_USD) -> DataFrame:
+    """``rows`` with whether ``calls`` more are admitted after ``spent_24h``, and what is left."""
     return rows.withColumns({"admitted": F.col("spent_24h") + calls * RESERVE_USD <= limit, "remaining": F.greatest(F.lit(0.0), js_round((limit - F.col("spent_24h")) * 1000) / 1000)})
 
 

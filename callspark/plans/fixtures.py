@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +70,31 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_of(table(spark, sf_dir, "events"))
 
 
+def instants(rows: DataFrame) -> DataFrame:
+    """Times become instants, as event times are."""
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of its files; the pattern takes a file as well as a folder. Times become instants, as event times are."""
     rows = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
-    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"})
+    return instants(rows)
+
+
+def fed(rows: DataFrame, ts: str, parts: int = 3):
+    """(stream, feeds): ``rows`` as a stream of ``parts`` stretches of time; the first is there, each feed but the first adds the next."""
+    from callspark.sources.shared import shared_folder
+
+    spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/fed-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col(ts))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    width = ((high or 0) - (low or 0)) // parts + 1
+
+    def feed(k: int) -> None:
+        rows.where(F.floor((at - (low or 0)) / width) == k).write.mode("append").parquet(folder)
+
+    feed(0)
+    return spark.readStream.schema(rows.schema).parquet(folder), [None, *(functools.partial(feed, k) for k in range(1, parts))]
 
 
 def telemetry_of(events: DataFrame) -> DataFrame:

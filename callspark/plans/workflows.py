@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -500,27 +501,72 @@ def _local(*columns: str):
     return [F.col(c).cast("timestamp_ntz").alias(c) for c in columns]
 
 
+@contextmanager
+def _rocks(spark):
+    """The state store that stateful handlers need, for the streams inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    try:
+        jobs.use_rocksdb(spark)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _MARK_SQL = "mark as (select max(ts) - interval 10 minutes as mark from events)"
 
 
 _RISKS = ("leave", "other", "cost")
 
 
-@query(f"""with {fx.TURNS_SQL}, tags as (select call_id, {', '.join(f"bool_or(speaker = 'agent' and ({' or '.join(f'regexp_matches(text, {_quoted(p)})' for p in m[-1])})) as {m[0]}" for m in fx.MENTIONS)} {', '.join(['', *(f"bool_or(speaker = 'customer' and ({' or '.join(f'regexp_matches(text, {_quoted(p)})' for p in c[-1])})) as {c[0]}" for c in fx.CHURN if c[0] in _RISKS)])} from turns group by 1)
-  select call_id, case when not (greeting and recording) then 'open' when not identity then 'verify' when not solution then 'resolve' else 'close' end as stage,
+@query(f"""with {fx.TURNS_SQL}, tags as (select call_id, {', '.join(f"bool_or(speaker = 'agent' and ({' or '.join(f'regexp_matches(text, {_quoted(p)})' for p in m[-1])})) as {m[0]}" for m in fx.MENTIONS)} {', '.join(['', *(f"bool_or(speaker = 'customer' and ({' or '.join(f'regexp_matches(text, {_quoted(p)})' for p in c[-1])})) as {c[0]}" for c in fx.CHURN if c[0] in _RISKS)])} {', '.join(['', *(f"bool_or(speaker = 'agent' and ({' or '.join(f'contains(text, {_quoted(p)})' for p in f[-1])})) as {f[0]}" for f in fx.FORBIDDEN)])} from turns group by 1)
+  select call_id, array_to_string(list_filter([{', '.join(f"case when {f[0]} then '{f[0]}' end" for f in sorted(fx.FORBIDDEN))}], lambda x: x is not null), ',') as forbidden, cast(floor((cast(greeting as int) + cast(recording as int) + cast(identity as int) + cast(solution as int) + cast(closing as int)) * 20 + 0.5) as int) as progress,
+    case when not (greeting and recording) then 'open' when not identity then 'verify' when not solution then 'resolve' else 'close' end as stage,
     array_to_string(list_filter([case when not greeting then 'greeting' end, case when not recording then 'recording' end, case when not identity then 'identity' end, case when not solution then 'solution' end, case when not closing then 'closing' end], lambda x: x is not null)[1:2], ',') as next_mentions,
     array_to_string(list_filter([{', '.join(f"case when {r} then '{r}' end" for r in sorted(_RISKS))}], lambda x: x is not null), ',') as alerts from tags""")
 def x1_live_guide(spark, sf):
-    """The last state of each call once all turns are in."""
-    name, rocks = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    speaker = F.when(F.col("role") == "assistant", "agent").otherwise("customer")
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
-    said = fx.stream(spark, sf, "conversations").where("role in ('user', 'assistant')").select(F.col("conv_id").alias("call_id"), speaker.alias("speaker"), "text", at.alias("ts"))
-    try:
-        jobs.use_rocksdb(spark)
-        return jobs.drain(jobs.live_guide(said, fx.MENTIONS, fx.CHURN, playbook=_RISKS), "update").dropDuplicates()
-    finally:
-        spark.conf.set(name, rocks)
+    """The last state of each call once all turns are in; turns come in three stretches, and the stream goes on from its checkpoint."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn_no"))
+    said, feeds = fx.fed(fx.turns(spark, sf).select("call_id", "speaker", "text", at.alias("ts")), "ts")
+    with _rocks(spark):
+        return jobs.drain_last(jobs.live_guide(said, fx.MENTIONS, fx.CHURN, playbook=_RISKS, forbidden=fx.FORBIDDEN), "call_id", feeds=feeds)
+
+
+# watermarks are whole milliseconds; a row is settled when it lies before
+_EDGE_SQL = "edge as (select epoch_ms(max({ts})) * 1000 - 600000000 as edge from {rows})"
+
+
+@query(f"{R._ADMIT_SQL}, {_EDGE_SQL.format(ts='ts', rows='events')} select cast(bucket as varchar) as bucket, cast(request_id as varchar) as request_id, epoch_us(ts) as \"at\", accepted from walk, edge where epoch_us(ts) < edge")
+def x2_admit_stream(spark, sf):
+    """Two requests a day and account, decided in time order while events come in three stretches."""
+    hits, feeds = fx.fed(fx.instants(fx.table(spark, sf, "events")).select(F.col("user_id").alias("bucket"), "ts", F.col("event_id").alias("request_id")), "ts")
+    with _rocks(spark):
+        return jobs.drain(jobs.admit_stream(hits, 2, 86_400), feeds=feeds)
+
+
+@query(
+    R._SQL["a11_spend_24h"].replace("select request_id, cast(sum", "select request_id, created_at, cast(sum").replace("), s as (", ",\n  s as (")
+    .replace("\n  select request_id, cast(floor", f", {_EDGE_SQL.format(ts='created_at', rows='cost')}\n  select cast(request_id as varchar) as request_id, cast(floor")
+    + ", edge where epoch_us(created_at) < edge"
+)
+def x3_spend_live(spark, sf):
+    """What an account has spent in the 24 hours up to each of its requests, while requests come in three stretches."""
+    asked, feeds = fx.fed(fx.telemetry_of(fx.instants(fx.table(spark, sf, "events"))), "created_at")
+    with _rocks(spark):
+        out = jobs.drain(jobs.spend_live(asked), feeds=feeds)
+    return out.select("request_id", X.js_round(F.col("spent_24h") * 1_000_000).alias("spent_micro"), "admitted")
+
+
+@query(f"""with {_EDGE_SQL.format(ts='ts', rows='events')}, words as (select user_id as call_id, event_id as word_no, event_type || case when value > 150 then '.' else '' end as word, epoch_us(ts) as start, epoch_us(ts) + 60000000 as until from events, edge where epoch_us(ts) < edge),
+  cuts as (select *, case when start - lag(until) over w >= 43200000000 or lag(word) over w like '%.' then 1 else 0 end as cut from words window w as (partition by call_id order by word_no)), segs as (select *, sum(cut) over (partition by call_id order by word_no) as seg_no from cuts),
+  said as (select call_id, seg_no, min(start) as start, max(until) as until, string_agg(word, ' ' order by word_no) as text, max(seg_no) over (partition by call_id) as top from segs group by 1, 2)
+  select call_id, make_timestamp(start) as start, make_timestamp(until) as "end", text from said, edge where seg_no < top or text like '%.' or edge - until >= 43200000000""")
+def x8_utterances_live(spark, sf):
+    """Utterances by both rules from words (events of a minute each) that come in three stretches; gaps are half days."""
+    rows = fx.instants(fx.table(spark, sf, "events")).select(F.col("user_id").alias("call_id"), F.concat("event_type", F.when(F.col("value") > 150, ".").otherwise("")).alias("word"), "ts", (F.col("ts") + F.expr("interval 1 minute")).alias("until"), F.col("event_id").alias("no"))
+    words, feeds = fx.fed(rows, "ts")
+    with _rocks(spark):
+        return jobs.drain(jobs.utterances_live(words, until="until", order="no", gap="12 hours"), feeds=feeds).select("call_id", *_local("start", "end"), "text")
 
 
 @query(f"""with {fx.TELEMETRY_SQL}, cost as (select account, created_at, input_tokens * 500 + output_tokens * 2500 + coalesce(cache_read_tokens, 0) * 50 as c from telemetry where greatest(input_tokens, output_tokens, coalesce(cache_read_tokens, 0)) > 0),

@@ -6,12 +6,14 @@ checkpoint location. Stateful handlers use the RocksDB state store (``use_rocksd
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callspark.functions.text import correct_terms, mask_pii, micros
@@ -19,9 +21,7 @@ from callspark.operators import dictionaries as D
 from callspark.operators.rules import match_rules
 from callspark.operators.telemetry import billed, merge_totals, telemetry_by_mode
 from callspark.sources.shared import shared_folder
-
-WATERMARK = "10 minutes"
-
+from callspark.streaming.ordered import WATERMARK, admit_stream, spend_live, utterances_live  # noqa: F401 - part of this module's interface
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -45,14 +45,14 @@ def daily_counts_stream(stream: DataFrame, key: str = "category", ts: str = "ts"
 
 
 def spend_stream(stream: DataFrame, key: str = "account", ts: str = "created_at", delay: str = WATERMARK, window: str = "24 hours", slide: str = "5 minutes") -> DataFrame:
-    """(account, start, end, spent): what an account spent in each sliding day; the exact batch twin is ``spend_24h``."""
+    """(account, start, end, spent): what an account spent in each sliding day; ``spend_live`` has the exact rolling sum of each row."""
     rows = billed(stream.withWatermark(ts, delay))
     out = rows.groupBy(F.window(ts, window, slide), key).agg(F.sum("cost").alias("spent"))
     return out.select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), F.col("spent").cast("double").alias("spent"))
 
 
 def utterance_stream(stream: DataFrame, ts: str = "ts", gap: str = "800 milliseconds", delay: str = WATERMARK) -> DataFrame:
-    """(call_id, start, end, words): utterances by the gap rule; words are (call_id, word, ts). The punctuation rule needs ``sessionise_words``."""
+    """(call_id, start, end, words): utterances by the gap rule; words are (call_id, word, ts). ``utterances_live`` has the punctuation rule too."""
     rows = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), "call_id").agg(F.array_sort(F.collect_list(F.struct(ts, "word"))).alias("said"))
     return rows.select("call_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.array_join(F.transform("said", lambda x: x["word"]), " ").alias("words"))
 
@@ -78,14 +78,17 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return merge_totals(spark.read.parquet(path).drop("batch"))
 
 
+_GUIDE = ["call_id", "stage", "next_mentions", "alerts", "forbidden", "progress"]
+
+
 class _Guide(StatefulProcessor):
     """State of an open call: mentions said and signals seen; emits the stage after each batch of turns.
 
     A timer in event time, set anew by each batch, clears the state of a call that has been silent.
     """
 
-    def __init__(self, stages, idle_ms: int):
-        self.stages, self.idle_ms = stages, idle_ms
+    def __init__(self, stages, idle_ms: int, total: int):
+        self.stages, self.idle_ms, self.total = stages, idle_ms, total
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -106,71 +109,36 @@ class _Guide(StatefulProcessor):
         done = {t[2:] for t in seen if t.startswith("m:")}
         stage = next((name for name, ids in self.stages if not set(ids) <= done), self.stages[-1][0])
         missing = [i for name, ids in self.stages for i in ids if i not in done]
-        yield pd.DataFrame([(key[0], stage, ",".join(missing[:2]), ",".join(sorted(t[2:] for t in seen if t.startswith("a:"))))], columns=["call_id", "stage", "next_mentions", "alerts"])
+        of = lambda mark: ",".join(sorted(t[2:] for t in seen if t.startswith(mark)))
+        progress = (200 * len(done) + self.total) // (2 * self.total) if self.total else 0  # half up
+        yield pd.DataFrame([(key[0], stage, ",".join(missing[:2]), of("a:"), of("f:"), progress)], columns=_GUIDE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
-        yield pd.DataFrame(columns=["call_id", "stage", "next_mentions", "alerts"])
+        yield pd.DataFrame(columns=_GUIDE)
 
     def close(self) -> None:
         pass
 
 
-def live_guide(turns: DataFrame, mentions=D.MENTIONS, signals=D.CHURN_SIGNALS, stages=D.CALL_STAGES, playbook=D.PLAYBOOK, idle: str = "30 minutes", ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
-    """(call_id, stage, next_mentions, alerts), again whenever turns (call_id, speaker, text, ts) arrive; the state of a call expires when the
-    watermark has passed its last turn by ``idle``."""
+def live_guide(turns: DataFrame, mentions=D.MENTIONS, signals=D.CHURN_SIGNALS, stages=D.CALL_STAGES, playbook=D.PLAYBOOK, forbidden=D.FORBIDDEN, idle: str = "30 minutes", ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """(call_id, stage, next_mentions, alerts, forbidden, progress), again whenever turns (call_id, speaker, text, ts) arrive; the state of a call
+    expires when the watermark has passed its last turn by ``idle``.
+
+    ``alerts`` are the signals of ``playbook`` that the customer gave, ``forbidden`` the rules of which the agent said a phrase,
+    ``progress`` the share of mentions said, in percent. ``drain_last`` keeps one row a call.
+    """
     turns = turns.withWatermark(ts, delay).withColumn("at_ms", F.floor(micros(ts) / 1000).cast("long"))
-    agent = match_rules(turns.where("speaker = 'agent'"), mentions, "text").select("call_id", F.concat(F.lit("m:"), "rule").alias("tag"), "at_ms", ts)
+    agent, customer = turns.where("speaker = 'agent'"), turns.where("speaker = 'customer'")
     risks = tuple(s for s in signals if s[0] in playbook)
-    customer = match_rules(turns.where("speaker = 'customer'"), risks, "text").select("call_id", F.concat(F.lit("a:"), "rule").alias("tag"), "at_ms", ts)
-    tags = agent.union(customer).union(turns.select("call_id", F.lit(None).cast("string").alias("tag"), "at_ms", ts))
+    banned = tuple((f[0], tuple(re.escape(phrase) for phrase in f[-1])) for f in forbidden)
+    tags = turns.select("call_id", F.lit(None).cast("string").alias("tag"), "at_ms", ts)
+    for mark, rows, rules in (("m:", agent, mentions), ("a:", customer, risks), ("f:", agent, banned)):
+        if rules:
+            tags = tags.union(match_rules(rows, rules, "text").select("call_id", F.concat(F.lit(mark), "rule").alias("tag"), "at_ms", ts))
     kind = turns.schema["call_id"].dataType.simpleString()
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return tags.groupBy("call_id").transformWithStateInPandas(statefulProcessor=_Guide(stages, idle_ms), outputStructType=f"call_id {kind}, stage string, next_mentions string, alerts string", outputMode="Update", timeMode="EventTime")
-
-
-class _Admission(StatefulProcessor):
-    """Holds requests until the watermark passes them, then decides in event-time order; state is those and the last passes."""
-
-    def __init__(self, max_hits: int, seconds: int):
-        self.max_hits, self.micros = max_hits, seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, request_id string")
-        self.passed = handle.getListState("passed", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for at, request in zip(frame["at"], frame["request_id"]):
-                self.waiting.appendValue((int(at), str(request)))
-                self.handle.registerTimer(int(at) // 1000 + 1)
-        yield pd.DataFrame(columns=["bucket", "request_id", "at", "accepted"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        edge = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((a, r) for a, r in (self.waiting.get() if self.waiting.exists() else []))
-        passed = [a for (a,) in (self.passed.get() if self.passed.exists() else [])]
-        out = []
-        while waiting and waiting[0][0] < edge:
-            at, request = waiting.pop(0)
-            passed = [p for p in passed if p > at - self.micros]
-            good = len(passed) < self.max_hits
-            if good:
-                passed.append(at)
-            out.append((key[0], request, at, good))
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
-        self.passed.put([(p,) for p in passed]) if passed else self.passed.clear()
-        yield pd.DataFrame(out, columns=["bucket", "request_id", "at", "accepted"])
-
-    def close(self) -> None:
-        pass
-
-
-def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
-    """(bucket, request_id, at, accepted) once the watermark has passed a request; the batch twin is ``admit_requests``. ``at`` is in microseconds."""
-    rows = requests.withWatermark(ts, delay).select(F.col("bucket").cast("string").alias("bucket"), F.col("request_id").cast("string").alias("request_id"), micros(ts).alias("at"), ts)
-    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Admission(max_hits, seconds), outputStructType="bucket string, request_id string, at bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
+    guide = _Guide(stages, int(pd.Timedelta(idle).total_seconds() * 1000), len(mentions))
+    return tags.groupBy("call_id").transformWithStateInPandas(statefulProcessor=guide, outputStructType=f"call_id {kind}, stage string, next_mentions string, alerts string, forbidden string, progress int", outputMode="Update", timeMode="EventTime")
 
 
 def finish(writer, seconds: float = 600) -> None:
@@ -181,18 +149,32 @@ def finish(writer, seconds: float = 600) -> None:
         raise TimeoutError(f"the stream had not ended after {seconds} s")
 
 
-def drain(df: DataFrame, mode: str = "append", seconds: float = 600) -> DataFrame:
-    """All rows that a stream gives over what is there, written to a new folder of the shared one and read back.
-
-    In update mode a key that changes has a row for each batch.
-    """
+def _drained(df: DataFrame, mode: str, seconds: float, feeds: Sequence[Callable[[], None] | None]) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    finish(df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state"), seconds)
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)
+    for feed in feeds:
+        if feed:
+            feed()
+        finish(df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state"), seconds)
+    return df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+
+
+def drain(df: DataFrame, mode: str = "append", seconds: float = 600, feeds: Sequence[Callable[[], None] | None] = (None,)) -> DataFrame:
+    """All rows that a stream gives over what is there, written to a new folder of the shared one and read back.
+
+    In update mode a key that changes has a row for each batch. Each of ``feeds`` adds to the stream's source, and the
+    stream then goes on from its checkpoint.
+    """
+    return _drained(df, mode, seconds, feeds).select(*df.columns)
+
+
+def drain_last(df: DataFrame, key: str, seconds: float = 600, feeds: Sequence[Callable[[], None] | None] = (None,)) -> DataFrame:
+    """As ``drain`` in update mode, but only the last row of each key; a batch has one row a key."""
+    rows = _drained(df, "update", seconds, feeds)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), "batch").alias("_last")).select(key, "_last.*").select(*df.columns)
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float = 300) -> Callable[[], DataFrame]:
