@@ -165,6 +165,29 @@ def correct_terms(df: DataFrame, column: str, lexicon: Sequence[tuple[str, Seque
     return df.withColumn(f"{out}_counts", found).drop(*(f"_c{k}" for k in range(len(rules))))
 
 
+def correct_own_terms(df: DataFrame, column: str, pairs: DataFrame, owner: str = "owner", out: str = "corrected") -> DataFrame:
+    """As ``correct_terms``, but with each row's owner's own pairs (``clean_custom_terms``), literal and in their order.
+
+    A pair reads what the pair before left. Rows whose owner has no pairs, or is null, stay as they are. An owner has a few
+    pairs; the table of owners goes to the rows if it has 100,000 rows at most, else both are merged.
+    """
+    of = pairs.groupBy(F.col(owner).alias("_owner")).agg(F.array_sort(F.collect_list(F.struct("ord", "wrong", "term"))).alias("_pairs"))
+    few = of.limit(100_001).count() <= 100_000
+    rows = df.join(of.hint("broadcast" if few else "merge"), F.col(owner) == F.col("_owner"), "left")
+    start = F.struct(F.coalesce(F.col(column), F.lit("")).alias("text"), F.array().cast("array<struct<term:string,n:int>>").alias("hits"))
+
+    def step(done, pair):
+        text, bare = done["text"], F.replace(done["text"], pair["wrong"], F.lit(""))
+        n = F.floor((F.length(text) - F.length(bare)) / F.length(pair["wrong"])).cast("int")
+        return F.struct(F.replace(text, pair["wrong"], pair["term"]).alias("text"), F.concat(done["hits"], F.array(F.struct(pair["term"].alias("term"), n.alias("n")))).alias("hits"))
+
+    rows = rows.withColumn("_done", F.when(F.col("_pairs").isNotNull(), F.aggregate("_pairs", start, step)).otherwise(start))
+    hits = F.filter("_done.hits", lambda h: h["n"] > 0)
+    terms = F.array_distinct(F.transform(hits, lambda h: h["term"]))
+    sums = F.transform(terms, lambda t: F.aggregate(hits, F.lit(0), lambda n, h: n + F.when(h["term"] == t, h["n"]).otherwise(0)))
+    return rows.withColumns({out: F.col("_done.text"), f"{out}_counts": F.map_from_arrays(terms, sums)}).drop("_done", "_pairs", "_owner")
+
+
 def correction_audit(corrected: DataFrame, day: str, column: str = "corrected_counts") -> DataFrame:
     """(day, term, n): corrections per term and day."""
     return corrected.select(day, F.explode(column).alias("term", "n")).groupBy(day, "term").agg(F.sum("n").alias("n"))

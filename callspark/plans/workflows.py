@@ -127,6 +127,42 @@ def x6_mask_stream(spark, sf):
     return jobs.drain(jobs.mask_stream(_outgoing(fx.stream(spark, sf, "documents"))).select("doc_id", F.md5("outbound").alias("outbound")))
 
 
+def _own(spark, sf, *values):
+    """A row of each source of the documents for each of ``values``; every third source has none."""
+    table = F.array(*(F.struct(F.lit(k).alias("ord"), *cells) for k, cells in enumerate(values)))
+    owners = fx.table(spark, sf, "documents").select(F.col("source").alias("owner")).where("owner is not null").distinct().where("ascii(substr(md5(owner), 1, 1)) % 3 <> 0")
+    return owners.select("owner", F.explode(table).alias("v")).select("owner", "v.*")
+
+
+@query("""with d as (select doc_id, coalesce(text, '') as t0, source, source is not null and ascii(substr(md5(source), 1, 1)) % 3 <> 0 as own from documents),
+  a as (select *, case when own then replace(t0, 'the', source || '!') else t0 end as t1 from d), b as (select *, case when own then replace(t1, source, 'the') else t1 end as t2 from a), c as (select *, case when own then replace(t2, 'en', 'the') else t2 end as t3 from b)
+  select doc_id, md5(t3) as corrected, case when own and contains(t0, 'the') then (length(t0) - length(replace(t0, 'the', ''))) // 3 else 0 end as marked,
+    case when own then (length(t1) - length(replace(t1, source, ''))) // length(source) + (length(t2) - length(replace(t2, 'en', ''))) // 2 else 0 end as other from c""")
+def p6_own_terms(spark, sf):
+    """Each source's own pairs, of which one reads what the one before wrote, on its own documents only."""
+    owner = F.col("owner")
+    made = _own(spark, sf, (F.lit("the").alias("wrong"), F.concat("owner", F.lit("!")).alias("term")), (owner.alias("wrong"), F.lit("the").alias("term")), (F.lit("en").alias("wrong"), F.lit("the").alias("term")), (F.lit("e").alias("wrong"), F.lit("x").alias("term")))
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("owner"))
+    out = X.correct_own_terms(docs, "text", X.clean_custom_terms(made))
+    count = lambda key: F.coalesce(F.try_element_at("corrected_counts", key), F.lit(0)).cast("long")
+    return out.select("doc_id", F.md5("corrected").alias("corrected"), count(F.concat(F.coalesce("owner", F.lit("")), F.lit("!"))).alias("marked"), count(F.lit("the")).alias("other"))
+
+
+@query(f"""with {R._MENTIONS_SQL}, teams as (select call_id, call_id % 4 as owner, text from scripts),
+  more as (select call_id, 'custom-' || k as mention, 4 + k as ord, case when owner = 1 then contains(text, 'tion') or contains(text, 'zzz') when owner = 2 and k = 1 then contains(text, 'Re') else contains(text, 'qu') end as found from teams, (values (1), (2)) as v(k) where owner = 1 and k = 1 or owner = 2),
+  every as (select call_id, mention, list_position([{', '.join(_quoted(m[0]) for m in fx.MENTIONS)}], mention) - 1 as ord, found from mentioned union all select * from more),
+  sized as (select *, count(*) over (partition by call_id) as n from every)
+  select call_id, mention, cast(ord as int) as ord, cast(40 // n + case when ord < 40 % n then 1 else 0 end as int) as points, found from sized""")
+def c6_own_mentions(spark, sf):
+    """Four teams: one has a mention of its own, one has two, and two have none that can be used."""
+    scripts = turns.agent_script(fx.transcripts(spark, sf)).withColumn("owner", (F.col("call_id") % 4).cast("long"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    made = {1: [("Ends", words("zzz", " tion "))], 2: [("Starts", words("Re")), ("  ", words("The")), ("Asks", words("qu", ""))], 3: [("Empty", words(" "))]}
+    table = F.array(*(F.struct(F.lit(o).cast("long").alias("owner"), F.lit(k).alias("ord"), F.lit(label).alias("label"), w.alias("keywords")) for o, rows in made.items() for k, (label, w) in enumerate(rows)))
+    raw = scripts.select(F.explode(table).alias("r")).select("r.*").distinct()
+    return rules.check_own_mentions(rules.check_mentions(scripts, fx.MENTIONS), scripts, rules.custom_mentions(raw))
+
+
 _LABELLED_SQL = f"{fx.TURNS_SQL}, labelled as (select call_id, string_agg(case speaker when 'agent' then '상담사: ' else '고객: ' end || text, chr(10) order by turn_no) as transcript from turns group by 1)"
 _LAST_SQL = _LABELLED_SQL + r""", own as (select call_id, transcript, list_filter(string_split(transcript, chr(10)), lambda x: regexp_matches(x, '^\s*고객\s*[:：]')) as l from labelled),
   asked as (select call_id, trim(case when len(l) > 0 then substr(trim(regexp_replace(l[-1], '^\s*고객\s*[:：]\s*', '')), 1, 300) else right(transcript, 300) end) as query from own)"""
@@ -213,6 +249,20 @@ def c11d_audit_comments(spark, sf):
     return _audited(spark, sf)
 
 
+_HEARD_SQL = f"""{fx.TURNS_SQL}, heard as (select call_id, trim(regexp_extract(string_agg(speaker || ': ' || text, chr(10) order by turn_no), '[A-Za-z ,.]{{12,24}}')) as said from turns group by 1),
+  sized as (select call_id, length(regexp_replace(said, '[ ,.]', '', 'g')) as n from heard)"""
+
+
+@query(f"""with {_HEARD_SQL}, q as (select *, unnest([0, 1, 2]) as comment_no from sized), r as (select call_id, comment_no, n, [1, 4, 20][comment_no + 1] as more from q)
+  select call_id, cast(comment_no as int) as comment_no, 1 as n_quotes, n / (n + more) as ratio, n + more >= 10 and n / (n + more) >= 0.8 as verified from r""")
+def c11d_partial_quotes(spark, sf):
+    """Comments that quote a stretch of the call and go on with what nobody said: a little, some, and much of it."""
+    calls = fx.transcripts(spark, sf)
+    said = F.trim(F.regexp_extract("transcript", "[A-Za-z ,.]{12,24}", 0))
+    made = F.array(*(F.concat(F.lit("so “"), said, F.lit("¤" * n), F.lit("”")) for n in (1, 4, 20)))
+    return rules.audit_comments(calls.select("call_id", F.posexplode(made).alias("comment_no", "comment")), calls)
+
+
 @query(f"""with {_SAID_SQL}, n as (select call_id, case when word <> '' then 1 else 0 end as n from said) select call_id, cast(n + 1 as bigint) as quoted, cast(2 - n as bigint) as unquoted, cast(n as bigint) as verified, cast(1 as bigint) as unverified, n / 2 as average from n""")
 def c11d_comment_summary(spark, sf):
     return rules.comment_audit_summary(_audited(spark, sf))

@@ -330,3 +330,29 @@ def test_sources(spark, tmp_path):
     assert good.count() == 1 and sorted(r.bad_key for r in bad.collect()) == ["arr", "s"]
     snap = ledger.redacted_snapshot(ledger.normalise_calls(spark.createDataFrame([("1", "2026-01-01", None, None, "t" * 50, "비밀", False, None)], ledger.CALL_SCHEMA))).first()
     assert len(snap.title) == 40 and "transcript" not in snap.asDict()
+
+
+def test_dictionaries_of_owners(spark):
+    raw = spark.createDataFrame([("a", 0, " cat ", "dog"), ("a", 1, "dog", "cow"), ("a", 2, "", "x"), ("a", 3, "big", "small"), ("b", 0, "a.b", "c$1"), (None, 0, "big", "no")], "owner string, ord int, wrong string, term string")
+    docs = spark.createDataFrame([(1, "a", "cat dog catcat big"), (2, "b", "a.b aXb a.ba.b"), (3, None, "big cat"), (4, "z", "cat"), (5, "a", None), (6, "a", "")], "id int, owner string, text string")
+    rows = {r.id: r for r in X.correct_own_terms(docs, "text", X.clean_custom_terms(raw)).collect()}
+    assert rows[1].corrected == "cow cow cowcow big" and rows[1].corrected_counts == {"dog": 3, "cow": 4}
+    assert rows[2].corrected == "c$1 aXb c$1c$1" and rows[2].corrected_counts == {"c$1": 3}
+    assert [rows[k].corrected for k in (3, 4, 5, 6)] == ["big cat", "cat", "", ""] and rows[3].corrected_counts == rows[5].corrected_counts == {}
+
+    scripts = spark.createDataFrame([("x", "a", "안녕하세요 청약철회", [1], True), ("y", "b", "네", [1], True)], "call_id string, owner string, text string, line_numbers array<int>, labeled boolean")
+    own = rules.custom_mentions(spark.createDataFrame([("a", 0, "Cancel", ["청약철회"]), ("a", 1, "Other", ["none"]), ("c", 0, "Not", ["네"])], "owner string, ord int, label string, keywords array<string>"))
+    rows = rules.check_own_mentions(rules.check_mentions(scripts), scripts, own).orderBy("call_id", "ord").collect()
+    x, y = [r for r in rows if r.call_id == "x"], [r for r in rows if r.call_id == "y"]
+    assert [r.points for r in x] == [6, 6, 6, 6, 6, 5, 5] and [r.points for r in y] == [8] * 5
+    assert [(r.mention, r.found) for r in x[5:]] == [("custom-1", True), ("custom-2", False)] and x[0].found and not any(r.found for r in y)
+
+
+def test_quotes_are_compared_without_punctuation_and_in_part(spark):
+    calls = spark.createDataFrame([("x", "고객: 위약금, 없이 해지 가능하다고 들었어요. 정말요?"), ("e", "")], "call_id string, transcript string")
+    said = ["“위약금 없이 해지. 가능하다고 들었어요”", "“위약금 없이 해지 가능하다고 하셨다”", "“위약금 없이 해지 가능하다고 들었는데요 아니었나요 정말”", "“...”", "no quote"]
+    comments = spark.createDataFrame([("x", k, c) for k, c in enumerate(said)] + [("e", 0, said[0])], "call_id string, comment_no int, comment string")
+    rows = {(r.call_id, r.comment_no): (r.ratio, r.verified) for r in rules.audit_comments(comments, calls).collect()}
+    flat = "위약금없이해지가능하다고들었"
+    assert rows["x", 0] == (1.0, True) and rows["x", 1] == (12 / 15, True) and rows["x", 2] == (len(flat) / 24, False)
+    assert rows["x", 3] == (0.0, False) and rows["x", 4] == (None, None) and rows["e", 0] == (0.0, False)
