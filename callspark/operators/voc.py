@@ -63,14 +63,12 @@ def comparable(split: DataFrame) -> DataFrame:
 def voc_summary(calls: DataFrame, categories=CATEGORIES, sentiments=SENTIMENTS, hot=NEGATIVE) -> DataFrame:
     """(axis, value, calls, escalated, hot, timed, avg_minutes) by category and sentiment (zero rows for the whole domain,
     values outside it ignored), by day, and in total; one pass over the calls."""
-    rows = calls.select(F.col("category").alias("category"), F.col("sentiment").alias("sentiment"), F.date_format("day", "yyyy-MM-dd").alias("date"), F.coalesce("escalate", F.lit(False)).alias("escalate"), "minutes")
-    rows.createOrReplaceTempView("_voc_rows")
-    hot_in = ", ".join(f"'{h}'" for h in hot)
-    sets = calls.sparkSession.sql(f"""
-        select case when grouping(category) = 0 then 'category' when grouping(sentiment) = 0 then 'sentiment' when grouping(date) = 0 then 'date' else 'total' end as axis,
-               coalesce(category, sentiment, date, '') as value, count(*) as calls, count_if(escalate) as escalated, count_if(sentiment_0 in ({hot_in})) as hot,
-               count(minutes) as timed, avg(minutes) as avg_minutes
-        from (select *, sentiment as sentiment_0 from _voc_rows) group by grouping sets ((category), (sentiment), (date), ())""")
+    rows = calls.select("category", "sentiment", F.date_format("day", "yyyy-MM-dd").alias("date"), F.coalesce("escalate", F.lit(False)).alias("escalate"), F.col("sentiment").isin(*hot).alias("hot"), "minutes")
+    axis = F.when(F.grouping("category") == 0, "category").when(F.grouping("sentiment") == 0, "sentiment").when(F.grouping("date") == 0, "date").otherwise("total")
+    sets = rows.groupingSets([["category"], ["sentiment"], ["date"], []], "category", "sentiment", "date").agg(
+        axis.alias("axis"), F.count("*").alias("calls"), F.count_if("escalate").alias("escalated"), F.count_if("hot").alias("hot"), F.count("minutes").alias("timed"), F.avg("minutes").alias("avg_minutes"),
+    )
+    sets = sets.select("axis", F.coalesce("category", "sentiment", "date", F.lit("")).alias("value"), "calls", "escalated", "hot", "timed", "avg_minutes")
     domain = calls.sparkSession.createDataFrame([("category", c) for c in categories] + [("sentiment", s) for s in sentiments], "axis string, value string")
     fixed = domain.join(sets.where("axis in ('category', 'sentiment')").hint("merge"), ["axis", "value"], "left").fillna(0, ["calls", "escalated", "hot", "timed"])
     return fixed.unionByName(sets.where("axis = 'total' or axis = 'date' and value <> ''"))
@@ -182,7 +180,11 @@ _TAIL = "(이랑|에서|에게|한테|까지|부터|으로|로서|로써|보다|
 
 
 def suggest_terms(untagged: DataFrame, known: DataFrame, text: str = "speech", least: int = 2, top: int = 8, stopwords=STOPWORDS, tail: str = _TAIL) -> DataFrame:
-    """(term, calls, examples): the ``top`` words in most untagged calls that no rule knows (``known``: term) - a top-k report."""
+    """(term, calls, examples): the ``top`` words in most untagged calls that no rule knows (``known``: term) - a top-k report.
+
+    The two examples of a word are its first calls; the limit of the window is applied before the shuffle too, so a word that is in
+    all calls sends two rows a task.
+    """
     words = untagged.select("call_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select("call_id", "line_no", "line", F.explode(F.split("line", r"\s+")).alias("w"))
     bare = F.regexp_replace("w", "[^가-힣a-zA-Z0-9]", "")
     cut = F.regexp_replace(bare, tail, "")

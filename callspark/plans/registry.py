@@ -34,13 +34,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from callspark.plans import workflows  # noqa: F401 - registers its queries here
+    from callspark.plans import defaults, workflows  # noqa: F401 - register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from callspark.plans import workflows  # noqa: F401
+    from callspark.plans import defaults, workflows  # noqa: F401
 
     return dict(_SQL)
 
