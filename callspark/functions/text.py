@@ -93,7 +93,8 @@ def _mask_one(text: str | None) -> tuple[str, dict[str, int], int]:
     apply("card", _CARD, lambda m: _luhn(digits(m)) or _CARD_WORDS.search(_line_of(m)), lambda m: _hide(m[0], 4))
     apply("phone", _PHONE, None, lambda m: m[1] + _hide(m[2], 4))
     apply("account", _ACCOUNT, lambda m: 10 <= len(digits(m)) <= 14 and _BANK_WORDS.search(_line_of(m)), lambda m: _hide(m[0], 3))
-    apply("email", _MAIL, None, lambda m: (m[1][0] + "*" * (len(m[1]) - 1) if len(m[1]) > 1 else "*") + "@" + m[2])
+    if "@" in text:
+        apply("email", _MAIL, None, lambda m: (m[1][0] + "*" * (len(m[1]) - 1) if len(m[1]) > 1 else "*") + "@" + m[2])
     return text, hits, sum(hits.values())
 
 

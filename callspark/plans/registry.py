@@ -265,12 +265,6 @@ def c16_guide_calls(spark, sf):
 # ---- text preparation -------------------------------------------------------------------------------------
 
 
-@query()
-def p4_p5_pii_audit(spark, sf):
-    """Look-around in the patterns keeps this out of SQL; it is tested against the rules one by one."""
-    return X.pii_audit(X.mask_pii(fx.table(spark, sf, "documents"), "text"))
-
-
 _FIXED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'tion', 'TION', 'g'), 'ti on', 'TION', 'g'), 'the+n', 'THE', 'g'), 'and,', 'AND', 'g')"
 
 
@@ -340,36 +334,12 @@ def a4_aggregate_by_agent(spark, sf):
     return voc.aggregate_by_agent(fx.calls(spark, sf), negative=("F",)).select("agent", "calls", "negative", "escalated", "negative_rate", "escalated_rate", "avg_minutes", "timed")
 
 
-def _spike_sql(key: str, source: str, days: str, ratio: float = 0.9) -> str:
-    return f"""days as (select day, dense_rank() over (order by day desc) as rank from (select distinct day from {days} where day is not null)), size as (select count(*) as n_days from days),
-  counted as (select {key}, count(*) filter (rank <= 3) as now, count(*) filter (rank > 3) as past from {source} join days using (day) where {key} is not null group by 1),
-  based as (select *, past / (n_days - 3) as base from counted, size where n_days >= 5 and now >= 3), rated as (select *, case when base > 0 then now / 3 / base end as r from based)
-  select {key}, now, {_r('base')} as baseline_per_day, {_r('r')} as ratio, case when r is null or r >= 3 then 'high' else 'warn' end as level from rated where r is null or r >= {ratio}"""
-
-
-@query(f"with {fx.CALLS_SQL}, {_spike_sql('category', 'calls', 'calls')}")
-def n1_category_spikes(spark, sf):
-    return voc.category_spikes(fx.calls(spark, sf), recent_days=3, ratio=0.9)
-
-
-@query(f"with {_THEMES_SQL}, {_spike_sql('theme', 'themes', 'speech', 0.5)}")
-def n2_theme_spikes(spark, sf):
-    speech, themes = _themed(spark, sf)
-    return voc.theme_spikes(speech, themes, recent_days=3, ratio=0.5).drop("team_name")
-
-
 @query(f"""with {fx.CALLS_SQL}, c as (select count(*) as calls, count(*) filter (sentiment = 'F') as hot, count(*) filter (escalate) as esc from calls)
   select * from (select 'hot-ratio' as alert_id, 'high' as level, calls, hot as hits from c where calls >= 5 and hot / calls >= 0.25 union all select 'escalate-ratio', 'warn', calls, esc from c where calls >= 5 and esc / calls >= 0.30)""")
 def n3_ratio_alerts(spark, sf):
     return voc.ratio_alerts(fx.calls(spark, sf), hot="F")
 
 
-@query(f"""with {_SPEECH_SQL}, c as (select count(*) as calls, count(*) filter ({' or '.join(f"regexp_matches(speech, '{p}')" for p in fx.REPEATS)}) as hits from speech) select 'repeat-ratio' as alert_id, 'warn' as level, calls, hits from c where calls >= 5 and hits / calls >= 0.01""")
-def n4_repeat_alert(spark, sf):
-    speech = _speech(spark, sf)
-    return voc.repeat_alert(speech, rules.flag_repeat_calls(speech, speech, fx.REPEATS), share=0.01)
-
-
 @query(f"""with {_THEMES_SQL}, tagged as (select distinct call_id, 1 as t from themes), again as (select call_id from speech where {' or '.join(f"regexp_matches(speech, '{p}')" for p in fx.REPEATS)})
   select count(*) as total, count(*) filter (t is null) as untagged, count(again.call_id) as repeats, case when count(*) > 0 then (count(*) - count(*) filter (t is null)) / count(*) end as tagged_rate from speech left join tagged using (call_id) left join again on again.call_id = speech.call_id""")
 def a5_tagging_rates(spark, sf):
@@ -377,13 +347,13 @@ def a5_tagging_rates(spark, sf):
     return voc.tagging_rates(speech, themes, rules.flag_repeat_calls(speech, speech, fx.REPEATS))
 
 
-@query("""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), words as (select doc_id, regexp_replace(unnest(string_split_regex(line, '\\s+')), '[^a-zA-Z0-9]', '', 'g') as term from lines),
-  counted as (select term, count(distinct doc_id) as calls from words where length(term) >= 2 and term not in ('the', 'of') and term not in ('and', 'in') group by 1 having count(distinct doc_id) >= 2)
-  select term, calls from counted order by calls desc, term limit 8""")
+@query("""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents), words as (select doc_id, line, line_no, regexp_replace(unnest(string_split_regex(line, '\\s+')), '[^a-zA-Z0-9]', '', 'g') as term from lines),
+  each_one as (select term, doc_id, arg_min(line, line_no) as line from words where length(term) >= 2 and term not in ('the', 'of') and term not in ('and', 'in') group by 1, 2), best as (select term, count(*) as calls from each_one group by 1 having count(*) >= 2 order by calls desc, term limit 8),
+  shown as (select term, best.calls, substr(trim(line), 1, 60) as line, row_number() over (partition by term order by doc_id) as n from each_one join best using (term)) select term, calls, string_agg(line, ' / ' order by n) as examples from shown where n <= 2 group by 1, 2""")
 def a6_suggest_terms(spark, sf):
     docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), F.col("text").alias("speech"))
     known = spark.createDataFrame([("and",), ("in",)], "term string")
-    return voc.suggest_terms(docs, known, stopwords=("the", "of"), tail="가$").select("term", "calls")
+    return voc.suggest_terms(docs, known, stopwords=("the", "of"), tail="가$").select("term", "calls", F.array_join("examples", " / ").alias("examples"))
 
 
 _HISTORY_SQL = "history as (select source as label, d.doc_id as eval_no, 50 + 30 * quality + 10 * toxic + d.doc_id % 9 as total, toxic = 1 as estimated from documents d join labels l using (doc_id))"

@@ -108,13 +108,29 @@ def s9_qa_history_rows(spark, sf):
 
 # ---- texts that leave -------------------------------------------------------------------------------------
 
-_OUTBOUND = ("0123456789@", " 헤지 문의 010-1234-5678", " 해지 문의 010-****-5678")
-_OUTBOUND_SQL = f"select doc_id, md5(translate(coalesce(text, ''), '{_OUTBOUND[0]}', '') || '{_OUTBOUND[2]}') as outbound from documents"
+_CARD_SQL, _MAIL_SQL = r"(^|[^A-Za-z0-9_])((?:[0-9]\x03?[ -]?){12,18}[0-9])($|[^A-Za-z0-9_])", r"(^|[^A-Za-z0-9_])([A-Za-z0-9_.+-]+)@([A-Za-z0-9_-]+\.[A-Za-z0-9_.]+)"
+_LUHN_SQL = "list_sum(list_transform(string_split(reverse(regexp_replace(string_split(x, chr(2))[1], '[^0-9]', '', 'g')), ''), lambda c, i: case when i % 2 = 0 then cast(c as int) * 2 // 10 + cast(c as int) * 2 % 10 else cast(c as int) end)) % 10 = 0"
+# A mark behind digits lets two cards share the blank between them. Cards and mails of the given texts are marked, cut at the marks and masked piece by piece; what stands behind each text is written masked.
+_MASKED_SQL = rf"""given as (select doc_id, string_split(replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])([^A-Za-z0-9_])', '\1' || chr(3) || '\2', 'g'), '{_CARD_SQL}', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(3), ''), chr(1)) as c from documents),
+  carded as (select doc_id, c, c[1] || array_to_string(list_transform(c[2:], lambda x: case when {_LUHN_SQL} then regexp_replace(left(string_split(x, chr(2))[1], -4), '[0-9]', '*', 'g') || right(string_split(x, chr(2))[1], 4) || string_split(x, chr(2))[2] else replace(x, chr(2), '') end), '') as t from given),
+  mailed as (select doc_id, c, string_split(regexp_replace(t, '{_MAIL_SQL}', '\1' || chr(1) || '\2' || chr(2) || '@\3', 'g'), chr(1)) as m from carded),
+  masked as (select doc_id, c, m, m[1] || array_to_string(list_transform(m[2:], lambda x: case when position(chr(2) in x) > 2 then left(x, 1) || repeat('*', position(chr(2) in x) - 2) else '*' end || string_split(x, chr(2))[2]), '')
+    || ' 해지 문의 010-****-' || lpad(cast(doc_id * 7 % 10000 as varchar), 4, '0') || ' 주민 900101-1******' || chr(10) || '입금 계좌 ***-**-***' || right(lpad(cast(doc_id % 1000000 as varchar), 6, '0'), 3) as text from mailed)"""
+_OUTBOUND_SQL = f"with {_MASKED_SQL} select doc_id, md5(text) as outbound from masked"
 
 
 def _outgoing(docs):
-    """Whole texts without digits, with one number to mask and one term to correct behind."""
-    return docs.select("doc_id", F.concat(F.translate(F.coalesce("text", F.lit("")), _OUTBOUND[0], ""), F.lit(_OUTBOUND[1])).alias("text"))
+    """Whole texts with their cards and mails, and behind them a term to correct, a phone, a resident and an account number of the document's own."""
+    padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
+    key = F.col("doc_id")
+    more = F.concat(F.lit(" 헤지 문의 010-"), padded(key % 10_000, 4), F.lit("-"), padded(key * 7 % 10_000, 4), F.lit(" 주민 900101-1"), padded(key % 1_000_000, 6), F.lit("\n입금 계좌 123-45-"), padded(key % 1_000_000, 6))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+
+
+@query(f"""with {_MASKED_SQL}, n as (select count(*) as docs, sum(len(list_filter(c[2:], lambda x: {_LUHN_SQL}))) as cards, sum(len(m) - 1) as mails from masked)
+  select type, cast(n as bigint) as n from (select unnest(['rrn', 'card', 'phone', 'account', 'email']) as type, unnest([docs, cards, docs, docs, mails]) as n from n) where n > 0""")
+def p4_p5_pii_audit(spark, sf):
+    return X.pii_audit(X.mask_pii(_outgoing(fx.table(spark, sf, "documents")), "text"))
 
 
 @query(_OUTBOUND_SQL)
@@ -328,19 +344,45 @@ def _risen(key: str) -> str:
     return f"""select {key} as value, count(*) filter (rank = 1) as now, count(*) filter (rank > 1) / (select max(rank) - 1 from ranked) as base from ranked group by 1 having now >= 3 and (base = 0 or now / base >= 2)"""
 
 
-@query(f"""with ranked as (select o_orderkey, case when o_orderkey % 14 = 13 then 'rush' else o_orderpriority end as category, case when o_orderkey % 14 = 13 or o_orderkey % 140 = 0 then 'late' else o_orderstatus end as theme, dense_rank() over (order by o_orderkey % 14 desc) as rank from orders),
-  n as (select count(*) as calls, count(*) filter (o_orderstatus = 'F') as hot, count(*) filter (o_totalprice > 200000) as esc, count(*) filter (o_custkey % 4 = 0) as again from orders)
-  select 0 as ord, 'hot-ratio' as alert_id, 'high' as level, hot as now from n where hot / calls >= 0.25 union all select 0, 'escalate-ratio', 'warn', esc from n where esc / calls >= 0.30 union all select 1, 'repeat-ratio', 'warn', again from n where again / calls >= 0.15
-  union all select 2, 'spike-' || value, case when base = 0 or now / base >= 3 then 'high' else 'warn' end, now from ({_risen('category')}) union all select 3, 'theme-' || value, case when base = 0 or now / base >= 3 then 'high' else 'warn' end, now from ({_risen('theme')})""")
-def n5_voc_anomalies(spark, sf):
-    """Fourteen days, the last with a category of its own and a cause that was rare before."""
+_RISEN_SQL = "ranked as (select o_orderkey, case when o_orderkey % 14 = 13 then 'rush' else o_orderpriority end as category, case when o_orderkey % 14 = 13 or o_orderkey % 140 = 0 then 'late' else o_orderstatus end as theme, dense_rank() over (order by o_orderkey % 14 desc) as rank from orders)"
+
+
+def _risen_calls(spark, sf):
+    """Fourteen days of orders, the last with a category of its own and a cause that was rare before."""
     orders, key = fx.table(spark, sf, "orders"), F.col("o_orderkey")
     calls = orders.select(
         key.alias("call_id"), F.expr("date_add(date '2024-01-01', cast(o_orderkey % 14 as int))").alias("day"), F.when(key % 14 == 13, "rush").otherwise(F.col("o_orderpriority")).alias("category"), F.when(F.col("o_orderstatus") == "F", voc.HOT).otherwise("s").alias("sentiment"),
         (F.col("o_totalprice") > 200_000).alias("escalate"),
     )
     themes = orders.select(key.alias("call_id"), F.when((key % 14 == 13) | (key % 140 == 0), "late").otherwise(F.col("o_orderstatus")).alias("theme"), F.lit("T").alias("team_name"))
-    return voc.voc_anomalies(calls, themes, orders.where("o_custkey % 4 = 0").select(key.alias("call_id")))
+    return calls, themes, orders.where("o_custkey % 4 = 0").select(key.alias("call_id"))
+
+
+_SPIKE_COLUMNS = f"now, {R._r('base')} as baseline_per_day, case when base > 0 then {R._r('now / base')} end as ratio, case when base = 0 or now / base >= 3 then 'high' else 'warn' end as level"
+
+
+@query(f"with {_RISEN_SQL} select value as category, {_SPIKE_COLUMNS} from ({_risen('category')})")
+def n1_category_spikes(spark, sf):
+    return voc.category_spikes(_risen_calls(spark, sf)[0])
+
+
+@query(f"with {_RISEN_SQL} select value as theme, {_SPIKE_COLUMNS}, 'T' as team_name from ({_risen('theme')})")
+def n2_theme_spikes(spark, sf):
+    return voc.theme_spikes(*_risen_calls(spark, sf)[:2])
+
+
+@query("select 'repeat-ratio' as alert_id, 'warn' as level, count(*) as calls, count(*) filter (o_custkey % 4 = 0) as hits from orders having count(*) >= 5 and count(*) filter (o_custkey % 4 = 0) / count(*) >= 0.15")
+def n4_repeat_alert(spark, sf):
+    calls, _, again = _risen_calls(spark, sf)
+    return voc.repeat_alert(calls, again)
+
+
+@query(f"""with {_RISEN_SQL},
+  n as (select count(*) as calls, count(*) filter (o_orderstatus = 'F') as hot, count(*) filter (o_totalprice > 200000) as esc, count(*) filter (o_custkey % 4 = 0) as again from orders)
+  select 0 as ord, 'hot-ratio' as alert_id, 'high' as level, hot as now from n where hot / calls >= 0.25 union all select 0, 'escalate-ratio', 'warn', esc from n where esc / calls >= 0.30 union all select 1, 'repeat-ratio', 'warn', again from n where again / calls >= 0.15
+  union all select 2, 'spike-' || value, case when base = 0 or now / base >= 3 then 'high' else 'warn' end, now from ({_risen('category')}) union all select 3, 'theme-' || value, case when base = 0 or now / base >= 3 then 'high' else 'warn' end, now from ({_risen('theme')})""")
+def n5_voc_anomalies(spark, sf):
+    return voc.voc_anomalies(*_risen_calls(spark, sf))
 
 
 # ---- retrieval --------------------------------------------------------------------------------------------
@@ -363,15 +405,15 @@ def r4_rewrite_queries(spark, sf):
 _GRAMS = "list_distinct(list_transform(range(1, length(f)), lambda i: substr(f, i, 2)))"
 
 
-@query(f"""with d as (select doc_id, regexp_replace(lower(coalesce(string_split(text, chr(10))[1] || ' ' || text, '')), '[^가-힣a-z0-9]', '', 'g') as f from documents), q as (select item_id as query_id, substr(md5(text), 1, 5) as f from benchmark),
+@query(f"""with d as (select doc_id, regexp_replace(lower(coalesce(string_split(text, chr(10))[1] || ' ' || text, '')), '[^가-힣a-z0-9]', '', 'g') as f from documents), q as (select item_id as query_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as f from benchmark),
   dg as (select doc_id, unnest({_GRAMS}) as gram from d), qg as (select query_id, unnest({_GRAMS}) as gram from q), n as (select query_id, count(*) as n from qg group by 1),
-  s as (select query_id, doc_id, floor(count(*) / max(n) * 0.5 * 1000 + 0.5) / 1000 as score from qg join dg using (gram) join n using (query_id) group by 1, 2)
-  select query_id, doc_id, score from s""")
+  s as (select query_id, doc_id, floor(count(*) / max(n) * 0.5 * 1000 + 0.5) / 1000 as score from qg join dg using (gram) join n using (query_id) group by 1, 2),
+  r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, score, true as weak, rank from r where rank <= 10""")
 def r6_bigram_fallback(spark, sf):
-    """Odd questions (five digits of a hash of each item) against the bigrams of whole documents."""
-    docs = fx.knowledge(spark, sf)
-    asked = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(F.md5("text"), 1, 5).alias("q"))
-    return search.bigram_scores(asked, search.build_index(docs, fx.latin_tokens))
+    """Whole benchmark items typed without any blank: no word of theirs is known, so the bigrams of whole documents answer."""
+    asked = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("q"))
+    found = search.bm25_rank(asked, R._index(spark, sf), 10, (), fx.latin_tokens)
+    return found.select("query_id", "doc_id", "score", "weak", F.col("rank").cast("long").alias("rank"))
 
 
 _SURE_SQL = f"""{R._BM25_SQL}, sure as (select query_id, case when score < 0.35 then 'none' when score < 1.2 then 'weak' else 'strong' end as confidence from ranked where rank = 1)"""
