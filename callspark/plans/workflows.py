@@ -362,7 +362,7 @@ _SPIKE_COLUMNS = f"now, {R._r('base')} as baseline_per_day, case when base > 0 t
 
 
 @query(f"with {_RISEN_SQL} select value as category, {_SPIKE_COLUMNS} from ({_risen('category')})")
-def n1_category_spikes(spark, sf):
+def n1_default_spikes(spark, sf):
     return voc.category_spikes(_risen_calls(spark, sf)[0])
 
 
