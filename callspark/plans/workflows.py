@@ -367,7 +367,7 @@ def n1_default_spikes(spark, sf):
 
 
 @query(f"with {_RISEN_SQL} select value as theme, {_SPIKE_COLUMNS}, 'T' as team_name from ({_risen('theme')})")
-def n2_theme_spikes(spark, sf):
+def n2_default_theme_spikes(spark, sf):
     return voc.theme_spikes(*_risen_calls(spark, sf)[:2])
 
 

@@ -35,3 +35,10 @@ def test_category_spikes_count_three_days_of_all_orders(spark):
     rows = [(r.category, r.day) for r in fx.calls(spark, SF).collect()]
     found = {r.category: r.now for r in registry.queries()["n1_category_spikes"](spark, SF).collect()}
     assert found == _risen(rows, [d for _, d in rows], 0.9)
+
+
+def test_theme_spikes_read_what_was_said(spark):
+    texts, days = _said(spark)
+    events = [(t[0], days[c]) for c, text in texts.items() for t in fx.THEMES if any(re.search(p, line) for p in t[-1] for line in ("\n" + text).split("\n"))]
+    found = {r.theme: r.now for r in registry.queries()["n2_theme_spikes"](spark, SF).collect()}
+    assert found == _risen(events, list(days.values()), 0.5)
