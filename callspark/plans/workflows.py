@@ -372,7 +372,7 @@ def n2_default_theme_spikes(spark, sf):
 
 
 @query("select 'repeat-ratio' as alert_id, 'warn' as level, count(*) as calls, count(*) filter (o_custkey % 4 = 0) as hits from orders having count(*) >= 5 and count(*) filter (o_custkey % 4 = 0) / count(*) >= 0.15")
-def n4_repeat_alert(spark, sf):
+def n4_default_repeat_alert(spark, sf):
     calls, _, again = _risen_calls(spark, sf)
     return voc.repeat_alert(calls, again)
 

@@ -42,3 +42,10 @@ def test_theme_spikes_read_what_was_said(spark):
     events = [(t[0], days[c]) for c, text in texts.items() for t in fx.THEMES if any(re.search(p, line) for p in t[-1] for line in ("\n" + text).split("\n"))]
     found = {r.theme: r.now for r in registry.queries()["n2_theme_spikes"](spark, SF).collect()}
     assert found == _risen(events, list(days.values()), 0.5)
+
+
+def test_repeat_alert_reads_what_was_said(spark):
+    texts, _ = _said(spark)
+    hits = sum(any(re.search(p, x) for p in fx.REPEATS) for x in texts.values())
+    found = [(r.calls, r.hits) for r in registry.queries()["n4_repeat_alert"](spark, SF).collect()]
+    assert found == ([(len(texts), hits)] if len(texts) >= 5 and hits / len(texts) >= 0.01 else [])
