@@ -3,9 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from callspark.functions.literals import contained, mandatory_literals
+from callspark.functions.literals import FragmentIndex, contained, fold, folded_literals, mandatory_literals
 from callspark.operators import rules
 
 
@@ -55,3 +56,34 @@ def test_patterns_of_all_kinds(spark):
     want = sorted(tuple(r) for r in plain.collect())
     for block in (100_000, 3):
         assert sorted(tuple(r) for r in rules.match_rules(df, asked, block=block).collect()) == want
+
+
+def test_words_with_blanks_between_are_one_literal():
+    assert folded_literals(r"one[ ,.]+two[ ,.]+(three|[0-3]+x)") == [frozenset({"one two three", "one two 0", "one two 1", "one two 2", "one two 3"})]
+    assert folded_literals("a[^b]c") == [frozenset({"a"}), frozenset({"c"})] and folded_literals("(?i)abc") is None and folded_literals("[ab[c]]d") is None
+
+
+def test_no_match_without_its_folded_literal():
+    rng = random.Random(7)
+    pieces = ["a", "bc", "(a|bc)", "[ab]", "[ ,]+", ",", "[ ,]", "c+", "(bc)?", "a{2}", ".", "(?:ab|c(d|e))", "d*", r"\b", "^", "( a|,+)", "(, ?)+", "[0-9]+", "[a-z]"]
+    for _ in range(20_000):
+        pattern = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+        text = "".join(rng.choice("aabbccde  ,,1") for _ in range(14))
+        found = folded_literals(pattern)
+        if found is not None and re.search(pattern, text):
+            assert all(any(x in fold(text) for x in option) for option in found), (pattern, text, found)
+
+
+def test_candidates_are_few_and_come_in_bounded_parts():
+    """Frequent words that stand together in few lines; a line of 30,000 words meets 5,000 patterns."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    patterns = [[f"{a} {b}, {c}"] for a in words[:50] for b in words[:10] for c in words[:10]]
+    lines = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(2000)] + [", ".join(rng.choice(words) for _ in range(30_000)), None, ""]
+    index = FragmentIndex([[x] for x in patterns])
+    parts = list(index.candidates(pa.array(lines)))
+    assert max(len(rows) for rows, _ in parts) <= 210_000
+    folded = [None if x is None else fold(x) for x in lines]
+    want = {(row, owner) for owner, (p,) in enumerate(patterns) for row, x in enumerate(folded) if x is not None and fold(p) in x}
+    found = [pair for rows, owners in parts for pair in zip(rows.tolist(), owners.tolist())]
+    assert len(found) == len(set(found)) and set(found) == want
