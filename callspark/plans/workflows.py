@@ -517,7 +517,7 @@ _FLAT = "replace({}, ' ', '')"
 
 
 def _bare(spark, sf):
-    return fx.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9 ]", "").alias("t"))
+    return fx.dealt(fx.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9 ]", "").alias("t"))
 
 
 @query(f"""with c as (select conv_id, turn, {_BARE} as o, case turn % 3 when 0 then {_BARE} when 1 then replace({_BARE}, 'th', 'ht') else replace({_BARE}, 'e', 'ooo') end as n from conversations), f as (select *, {_FLAT.format('o')} as r, {_FLAT.format('n')} as h from c),
