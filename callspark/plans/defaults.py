@@ -177,7 +177,7 @@ _ASKED_SQL = f"{fx.TURNS_SQL}, asked as (select call_id || '-' || turn_no as que
 @query(f"with docs as (select doc_id, text || ' ' || [{', '.join(map(_quoted, ASKED))}][cast(doc_id % {len(ASKED)} as int) + 1] as text from documents), t as (select doc_id, {_tokens_sql('text')} as t from docs) select doc_id, len(t) as n_terms, md5(array_to_string(t, ' ')) as terms from t")
 def r1_default_tokens(spark, sf):
     """Whole documents with a Korean sentence behind, by the default tokeniser: endings and particles are cut."""
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" "), _picked(ASKED, F.col("doc_id"))).alias("text"))
+    docs = fx.dealt(fx.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(" "), _picked(ASKED, F.col("doc_id"))).alias("text"))
     return docs.withColumn("t", X.tokens(F.col("text"))).select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms"))
 
 
