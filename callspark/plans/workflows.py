@@ -116,7 +116,11 @@ _MASKED_SQL = rf"""given as (select doc_id, string_split(replace(regexp_replace(
   mailed as (select doc_id, c, string_split(regexp_replace(t, '{_MAIL_SQL}', '\1' || chr(1) || '\2' || chr(2) || '@\3', 'g'), chr(1)) as m from carded),
   masked as (select doc_id, c, m, m[1] || array_to_string(list_transform(m[2:], lambda x: case when position(chr(2) in x) > 2 then left(x, 1) || repeat('*', position(chr(2) in x) - 2) else '*' end || string_split(x, chr(2))[2]), '')
     || ' 해지 문의 010-****-' || lpad(cast(doc_id * 7 % 10000 as varchar), 4, '0') || ' 주민 900101-1******' || chr(10) || '입금 계좌 ***-**-***' || right(lpad(cast(doc_id % 1000000 as varchar), 6, '0'), 3) as text from mailed)"""
-_OUTBOUND_SQL = f"with {_MASKED_SQL} select doc_id, md5(text) as outbound from masked"
+# A card keeps its last four digits, and a blank between them isn't one.
+_TAIL_SQL = "regexp_extract(string_split(x, chr(2))[1], '[0-9]([ -]?[0-9]){3}$')"
+_OUTBOUND_SQL = f"""with {
+    _MASKED_SQL.replace("left(string_split(x, chr(2))[1], -4)", f"left(string_split(x, chr(2))[1], length(string_split(x, chr(2))[1]) - length({_TAIL_SQL}))").replace("right(string_split(x, chr(2))[1], 4)", _TAIL_SQL)
+} select doc_id, md5(text) as outbound from masked"""
 
 
 def _outgoing(docs):
