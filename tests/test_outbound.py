@@ -26,3 +26,7 @@ def _same(spark, folder, name):
 
 def test_outbound_text(spark, documents):
     _same(spark, documents, "p8_outbound_text")
+
+
+def test_mask_stream(spark, documents):
+    _same(spark, documents, "x6_mask_stream")
