@@ -211,11 +211,10 @@ def r4_default_rewrites(spark, sf):
 
 from callspark.plans import workflows as W  # noqa: E402
 
-_BEST_SQL = f"""{W._LAST_SQL}, {R._BM25_SQL.replace("select distinct item_id as query_id, unnest(" + fx.latin_terms_sql('text') + ") as term from benchmark", "select distinct call_id as query_id, unnest(" + fx.latin_terms_sql('query') + ") as term from asked")}"""
 _HEATED = "nation|pathetic|worthless"
 
 
-@query(f"""with {_BEST_SQL}, best as (select query_id as call_id, doc_id, text from ranked join documents using (doc_id) where rank = 1)
+@query(f"""with {W._ASSIST_SQL}, best as (select query_id as call_id, doc_id, text from found join documents using (doc_id) where rank = 1)
   select call_id, {_quoted(search._SORRY)} || ' ' || case when doc_id is null then {_quoted(search._NOT_FOUND)} else {W._filled(search._FOUND, "coalesce(string_split(best.text, chr(10))[1], '')", "coalesce(string_split(best.text, '. ')[1], '')")} end as suggestions,
     case when regexp_matches(transcript, '{_HEATED}') then {_quoted(search._CAUTION)} else '' end as caution, coalesce(cast(doc_id as varchar), '') as cited from labelled left join best using (call_id)""")
 def r20_assist_cards(spark, sf):

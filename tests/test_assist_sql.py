@@ -34,3 +34,8 @@ def _same(spark, folder, name):
 def test_assist_docs(spark, tables):
     rows = _same(spark, tables, "r20_assist_docs")
     assert any(r[0] == 2 and r[2] is not None for r in rows) and [r[2] for r in rows if r[0] == 5] == [None]
+
+
+def test_assist_cards(spark, tables):
+    rows = _same(spark, tables, "r20_assist_cards")
+    assert len(rows) == len(SAID) and any(r[0] == 2 and r[3] != "" for r in rows)
