@@ -1,15 +1,17 @@
 """Stateful jobs that decide in event-time order: utterances, rolling spend, admission.
 
-Rows wait in the state of their key until the watermark has passed them; then they are settled in the order of their
-time, so a result doesn't depend on how rows fall into batches. A key has one timer at most, for the next moment at
-which it can settle something, and its waiting rows are rewritten once a batch, not once a row.
+Rows wait in state until the watermark has passed them; then those of each key are settled in the order of their
+time, so a result doesn't depend on how rows fall into batches. A handler is called for a group of keys (``buckets`` groups by hash,
+a number that stays with a checkpoint), as a call with its reads and writes of state takes far longer than a key's few rows. A group has one
+timer at most, for the next moment at which one of its keys can settle something, and its rows are written once a batch.
 
 Cases: rows without a time, or behind the watermark, are dropped. Ties of time follow the order column. State is what waits
-(rows within the delay), and what the rule still looks back to.
+(rows within the delay), and what the rule still looks back to; a task holds that of one group at once.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +23,8 @@ from callspark.functions.text import micros
 from callspark.operators.telemetry import LIMIT_USD, billed, spend_verdict
 
 WATERMARK = "10 minutes"
+#: Groups that keys are dealt over.
+BUCKETS = 1024
 
 
 def _micros_of(span: str) -> int:
@@ -32,56 +36,85 @@ class _Ordered(StatefulProcessor):
 
     waiting: str
     kept: str
-    columns: tuple[str, ...]
+    result: str
 
     def settle(self, kept: list[tuple], ready: list[tuple], edge: int) -> tuple[list[tuple], list[tuple], int | None]:
-        """(rows out, new ``kept``, moment in microseconds at which ``kept`` alone must be looked at again)."""
+        """For one key: (rows out, new ``kept``, moment in microseconds at which ``kept`` alone must be looked at again)."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [x.split()[0] for x in self.waiting.split(", ")]
-        self.held = handle.getListState("held", self.waiting)
-        self.past = handle.getListState("past", self.kept)
+        self.names = ["key", *(x.split()[0] for x in self.waiting.split(", "))]
+        self.columns = ["key", *(x.split()[0] for x in self.result.split(", "))]
+        # rows are packed, many to a value: written one by one they take longer than all else
+        self.held, self.past = (handle.getListState(name, "rows binary") for name in ("held", "past"))
 
-    def _out(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=list(self.columns))
+    def _read(self, state) -> Iterator[tuple]:
+        for (rows,) in state.get() if state.exists() else ():
+            yield from pickle.loads(rows)
+
+    def _write(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.put([(pickle.dumps(rows),)])
+        else:
+            state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        moments = []
         for frame in rows:
-            for row in zip(*(frame[c].tolist() for c in self.names)):
-                self.held.appendValue(row)
-                first = row[0] if first is None else min(first, row[0])
+            if len(frame):
+                self.held.appendValue((pickle.dumps(list(zip(*(frame[c].tolist() for c in self.names)))),))
+                moments.append(int(frame["at"].min()))
         timers = list(self.handle.listTimers())
-        wake = first // 1000 + 1
-        if not timers or wake < min(timers):
+        if moments and (not timers or min(moments) // 1000 + 1 < min(timers)):
             for at in timers:
                 self.handle.deleteTimer(at)
-            self.handle.registerTimer(wake)
-        yield self._out(key, [])
+            self.handle.registerTimer(min(moments) // 1000 + 1)
+        yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         edge = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get()) if self.held.exists() else []
-        ready = [r for r in held if r[0] < edge]
-        held = held[len(ready) :]
-        out, kept, again = self.settle(list(self.past.get()) if self.past.exists() else [], ready, edge)
-        self.held.put(held) if held else self.held.clear()
-        self.past.put(kept) if kept else self.past.clear()
-        moments = [m for m in (held[0][0] if held else None, again) if m is not None]
+        due: dict[str, tuple[list[tuple], list[tuple]]] = {}
+        for of, *row in self._read(self.past):
+            due.setdefault(of, ([], []))[0].append(tuple(row))
+        held, out, kept = [], [], []
+        for of, *row in self._read(self.held):
+            if row[0] < edge:
+                due.setdefault(of, ([], []))[1].append(tuple(row))
+            else:
+                held.append((of, *row))
+        moments = [row[1] for row in held]
+        for of, (past, ready) in due.items():
+            rows, left, again = self.settle(past, sorted(ready), edge)
+            out += [(of, *r) for r in rows]
+            kept += [(of, *r) for r in left]
+            if again is not None:
+                moments.append(again)
+        self._write(self.held, held)
+        self._write(self.past, kept)
         if moments:
             self.handle.registerTimer(max(min(moments), edge) // 1000 + 1)
-        yield self._out(key, out)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+def _settled(rows: DataFrame, key: str, ts: str, rule: _Ordered, buckets: int) -> DataFrame:
+    """``rule``'s rows out, each behind its key; ``rows`` has the key, what waits, and the event time."""
+    kind = rows.schema[key].dataType
+    # a null key is a key of its own
+    named = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    names = [x.split()[0] for x in rule.waiting.split(", ")]
+    named = named.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket_no"), "key", *names, ts)
+    out = named.groupBy("bucket_no").transformWithStateInPandas(statefulProcessor=rule, outputStructType=f"key string, {rule.result}", outputMode="Append", timeMode="EventTime")
+    return out.select(F.when(F.col("key") != "", F.expr("substring(key, 2)")).cast(kind).alias(key), *out.columns[1:])
+
+
 class _Utterances(_Ordered):
     waiting = "at bigint, no bigint, until bigint, word string"
     kept = waiting
-    columns = ("call_id", "start", "end", "text")
+    result = "start bigint, end bigint, text string"
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -105,7 +138,7 @@ class _Utterances(_Ordered):
         return out, said, said[-1][2] + self.gap if said else None
 
 
-def utterances_live(words: DataFrame, ts: str = "ts", until: str | None = None, order: str | None = None, gap: str = "800 milliseconds", delay: str = WATERMARK) -> DataFrame:
+def utterances_live(words: DataFrame, ts: str = "ts", until: str | None = None, order: str | None = None, gap: str = "800 milliseconds", delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """(call_id, start, end, text): the utterances of ``sessionise_words`` from a stream of words (call_id, word, ts).
 
     An utterance ends after a gap or a word that ends a sentence. ``until`` is the column of a word's end (else its
@@ -116,16 +149,15 @@ def utterances_live(words: DataFrame, ts: str = "ts", until: str | None = None,
     at = micros(ts)
     ends = F.coalesce(micros(until), at) if until else at
     number = F.coalesce(F.col(order).cast("long"), F.lit(0)) if order else F.lit(0).cast("long")
-    kind = words.schema["call_id"].dataType.simpleString()
     rows = rows.select("call_id", at.alias("at"), number.alias("no"), ends.alias("until"), "word", ts)
-    said = rows.groupBy("call_id").transformWithStateInPandas(statefulProcessor=_Utterances(_micros_of(gap)), outputStructType=f"call_id {kind}, start bigint, end bigint, text string", outputMode="Append", timeMode="EventTime")
+    said = _settled(rows, "call_id", ts, _Utterances(_micros_of(gap)), buckets)
     return said.select("call_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "text")
 
 
 class _Spend(_Ordered):
     waiting = "at bigint, id string, units bigint"
     kept = "at bigint, units bigint"
-    columns = ("account", "request_id", "at", "units")
+    result = "request_id string, at bigint, units bigint"
     day = 86_400_000_000
 
     def settle(self, kept, ready, edge):
@@ -145,7 +177,7 @@ class _Spend(_Ordered):
         return out, left, left[-1][0] + self.day if left else None
 
 
-def spend_live(events: DataFrame, key: str = "account", ts: str = "created_at", request: str = "request_id", calls: int = 1, limit: float = LIMIT_USD, delay: str = WATERMARK) -> DataFrame:
+def spend_live(events: DataFrame, key: str = "account", ts: str = "created_at", request: str = "request_id", calls: int = 1, limit: float = LIMIT_USD, delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """(key, request_id, at, spent_24h, admitted, remaining) of each billed row, once the watermark has passed it: the rows of ``spend_24h``.
 
     The state of an account is its costs of the last 24 hours; it goes when they have left the window. Costs are whole
@@ -153,8 +185,7 @@ def spend_live(events: DataFrame, key: str = "account", ts: str = "created_at",
     """
     rows = billed(events).where(f"{ts} is not null").withWatermark(ts, delay)
     rows = rows.select(F.col(key).alias("account"), micros(ts).alias("at"), F.coalesce(F.col(request).cast("string"), F.lit("")).alias("id"), (F.col("cost") * 100_000_000).cast("long").alias("units"), ts)
-    kind = events.schema[key].dataType.simpleString()
-    spent = rows.groupBy("account").transformWithStateInPandas(statefulProcessor=_Spend(), outputStructType=f"account {kind}, request_id string, at bigint, units bigint", outputMode="Append", timeMode="EventTime")
+    spent = _settled(rows, "account", ts, _Spend(), buckets)
     spent = spent.select(F.col("account").alias(key), "request_id", F.timestamp_micros("at").alias("at"), (F.col("units") / 100_000_000.0).alias("spent_24h"))
     return spend_verdict(spent, calls, limit)
 
@@ -162,7 +193,7 @@ def spend_live(events: DataFrame, key: str = "account", ts: str = "created_at",
 class _Admission(_Ordered):
     waiting = "at bigint, request_id string"
     kept = "at bigint"
-    columns = ("bucket", "request_id", "at", "accepted")
+    result = "request_id string, at bigint, accepted boolean"
 
     def __init__(self, max_hits: int, seconds: int):
         self.max_hits, self.span = max_hits, seconds * 1_000_000
@@ -179,11 +210,11 @@ class _Admission(_Ordered):
         return out, [(p,) for p in passed], passed[-1] + self.span if passed else None
 
 
-def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+def admit_stream(requests: DataFrame, max_hits: int, seconds: int, ts: str = "ts", delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, request_id, at, accepted) once the watermark has passed a request; the batch twin is ``admit_requests``. ``at`` is in microseconds.
 
     The state of a bucket is what waits and the last ``max_hits`` passes; it goes when those have left the window.
     """
     rows = requests.where(f"{ts} is not null").withWatermark(ts, delay)
     rows = rows.select(F.col("bucket").cast("string").alias("bucket"), F.coalesce(F.col("request_id").cast("string"), F.lit("")).alias("request_id"), micros(ts).alias("at"), ts)
-    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Admission(max_hits, seconds), outputStructType="bucket string, request_id string, at bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
+    return _settled(rows, "bucket", ts, _Admission(max_hits, seconds), buckets)
