@@ -8,7 +8,7 @@ import numpy as np
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """The edit distance in characters, or -1 if it is over ``most``.
 
-    Common ends are cut. Close texts (up to a sixteenth of their length changed) take time with the square of their distance,
+    Common ends are cut. Close texts of a thousand characters and more (up to a sixteenth of their length changed; a thirty-second below 4,096) take time with the square of their distance,
     not with their length times it; others with the product of their lengths divided by the bits of a word.
     """
     head = _shared(a, b, 0, 0)
@@ -18,11 +18,13 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     if not a or not b:
         d = max(len(a), len(b))
     else:
-        close = max(64, max(len(a), len(b)) // 16)
+        # a step of the furthest places takes as long as the rows of bits of some thirty characters
+        longer = max(len(a), len(b))
+        close = 0 if longer < 1_024 else longer // (32 if longer < 4_096 else 16)
         close = close if most is None else min(close, most)
-        d = _near(a, b, close) if len(a) + len(b) > 64 else None
-        if d is None and (most is None or close < most or len(a) + len(b) <= 64):
-            d = _far(a, b)
+        d = _near(a, b, close) if close else None
+        if d is None and (most is None or close < most):
+            d = _far(a, b, most)
     return -1 if d is None or most is not None and d > most else d
 
 
@@ -82,8 +84,11 @@ def _near(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def _far(a: str, b: str) -> int:
-    """Myers' and Hyyrö's rows of bits: one addition and a few operations on numbers as wide as the shorter text for each character of the longer."""
+def _far(a: str, b: str, most: int | None = None) -> int:
+    """Myers' and Hyyrö's rows of bits: one addition and a few operations on numbers as wide as the shorter text for each character of the longer.
+
+    Ends as soon as the distance is sure to be over ``most``; what is returned then is over it, too.
+    """
     if len(a) < len(b):
         a, b = b, a
     equal: dict[str, int] = {}
@@ -93,7 +98,12 @@ def _far(a: str, b: str) -> int:
         bit <<= 1
     all_bits, top, d = bit - 1, bit >> 1, len(b)
     up, down = all_bits, 0
+    # each character that is left can take back one
+    limit = (len(a) if most is None else most) + len(a)
     for c in a:
+        if d > limit:
+            return d
+        limit -= 1
         same = equal.get(c, 0)
         across = (((same & up) + up) ^ up) | same
         same |= down
