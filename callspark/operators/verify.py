@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,25 +135,30 @@ def corpus_cer(measured: DataFrame, *by: str) -> DataFrame:
     return out.where("pairs > 0") if by else out
 
 
-@F.pandas_udf(T.StructType().add("head", "integer").add("tail", "integer"))
-def _common_ends(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """How many characters two texts share at the start, and then at the end; found bit by bit on slices."""
-
-    def shared(a: str, b: str, most: int, end: bool) -> int:
-        n, step = 0, 1 << most.bit_length()
-        while step:
-            to = n + step
-            if to <= most and (a[len(a) - to : len(a) - n] == b[len(b) - to : len(b) - n] if end else a[n:to] == b[n:to]):
-                n = to
-            step >>= 1
-        return n
-
-    ends = []
-    for a, b in zip(left, right):
-        a, b = a or "", b or ""
-        head = shared(a, b, min(len(a), len(b)), False)
-        ends.append((head, shared(a, b, min(len(a), len(b)) - head, True)))
-    return pd.DataFrame(ends, columns=["head", "tail"])
+def _shared(a: str, b: str, most: int, end: bool) -> int:
+    """How many characters two texts share at the start or end, up to ``most``; found bit by bit on slices."""
+    n, step = 0, 1 << most.bit_length()
+    while step:
+        to = n + step
+        if to <= most and (a[len(a) - to : len(a) - n] == b[len(b) - to : len(b) - n] if end else a[n:to] == b[n:to]):
+            n = to
+        step >>= 1
+    return n
+
+
+def _within(a: str, b: str, limit: float, cells: int) -> tuple[int, bool]:
+    """The distance of two texts, or -1 if it is over the limit or the pair is unverifiable; and whether it is that."""
+    if a == b:
+        return 0, False
+    most = math.floor(limit * len(a))
+    if abs(len(a) - len(b)) > most:
+        return -1, False
+    head = _shared(a, b, min(len(a), len(b)), False)
+    tail = _shared(a, b, min(len(a), len(b)) - head, True)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(a) * min(len(b), 2 * most + 1) > cells:
+        return -1, True
+    return edit_distance(a, b, most), False
 
 
 def cer_within(pairs: DataFrame, limit: float, reference: str = "reference", hypothesis: str = "hypothesis", cells: int = 400_000) -> DataFrame:
@@ -160,14 +167,17 @@ def cer_within(pairs: DataFrame, limit: float, reference: str = "reference", hyp
     Common ends are cut first. Pairs whose rest has a length times band over ``cells`` are unverifiable, not different;
     equal texts, and texts whose lengths alone are too far apart, never are. An empty reference gives nulls.
     """
-    rows = pairs.withColumns({"_r": cer_text(F.col(reference)), "_h": cer_text(F.col(hypothesis))}).withColumn("_k", F.floor(limit * F.length("_r")).cast("int"))
-    rows = rows.withColumn("_ends", _common_ends("_r", "_h"))
-    rows = rows.withColumns({"_head": F.col("_ends.head"), "_s": F.expr("length(_r) - _ends.head - _ends.tail"), "_t": F.expr("length(_h) - _ends.head - _ends.tail")})
-    some, equal, far = F.length("_r") > 0, F.col("_r") == F.col("_h"), F.abs(F.length("_r") - F.length("_h")) > F.col("_k")
-    big = F.col("_s").cast("long") * F.least(F.col("_t").cast("long"), 2 * F.col("_k").cast("long") + 1) > cells
-    d = F.when(equal, 0).when(far | big, -1).otherwise(F.expr("levenshtein(substring(_r, _head + 1, _s), substring(_h, _head + 1, _t), _k)"))
-    rows = rows.withColumns({"_d": F.when(some, d), "unverifiable": F.when(some, ~equal & ~far & big)})
-    return rows.withColumns({"within": F.col("_d") >= 0, "cer": F.when(F.col("_d") >= 0, F.col("_d") / F.length("_r"))}).drop("_r", "_h", "_k", "_d", "_ends", "_head", "_s", "_t")
+
+    @F.pandas_udf(T.StructType().add("distance", "integer").add("length", "integer").add("unverifiable", "boolean"))
+    def judged(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        found = [(*_within(a, b, limit, cells), len(a)) if a else (None, None, None) for a, b in zip(left, right)]
+        distance, hard, length = zip(*found) if found else ((), (), ())
+        return pd.DataFrame({"distance": pd.Series(distance, dtype="Int32"), "length": pd.Series(length, dtype="Int32"), "unverifiable": pd.Series(hard, dtype="boolean")})
+
+    # said to be nondeterministic, so that a filter on what it finds isn't moved below it and its texts cleaned and judged again
+    rows = pairs.withColumn("_judged", judged.asNondeterministic()(cer_text(F.col(reference)), cer_text(F.col(hypothesis))))
+    d = F.col("_judged.distance")
+    return rows.withColumns({"unverifiable": F.col("_judged.unverifiable"), "within": d >= 0, "cer": F.when(d >= 0, d / F.col("_judged.length"))}).drop("_judged")
 
 
 def strip_labels(text: Column) -> Column:

@@ -86,3 +86,10 @@ def test_within_against_brute_force(spark):
             s, t = s[:-1], t[:-1]
         hard = a != b and abs(len(a) - len(b)) <= k and len(s) * min(len(t), 2 * k + 1) > 300
         assert r.unverifiable == hard and r.within == (not hard and d <= k) and (r.cer == d / len(a) if r.within else r.cer is None)
+
+
+def test_texts_are_cleaned_once_and_dealt_out_first(spark, tmp_path):
+    _docs(spark, tmp_path)
+    plan = registry.queries()["e2_cer_within_whole"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert plan.count("regexp_replace(") == 2 and "regexp_replace(" not in below and "pythonUDF" not in below
