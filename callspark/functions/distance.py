@@ -8,7 +8,7 @@ import numpy as np
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """The edit distance in characters, or -1 if it is over ``most``.
 
-    Common ends are cut. Close texts of a thousand characters and more (up to a sixteenth of their length changed; a thirty-second below 4,096) take time with the square of their distance,
+    Common ends are cut. Texts that ``replaced`` settles take time with their length. Close texts of a thousand characters and more (up to a sixteenth of their length changed; a thirty-second below 4,096) take time with the square of their distance,
     not with their length times it; others with the product of their lengths divided by the bits of a word.
     """
     head = _shared(a, b, 0, 0)
@@ -17,7 +17,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         d = max(len(a), len(b))
-    else:
+    elif (d := replaced(a, b)) is None:
         # a step of the furthest places takes as long as the rows of bits of some thirty characters
         longer = max(len(a), len(b))
         close = 0 if longer < 1_024 else longer // (32 if longer < 4_096 else 16)
@@ -28,6 +28,22 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return -1 if d is None or most is not None and d > most else d
 
 
+def replaced(a: str, b: str) -> int | None:
+    """The places at which two texts of one length differ, if no character that ``a`` has there is one that ``b`` has at any of them; else None.
+
+    It is the edit distance then: each of those characters is one too many in its text, and an edit takes at most one from either.
+    """
+    if len(a) != len(b):
+        return None
+    one, two = _codes(a), _codes(b)
+    differ = np.flatnonzero(one != two)
+    return None if np.isin(np.unique(one[differ]), two[differ]).any() else len(differ)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def _shared(a: str, b: str, i: int, j: int) -> int:
     """How many characters ``a`` from ``i`` and ``b`` from ``j`` share: in steps that double, then halve."""
     n, step, most = 0, 16, min(len(a) - i, len(b) - j)
@@ -51,7 +67,7 @@ def _near(a: str, b: str, most: int) -> int | None:
     """The distance if it is at most ``most``: with each edit, the furthest place on each diagonal."""
     n, m = len(a), len(b)
     goal = m - n
-    signs, codes = np.unique(np.concatenate([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (a, b)]), return_inverse=True)
+    signs, codes = np.unique(np.concatenate([_codes(a), _codes(b)]), return_inverse=True)
     if abs(goal) > most or len(signs) > 65_000:
         return None
     one, two = _packed(codes[:n], 65_534), _packed(codes[n:], 65_535)

@@ -105,26 +105,18 @@ def cer_text(text: Column) -> Column:
     return F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), _CER_DROP, "")
 
 
-#: Characters up to which the built-in table of a pair is filled.
-_TABLE = 1_500
-
-
-@F.pandas_udf(T.IntegerType())
-def _long_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else edit_distance(a, b) for a, b in zip(left, right)], dtype="Int32")
+@F.pandas_udf(T.StructType().add("distance", "integer").add("length", "integer"))
+def _distances(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"distance": pd.Series([edit_distance(a, b) if a else None for a, b in zip(left, right)], dtype="Int32"), "length": left.str.len().astype("Int32")})
 
 
 def cer(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``pairs`` with distance, ref_length, cer, accuracy; null where the reference is empty."""
-    rows = pairs.withColumns({"_r": cer_text(F.col(reference)), "_h": cer_text(F.col(hypothesis))})
-    some = F.length("_r") > 0
-    long = some & (F.greatest(F.length("_r"), F.length("_h")) > _TABLE)
-    # bands that double until the distance lies within: exact, and the time of a short pair grows with its length times its distance
-    bands = ", ".join(str(1 << k) for k in range(4, 31))
-    distance = F.expr(f"aggregate(array({bands}), -1, (d, k) -> case when d >= 0 then d when k >= greatest(length(_r), length(_h)) then levenshtein(_r, _h) else levenshtein(_r, _h, k) end)")
-    rows = rows.withColumn("_long", _long_distance(F.when(long, F.col("_r")), F.when(long, F.col("_h"))))
-    rows = rows.withColumns({"distance": F.when(long, F.col("_long")).when(some, distance), "ref_length": F.length("_r")})
-    return rows.withColumns({"cer": F.col("distance") / F.when(some, F.col("ref_length")), "accuracy": F.greatest(F.lit(0.0), 1 - F.col("distance") / F.when(some, F.col("ref_length")))}).drop("_r", "_h", "_long")
+    # said to be nondeterministic, so that what is made of it doesn't clean its texts again
+    rows = pairs.withColumn("_judged", _distances.asNondeterministic()(cer_text(F.col(reference)), cer_text(F.col(hypothesis))))
+    rows = rows.withColumns({"distance": F.col("_judged.distance"), "ref_length": F.col("_judged.length")})
+    share = F.col("distance") / F.when(F.col("ref_length") > 0, F.col("ref_length"))
+    return rows.withColumns({"cer": share, "accuracy": F.greatest(F.lit(0.0), 1 - share)}).drop("_judged")
 
 
 def corpus_cer(measured: DataFrame, *by: str) -> DataFrame:
