@@ -138,8 +138,8 @@ def _shared(a: str, b: str, most: int, end: bool) -> int:
     return n
 
 
-def _within(a: str, b: str, limit: float, cells: int) -> tuple[int, bool]:
-    """The distance of two texts, or -1 if it is over the limit or the pair is unverifiable; and whether it is that."""
+def _within(a: str, b: str, limit: float, cells: int, exact: bool) -> tuple[int, bool]:
+    """The distance of two texts, or -1 if it is over the limit or the pair is not measured; and whether it is over the budget."""
     if a == b:
         return 0, False
     most = math.floor(limit * len(a))
@@ -148,21 +148,21 @@ def _within(a: str, b: str, limit: float, cells: int) -> tuple[int, bool]:
     head = _shared(a, b, min(len(a), len(b)), False)
     tail = _shared(a, b, min(len(a), len(b)) - head, True)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(a) * min(len(b), 2 * most + 1) > cells:
-        return -1, True
-    return edit_distance(a, b, most), False
+    hard = len(a) * min(len(b), 2 * most + 1) > cells
+    return -1 if hard and not exact else edit_distance(a, b, most), hard
 
 
-def cer_within(pairs: DataFrame, limit: float, reference: str = "reference", hypothesis: str = "hypothesis", cells: int = 400_000) -> DataFrame:
+def cer_within(pairs: DataFrame, limit: float, reference: str = "reference", hypothesis: str = "hypothesis", cells: int = 400_000, exact: bool = False) -> DataFrame:
     """``pairs`` with within, cer (null beyond the limit), unverifiable.
 
     Common ends are cut first. Pairs whose rest has a length times band over ``cells`` are unverifiable, not different;
     equal texts, and texts whose lengths alone are too far apart, never are. An empty reference gives nulls.
+    With ``exact`` every pair is measured; ``unverifiable`` then only says that it is over that budget, which is upstream's, and takes nothing from ``within`` and ``cer``.
     """
 
     @F.pandas_udf(T.StructType().add("distance", "integer").add("length", "integer").add("unverifiable", "boolean"))
     def judged(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        found = [(*_within(a, b, limit, cells), len(a)) if a else (None, None, None) for a, b in zip(left, right)]
+        found = [(*_within(a, b, limit, cells, exact), len(a)) if a else (None, None, None) for a, b in zip(left, right)]
         distance, hard, length = zip(*found) if found else ((), (), ())
         return pd.DataFrame({"distance": pd.Series(distance, dtype="Int32"), "length": pd.Series(length, dtype="Int32"), "unverifiable": pd.Series(hard, dtype="boolean")})
 
@@ -177,11 +177,11 @@ def strip_labels(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(bare, " "), r"\s+", " "))
 
 
-def preserve_gate(pairs: DataFrame, limit: float = 0.15, original: str = "original", rewritten: str = "rewritten") -> DataFrame:
-    """``pairs`` with kept (the rewritten text only if it stays within ``limit``), ok, unverifiable."""
+def preserve_gate(pairs: DataFrame, limit: float = 0.15, original: str = "original", rewritten: str = "rewritten", exact: bool = False) -> DataFrame:
+    """``pairs`` with kept (the rewritten text only if it stays within ``limit``), ok, unverifiable; ``exact`` as in ``cer_within``."""
     rows = pairs.withColumns({"_o": strip_labels(F.col(original)), "_n": strip_labels(F.col(rewritten))})
-    judged = cer_within(rows, limit, "_o", "_n")
-    ok = F.coalesce(F.col("within"), F.lit(False)) & ~F.coalesce("unverifiable", F.lit(False))
+    judged = cer_within(rows, limit, "_o", "_n", exact=exact)
+    ok = F.coalesce(F.col("within"), F.lit(False))  # what is not measured is not within
     return judged.withColumns({"ok": ok, "kept": F.when(ok, F.col(rewritten)).otherwise(F.col(original))}).drop("_o", "_n", "within")
 
 
