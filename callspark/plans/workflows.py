@@ -538,13 +538,13 @@ def _bare(spark, sf):
   p as (select *, coalesce(list_min(list_filter(range(1, m + 1), lambda i: substr(r, i, 1) <> substr(h, i, 1))) - 1, m) as head from k),
   t as (select *, coalesce(list_min(list_filter(range(1, m - head + 1), lambda i: substr(r, -i, 1) <> substr(h, -i, 1))) - 1, m - head) as tail from p),
   j as (select *, r = h as same, abs(length(r) - length(h)) > k as far, (length(r) - head - tail) * least(length(h) - head - tail, 2 * k + 1) > 400000 as big from t),
-  d as (select *, case when length(r) > 0 then not same and not far and big end as unverifiable, case when length(r) > 0 and (same or not far and not big) then same or levenshtein(r, h) <= k else false end as ok from j)
+  d as (select *, case when length(r) > 0 then not same and not far and big end as unverifiable, case when length(r) > 0 and not far then same or levenshtein(r, h) <= k else false end as ok from j)
   select conv_id, turn, ok, unverifiable, md5(case when ok then n else o end) as kept from d""")
 def e3_preserve_gate(spark, sf):
-    """Letters, digits and blanks of whole messages against versions with no, few or many changes."""
+    """Letters, digits and blanks of whole messages against versions with no, few or many changes, each pair measured; ``unverifiable`` tells which are over upstream's budget."""
     rows = _bare(spark, sf)
     new = F.when(F.col("turn") % 3 == 0, F.col("t")).when(F.col("turn") % 3 == 1, F.replace("t", F.lit("th"), F.lit("ht"))).otherwise(F.replace("t", F.lit("e"), F.lit("ooo")))
-    return verify.preserve_gate(rows.select("conv_id", "turn", F.col("t").alias("original"), new.alias("rewritten"))).select("conv_id", "turn", "ok", "unverifiable", F.md5("kept").alias("kept"))
+    return verify.preserve_gate(rows.select("conv_id", "turn", F.col("t").alias("original"), new.alias("rewritten")), exact=True).select("conv_id", "turn", "ok", "unverifiable", F.md5("kept").alias("kept"))
 
 
 @query(f"""with c as (select role as model, {_BARE} as t from conversations), h as (select model, t, replace(replace(t, 'the', 'teh'), 'tion', 'shun') as h from c), p as (select model, 'raw' as stage, t, h from h union all select model, 'corrected', t, replace(h, 'shun', 'tion') from h where contains(h, 'shun')),
