@@ -35,3 +35,8 @@ def test_corpus_of_whole_texts(spark, tables):
     plain = con.execute(f"""select lang, count(*), cast(sum(levenshtein(replace(t, ' ', ''), replace(replace(t, 'tion', 'shun'), ' ', ''))) as bigint), cast(sum(length(replace(t, ' ', ''))) as bigint)
       from (select lang, regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g') as t from read_parquet('{tables}/documents.parquet/*.parquet')) where replace(t, ' ', '') <> '' group by 1""").fetchall()
     assert got == {r[0]: r[1:] for r in plain}
+
+
+def test_whole_texts_within(spark, tables):
+    got = {r[0]: r[1:] for r in _same(spark, tables, "e2_cer_within")}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, False), 6: (True, True), 7: (True, False), 8: (False, False), 9: (False, True)}
